@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from zonewright.llm import bpe, language, mixing, quality, sharding, toxicity
+from zonewright.llm import bpe, language, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op3_quality_bands": quality.query,
     "op6_bpe_tokens": bpe.query,
     "op7_toxicity_scores": toxicity.query,
+    "op8_simhash_groups": simhash.query,
     "op9_language_id": language.query,
     "op10_hash_shards": sharding.query,
 }
