@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from zonewright.llm import bpe, language, minhash, mixing, quality, sharding, simhash, toxicity
+from zonewright.llm import bpe, html, language, minhash, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op3_quality_bands": quality.query,
     "op4_minhash_next": minhash.query,
+    "op5_main_text": html.query,
     "op6_bpe_tokens": bpe.query,
     "op7_toxicity_scores": toxicity.query,
     "op8_simhash_groups": simhash.query,
