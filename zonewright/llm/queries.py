@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from zonewright.llm import bpe, html, language, minhash, mixing, quality, sharding, simhash, toxicity
+from zonewright.llm import bpe, html, language, minhash, mixing, quality, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.query,
+    "op2_suffix_dedup": suffixes.query,
     "op3_quality_bands": quality.query,
     "op4_minhash_next": minhash.query,
     "op5_main_text": html.query,
