@@ -269,9 +269,15 @@ class TextDecoder:
         return self.machine.decode(b"", True)
 
 
-def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
-    """A row for each row of docs: id, the columns in keep, n_tokens, ids and decoded, or with digest
-    the SHA-256 of both instead, as ids_sha256 (little-endian unsigned 32-bit) and decoded_sha256.
+#: What tokenize() can return besides n_tokens, and its type.
+OUTPUTS = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+
+
+def tokenize(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), outputs: tuple[str, ...] = ("ids", "decoded")
+) -> DataFrame:
+    """A row for each row of docs: id, the columns in keep, n_tokens and the outputs: ids, the text
+    decoded from them, or either's SHA-256 (of the ids as little-endian unsigned 32-bit integers).
 
     A null text counts as empty and has no tokens. The tokenizer file is read where it is used, from
     the given path, which every machine has. Nothing is shuffled."""
@@ -280,28 +286,29 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         tokenizer = Tokenizer.load(path)
         for batch in batches:
             for part in slices(batch, "_text", 2 << 20):
-                rows = []
+                n, found = [], {name: [] for name in outputs}
                 for text in part.column("_text"):
                     ids = tokenizer.encode(text.as_py() or "")
-                    decoded = tokenizer.decode(ids)
-                    if digest:
-                        rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-                    else:
-                        rows.append((len(ids), ids.astype(np.int32), decoded))
-                n, ids, decoded = zip(*rows, strict=True)
-                kind = pa.string() if digest else pa.list_(pa.int32())
-                own = [part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded)], names=[*names, "n_tokens", *out])
+                    n.append(len(ids))
+                    decoded = tokenizer.decode(ids) if {"decoded", "decoded_sha256"} & set(outputs) else ""
+                    for name, values in found.items():
+                        if name == "ids":
+                            values.append(ids.astype(np.int32))
+                        elif name == "decoded":
+                            values.append(decoded)
+                        else:
+                            values.append(hashlib.sha256(ids.tobytes() if name == "ids_sha256" else decoded.encode()).hexdigest())
+                columns = [*[part.column(c) for c in names], pa.array(n, pa.int64()), *[pa.array(found[x], OUTPUTS[x]) for x in outputs]]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", *outputs])
 
     names = [id_col, *keep]
-    out = ("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
     picked = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    kinds += ", n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return picked.mapInArrow(run, kinds)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
+    kinds += ["n_tokens long", *[f"{x} {'array<int>' if x == 'ids' else 'string'}" for x in outputs]]
+    return picked.mapInArrow(run, ", ".join(kinds))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digest=True)
+    return tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), outputs=("ids_sha256", "decoded_sha256"))

@@ -55,19 +55,35 @@ def hash60(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, key: str = "_key") -> DataFrame:
-    """docs' id and text with a unique long key in the order of (id, nulls last, text).
-
-    The id is its own key where ids are unique and not null, which a count over that column alone
-    finds out; else the rows are range-sorted once and numbered as they are written."""
-    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    bad = picked.groupBy("_id").count().filter("count > 1 or _id is null").limit(1).count()
-    if not bad:
+def repeats_ids(ids: DataFrame, id_col: str) -> bool:
+    """Whether an id is null or occurs twice; only that column is read."""
+    return ids.groupBy(F.col(id_col)).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count() > 0
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, key: str = "_key", keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs' id and text as _id and _text, and the columns in keep, with a unique long key in the
+    order of (id, nulls last, text).
+
+    The id is its own key where ids are unique and not null; else the rows are range-sorted once and
+    numbered as they are written."""
+    picked = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    if not repeats_ids(picked, "_id"):
         return picked.withColumn(key, F.col("_id").cast("long"))
     ordered = picked.orderBy(F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first())
     return materialize(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
+def shield(docs: DataFrame, *known: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all but the known columns under names that nothing here uses, and those names."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in known}
+    return docs.select([F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns]), names
+
+
+def unshield(df: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """The given columns of df by the names they had before shield()."""
+    return df.select([F.col(f"`{names.get(c, c)}`").alias(c) for c in columns])
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of batch whose texts have about `most` bytes together, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -86,6 +86,8 @@ def _table(counts: dict[str, Counter], most: int, least: int = 1) -> tuple[dict[
     """Numbers of the most frequent entries of every language, and their smoothed log shares,
     each less the mean over the languages, so that an entry alike in all adds nothing."""
     languages = sorted(counts)
+    if not languages:
+        return {}, np.zeros((0, 0))
     chosen: set[str] = set()
     for counter in counts.values():
         chosen |= set(heapq.nsmallest(most, (k for k, n in counter.items() if n >= least), key=lambda k: (-counter[k], k)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import hash60, materialize, table, word_count
+from zonewright.llm.common import hash60, materialize, shield, table, unshield, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -103,6 +103,7 @@ def mix(
     offsets = (
         dealt.groupBy(*place)
         .agg(F.sum("_size").alias("_words"))
+        .repartition(*place)  # or the sums would be made where the window needs them, a source in a task
         .select(*place, F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_offset"))
     )
     within = Window.partitionBy(*place).orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,13 +126,14 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it (copies), and no others.
 
-    A document that lies across its source's budget stays whole: at most one a source. Repeated ids
-    get the copies of each of their rows together only if the rows agree; ids are expected unique."""
+    A document that lies across its source's budget stays whole: at most one a source. Rows that repeat
+    an id all get the most copies of any of them."""
     id_col = options.get("id_col", "doc_id")
-    chosen = mix(docs, **options).filter("copies > 0").select(F.col(id_col).alias("_id"), "copies")
-    columns = [F.col(f"d.`{c}`").alias(c) for c in docs.columns]
-    joined = docs.alias("d").join(chosen.alias("c"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("c._id")))
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))).alias("_copy")).drop("_copy")
+    chosen = mix(docs, **options).filter("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
+    shielded, names = shield(docs, id_col)
+    joined = shielded.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")))
+    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return unshield(repeated, names, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import materialize, slices, table
+from zonewright.llm.common import materialize, repeats_ids, shield, slices, table, unshield
 from zonewright.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -158,5 +158,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stand for their near-duplicates: those whose id is their component's.
+
+    Of rows that repeat such an id one stays, the first by text."""
+    groups = near_duplicates(docs, id_col, text_col)
+    chosen = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_chosen")).distinct()
+    shielded, names = shield(docs, id_col, text_col)
+    kept = shielded.join(chosen, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_chosen")), "left_semi")
+    if repeats_ids(docs, id_col):
+        order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first(), *names.values())
+        kept = kept.withColumn("_first", F.row_number().over(order)).filter("_first = 1")
+    return unshield(kept, names, docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

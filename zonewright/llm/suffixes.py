@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import RollingHash, flat, keyed, materialize, slices, sorted_groups, table
+from zonewright.llm.common import RollingHash, flat, keyed, materialize, shield, slices, table, unshield
 
 LENGTH, GRAM = 100, 32
 #: Snippets of an anchor that one shard gets at most, and bytes of a shard's text.
@@ -378,9 +378,9 @@ def spans(starts: list[dict], n_bytes: int, length: int = LENGTH) -> list[tuple[
     return [(a, min(b, n_bytes)) for a, b in out]
 
 
-def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_key, _id, _text and _runs (null if none) of each row of docs."""
-    rows = keyed(docs, id_col, text_col)
+def with_spans(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_key, _id, _text, the columns in keep and _runs (null if none) of each row of docs."""
+    rows = keyed(docs, id_col, text_col, keep=keep)
     lists = removed_runs(rows).groupBy("_key").agg(F.collect_list(F.struct("_from", "_to")).alias("_runs"))
     return rows.join(materialize(lists, "removed"), "_key", "left")
 
@@ -416,5 +416,49 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return with_spans(docs, id_col, text_col).select("_id", "_text", "_runs").mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
+def without(text: str, cut: list[tuple[int, int]]) -> str:
+    """The text without the characters that lie wholly in these byte ranges."""
+    data, out, at = text.encode(), [], 0
+    for a, b in cut:
+        while a < b and data[a] & 0xC0 == 0x80:  # within a character
+            a += 1
+        while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(data[at:a])
+        at = b
+    return b"".join([*out, data[at:]]).decode()
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with repeated passages cut out of their texts and n_chars, if there, counted anew.
+
+    Only whole characters are cut. A text of which nothing but white space is left is dropped; one
+    that loses nothing stays as it is, empty and null ones too."""
+    shielded, names = shield(docs, id_col, text_col)
+    keep = tuple(names.values())
+    rows = with_spans(shielded, id_col, text_col, keep)
+    own = rows.schema
+    picked = rows.select("_id", "_text", *[F.col(f"`{c}`") for c in keep], "_runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                texts, stay = [], []
+                for text, starts in zip(part.column("_text"), part.column("_runs"), strict=True):
+                    text, starts = text.as_py(), starts.as_py()
+                    if starts:
+                        text = without(text, spans(starts, len(text.encode())))
+                    texts.append(text)
+                    stay.append(not starts or bool(text.strip()))
+                columns = [part.column("_id"), pa.array(texts, pa.string()), *[part.column(c) for c in keep]]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_text", *keep]).filter(pa.array(stay))
+
+    kinds = ", ".join(f"`{c}` {own[c].dataType.simpleString()}" for c in ("_id", "_text", *keep))
+    out = unshield(picked.mapInArrow(run, kinds), names | {id_col: "_id", text_col: "_text"}, docs.columns)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(F.col(f"`{text_col}`")).cast(docs.schema[chars_col].dataType))
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("spans")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import WHITE, flat, hash60, slices, sorted_groups, table
+from zonewright.llm.common import WHITE, flat, hash60, shield, slices, sorted_groups, table, unshield
 
 #: Lengths of the n-grams in UTF-8 bytes, and bits of their hash.
 SIZES = (4, 5, 6)
@@ -206,6 +206,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return picked.mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model does not call toxic."""
+    shielded, names = shield(docs, id_col, text_col)
+    scored = score(shielded, model, id_col, text_col, keep=(text_col, *names.values()))
+    return unshield(scored.filter("predicted = 0"), names, docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
