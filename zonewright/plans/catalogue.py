@@ -1,6 +1,674 @@
-"""All queries of the engine, and their SQL twins."""
+"""All queries of the engine over the synthetic geography, and their SQL twins for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from zonewright.functions import geo, scalar
+from zonewright.operators import assign, distances, graph, metrics, partition, relational, spatial, windows, zones
+from zonewright.plans import geography as geog
+from zonewright.plans.geography import with_ctes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+OFFICE = (geog.OFFICE_LAT, geog.OFFICE_LON)
+
+
+def query(ctes: str = "", sql: str | None = None, recursive: bool = False):
+    """Register a query under its function's name, with its SQL after the named common tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = with_ctes(ctes, sql, recursive)
+        return f
+
+    return add
+
+
+def r6(c, name: str | None = None):
+    col = F.col(c) if isinstance(c, str) else c
+    return F.round(col, 6).alias(name or c)
+
+
+def _mapped(spark, d):
+    return spatial.map_clients(geog.clients(spark, d), geog.wards(spark), geog.CELL)
+
+
+def _half(spark, d):
+    return distances.with_road(distances.pairs(geog.clients(spark, d)))
+
+
+def _both(spark, d):
+    return distances.mirrored(_half(spark, d))
+
+
+def _labelled(spark, d):
+    return geog.clients(spark, d).withColumn("label", (F.col("client_idx") % 5).cast("int"))
+
+
+def _edges(spark):
+    return graph.undirected(spatial.borders(geog.wards(spark))).select("src", "dst")
+
+
+def _occupied(spark, d):
+    return _mapped(spark, d).filter(F.col("pcode").isNotNull()).select("branch", "pcode").distinct()
+
+
+# spatial joins and rollups
+
+
+@query("client_ward", """SELECT pcode, township, count(*) AS n_clients, round(avg(office_km), 6) AS avg_office_km
+FROM client_ward WHERE pcode IS NOT NULL GROUP BY 1, 2""")
+def clients_per_ward(spark, d):
+    inside = _mapped(spark, d).filter(F.col("pcode").isNotNull())
+    return inside.groupBy("pcode", "township").agg(F.count(F.lit(1)).alias("n_clients"), r6(F.avg("office_km"), "avg_office_km"))
+
+
+@query("client_ward", "SELECT client_idx, branch, pcode, township FROM client_ward")
+def client_ward_map(spark, d):
+    return _mapped(spark, d).select("client_idx", "branch", "pcode", "township")
+
+
+@query("client_ward wards", """WITH away AS (
+  SELECT c.client_idx, w.pcode, w.ord, sqrt(greatest(w.x0 - c.lon, c.lon - w.x1, 0) ** 2 + greatest(w.y0 - c.lat, c.lat - w.y1, 0) ** 2) AS dist
+  FROM client_ward c CROSS JOIN wards w WHERE c.pcode IS NULL)
+SELECT client_idx, arg_min(pcode, dist * 1000000 + ord * 1e-6) AS pcode, round(min(dist), 6) AS distance_to_ward FROM away GROUP BY client_idx""")
+def unmapped_nearest_ward(spark, d):
+    outside = _mapped(spark, d).filter(F.col("pcode").isNull())
+    return spatial.nearest_ward(outside, geog.wards(spark), geog.CELL).select("client_idx", "pcode", r6("distance_to_ward"))
+
+
+@query("client_ward", """SELECT count(*) AS n_clients, count(pcode) AS n_mapped, count(*) - count(pcode) AS n_unmapped FROM client_ward""")
+def mapping_summary(spark, d):
+    fixed = spatial.fix_unmapped(_mapped(spark, d), geog.wards(spark), geog.CELL)
+    return fixed.agg(F.count(F.lit(1)).alias("n_clients"), F.sum((~F.col("was_unmapped")).cast("long")).alias("n_mapped"), F.sum(F.col("was_unmapped").cast("long")).alias("n_unmapped"))
+
+
+@query("client_ward", """SELECT min(n) AS min_clients, max(n) AS max_clients, round(avg(n), 6) AS avg_clients, median(n) AS median_clients
+FROM (SELECT pcode, count(*) AS n FROM client_ward WHERE pcode IS NOT NULL GROUP BY 1)""")
+def ward_count_stats(spark, d):
+    n = _mapped(spark, d).filter(F.col("pcode").isNotNull()).groupBy("pcode").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.min("n").alias("min_clients"), F.max("n").alias("max_clients"), r6(F.avg("n"), "avg_clients"), F.median("n").alias("median_clients"))
+
+
+@query("client_ward", """SELECT township, pcode, count(*) AS n_clients FROM client_ward WHERE pcode IS NOT NULL GROUP BY ROLLUP (township, pcode)""")
+def township_rollup(spark, d):
+    return _mapped(spark, d).filter(F.col("pcode").isNotNull()).rollup("township", "pcode").agg(F.count(F.lit(1)).alias("n_clients"))
+
+
+@query("client_ward", """SELECT pcode, count(*) AS n_clients FROM client_ward WHERE pcode IS NOT NULL GROUP BY 1
+ORDER BY n_clients DESC, min(client_idx) LIMIT 10""")
+def top_wards(spark, d):
+    n = _mapped(spark, d).filter(F.col("pcode").isNotNull()).groupBy("pcode").agg(F.count(F.lit(1)).alias("n_clients"), F.min("client_idx").alias("_first"))
+    return relational.top_k(n, 10, [F.desc("n_clients"), "_first"]).drop("_first")
+
+
+@query("client_ward", "SELECT pcode, CAST(list_sort(list(client_idx)) AS VARCHAR) AS clients FROM client_ward WHERE pcode IS NOT NULL GROUP BY 1")
+def ward_client_lists(spark, d):
+    held = _mapped(spark, d).filter(F.col("pcode").isNotNull()).groupBy("pcode").agg(F.sort_array(F.collect_list("client_idx")).alias("c"))
+    return held.select("pcode", F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x.cast("string")), ", "), F.lit("]")).alias("clients"))
+
+
+@query("client_ward", """SELECT branch, pcode, count(*) AS n_clients, round(avg(office_km), 6) AS avg_office_km FROM client_ward
+WHERE pcode IS NOT NULL GROUP BY 1, 2""")
+def ward_office_mean(spark, d):
+    return _mapped(spark, d).filter(F.col("pcode").isNotNull()).groupBy("branch", "pcode").agg(F.count(F.lit(1)).alias("n_clients"), r6(F.avg("office_km"), "avg_office_km"))
+
+
+# ingest, filters, sorts
+
+
+@query("", """SELECT lower(replace(name, ' ', '_')) AS id, name, type, branch,
+  row_number() OVER (PARTITION BY branch ORDER BY type <> 'Office', name, lower(replace(name, ' ', '_'))) - 1 AS loc_idx,
+  row_number() OVER (PARTITION BY branch ORDER BY type <> 'Office', name, lower(replace(name, ' ', '_'))) - 2 AS client_idx
+FROM (SELECT c_name AS name, 'Client' AS type, c_nationkey AS branch FROM customer
+      UNION ALL SELECT 'Main Office', 'Office', n_nationkey FROM nation)""")
+def locations_ordered(spark, d):
+    own = geog.read(spark, d, "customer").select(F.col("c_name").alias("name"), F.lit("Client").alias("type"), F.col("c_nationkey").alias("branch"))
+    office = geog.read(spark, d, "nation").select(F.lit("Main Office").alias("name"), F.lit("Office").alias("type"), F.col("n_nationkey").alias("branch"))
+    rows = own.unionByName(office).withColumn("id", scalar.slug(F.col("name")))
+    return relational.ordered_locations(rows).select("id", "name", "type", "branch", F.col("loc_idx").cast("long").alias("loc_idx"), F.col("client_idx").cast("long").alias("client_idx"))
+
+
+@query("visits", """SELECT branch, CAST(((date_diff('day', DATE '2024-01-01', CAST(due_date AS DATE)) % 28) + 28) % 28 + 1 AS INTEGER) AS cycle_day, count(*) AS n_visits
+FROM visits GROUP BY 1, 2""")
+def cycle_day_by_branch(spark, d):
+    return geog.visits(spark, d).groupBy("branch", scalar.cycle_day(F.col("due_date")).alias("cycle_day")).agg(F.count(F.lit(1)).alias("n_visits"))
+
+
+@query("visits", "SELECT branch, count(DISTINCT officer_id) AS n_officers, count(DISTINCT client_idx) AS n_clients FROM visits GROUP BY 1")
+def officers_per_branch(spark, d):
+    return geog.visits(spark, d).groupBy("branch").agg(F.countDistinct("officer_id").alias("n_officers"), F.countDistinct("client_idx").alias("n_clients"))
+
+
+@query("visits", "SELECT strftime(due_date, '%Y-%m-%d') AS due, count(DISTINCT officer_id) AS n_officers FROM visits GROUP BY 1")
+def officers_per_due_date(spark, d):
+    return geog.visits(spark, d).groupBy(scalar.date_string(F.col("due_date")).alias("due")).agg(F.countDistinct("officer_id").alias("n_officers"))
+
+
+@query("visits", """SELECT client_idx, branch, strftime(due_date, '%Y-%m-%d') AS due, officer_id FROM visits
+WHERE branch = 7 AND CAST(due_date AS DATE) >= DATE '1998-01-01'""")
+def visits_of_branch(spark, d):
+    rows = geog.visits(spark, d).filter((F.col("branch") == 7) & (F.col("due_date") >= F.lit("1998-01-01").cast("timestamp")))
+    return rows.select("client_idx", "branch", scalar.date_string(F.col("due_date")).alias("due"), "officer_id")
+
+
+@query("visits", """SELECT client_idx, branch, strftime(due_date, '%Y-%m-%d') AS due FROM (
+  SELECT *, row_number() OVER (PARTITION BY client_idx ORDER BY due_date, officer_id) AS rn FROM visits) WHERE rn = 1""")
+def first_visit_per_client(spark, d):
+    rows = relational.keep_first(geog.visits(spark, d), ["client_idx"], ["due_date", "officer_id"])
+    return rows.select("client_idx", "branch", scalar.date_string(F.col("due_date")).alias("due"))
+
+
+@query("clients visits", """SELECT client_idx, branch FROM clients WHERE client_idx NOT IN (SELECT client_idx FROM visits)""")
+def clients_never_visited(spark, d):
+    return geog.clients(spark, d).join(geog.visits(spark, d).select("client_idx"), "client_idx", "left_anti").select("client_idx", "branch")
+
+
+@query("wards client_ward", """SELECT pcode, 'occupied' AS kind FROM (SELECT pcode FROM wards INTERSECT SELECT pcode FROM client_ward)
+UNION ALL SELECT pcode, 'empty' FROM (SELECT pcode FROM wards EXCEPT SELECT pcode FROM client_ward)""")
+def ward_occupancy(spark, d):
+    every, held = geog.wards(spark).select("pcode"), _mapped(spark, d).select("pcode")
+    return every.intersect(held).withColumn("kind", F.lit("occupied")).unionByName(every.subtract(held).withColumn("kind", F.lit("empty")))
+
+
+@query("clients", "SELECT client_idx, branch, round(office_km, 6) AS office_km FROM clients ORDER BY office_km DESC, client_idx LIMIT 20")
+def furthest_20(spark, d):
+    return relational.top_k(geog.clients(spark, d), 20, [F.desc("office_km"), "client_idx"]).select("client_idx", "branch", r6("office_km"))
+
+
+@query("clients", """SELECT branch, count(*) AS n, round(avg(office_km), 6) AS mean, round(median(office_km), 6) AS median, round(min(office_km), 6) AS low,
+  round(max(office_km), 6) AS high, round(stddev_samp(office_km), 6) AS std, round(max(office_km) - min(office_km), 6) AS range_km,
+  round(stddev_samp(office_km) / avg(office_km), 6) AS cv, stddev_samp(office_km) >= 0.8 * (max(office_km) - min(office_km)) AS high_variability
+FROM clients GROUP BY 1""")
+def office_distance_stats(spark, d):
+    k = F.col("office_km")
+    span = F.max(k) - F.min(k)
+    return geog.clients(spark, d).groupBy("branch").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg(k), "mean"), r6(F.median(k), "median"), r6(F.min(k), "low"), r6(F.max(k), "high"), r6(F.stddev_samp(k), "std"),
+        r6(span, "range_km"), r6(F.stddev_samp(k) / F.avg(k), "cv"), (F.stddev_samp(k) >= 0.8 * span).alias("high_variability"),
+    )
+
+
+@query("clients", """SELECT least(30, CAST(floor((office_km - lo) / (hi - lo) * 30) AS INTEGER) + 1) AS bin, count(*) AS n
+FROM clients, (SELECT min(office_km) AS lo, max(office_km) AS hi FROM clients) GROUP BY 1""")
+def office_distance_hist(spark, d):
+    rows = geog.clients(spark, d)
+    ends = rows.agg(F.min("office_km").alias("lo"), F.max("office_km").alias("hi"))
+    bin_ = F.least(F.lit(30), F.floor((F.col("office_km") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 30).cast("int") + 1)
+    return rows.join(F.broadcast(ends)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # one row of ends
+
+
+# distances
+
+
+@query("pairs", """SELECT branch, count(*) AS n_pairs, round(sum(km), 3) AS sum_km, round(min(km), 6) AS min_km, round(max(km), 6) AS max_km FROM pairs GROUP BY 1""")
+def haversine_pairs(spark, d):
+    p = distances.pairs(geog.clients(spark, d))
+    return p.groupBy("branch").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum("km"), 3).alias("sum_km"), r6(F.min("km"), "min_km"), r6(F.max("km"), "max_km"))
+
+
+@query("both_pairs clients", """SELECT branch, i, count(*) AS n, round(sum(road_km), 4) AS sum_road_km FROM (
+  SELECT branch, i, road_km FROM both_pairs UNION ALL SELECT branch, client_idx, 0 FROM clients) GROUP BY 1, 2""")
+def road_pairs_mirrored(spark, d):
+    full = distances.mirrored(_half(spark, d), geog.clients(spark, d).select("branch", "client_idx"))
+    return full.groupBy("branch", "i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("road_km"), 4).alias("sum_road_km"))
+
+
+@query("clients", f"""SELECT client_idx, round({geog.bearing_sql('16.5::DOUBLE', '95.5::DOUBLE', 'lat', 'lon')}, 6) AS bearing,
+  round(atan2(lat - 16.5, lon - 95.5), 6) AS angle FROM clients""")
+def bearing(spark, d):
+    o, lat, lon = [F.lit(x) for x in OFFICE], F.col("lat"), F.col("lon")
+    return geog.clients(spark, d).select("client_idx", r6(geo.bearing(*o, lat, lon), "bearing"), r6(geo.planar_angle(*o, lat, lon), "angle"))
+
+
+@query("clients", """SELECT client_idx, CASE WHEN ratio > 2 THEN 'red' WHEN ratio > 1.5 THEN 'orange' ELSE 'green' END AS class, round(ratio, 6) AS ratio
+FROM (SELECT client_idx, CASE WHEN office_km > 0 THEN office_km * (1 + (client_idx % 3) * 0.3) / (office_km / 1.3) ELSE 1 END AS ratio FROM clients)""")
+def distance_ratio_class(spark, d):
+    road, direct = F.col("office_km") * (1 + (F.col("client_idx") % 3) * F.lit(0.3)), F.col("office_km") / 1.3
+    rows = geog.clients(spark, d).withColumn("ratio", F.when(F.col("office_km") > 0, geo.detour_ratio(road, direct)).otherwise(1.0))
+    return rows.select("client_idx", geo.ratio_class(F.col("ratio")).alias("class"), r6("ratio"))
+
+
+def _bearings(spark, d):
+    return geog.clients(spark, d).withColumn("bearing", geo.bearing(F.lit(OFFICE[0]), F.lit(OFFICE[1]), F.col("lat"), F.col("lon")))
+
+
+_BEARINGS = f"bearings AS (SELECT client_idx, branch, lat, lon, office_km, {geog.bearing_sql('16.5::DOUBLE', '95.5::DOUBLE', 'lat', 'lon')} AS bearing FROM clients)"
+
+
+@query("clients", f"""WITH {_BEARINGS}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY branch ORDER BY bearing, client_idx) - 1 AS pos, count(*) OVER (PARTITION BY branch) AS n FROM bearings)
+SELECT client_idx, branch, CAST((SELECT count(*) FROM range(1, 8) t(s) WHERE round_even(s * n / 8.0::DOUBLE, 0) <= pos) AS INTEGER) AS label FROM placed""")
+def bearing_slices(spark, d):
+    return windows.bearing_slices(_bearings(spark, d), 8).select("client_idx", "branch", F.col("label").cast("int").alias("label"))
+
+
+@query("clients", f"""WITH {_BEARINGS}
+SELECT client_idx, branch, row_number() OVER w - 1 AS pos, round(coalesce(lead(bearing) OVER w, first(bearing) OVER (PARTITION BY branch ORDER BY bearing, client_idx) + 360) - bearing, 6) AS gap
+FROM bearings WINDOW w AS (PARTITION BY branch ORDER BY bearing, client_idx)""")
+def angular_gaps(spark, d):
+    return windows.angular_gaps(_bearings(spark, d)).select("client_idx", "branch", F.col("pos").cast("long").alias("pos"), r6("gap"))
+
+
+@query("clients", f"""WITH {_BEARINGS}, gaps AS (
+  SELECT client_idx, branch, row_number() OVER w - 1 AS pos, coalesce(lead(bearing) OVER w, first(bearing) OVER (PARTITION BY branch ORDER BY bearing, client_idx) + 360) - bearing AS gap
+  FROM bearings WINDOW w AS (PARTITION BY branch ORDER BY bearing, client_idx)),
+cuts AS (SELECT branch, pos FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY gap DESC, pos) AS r FROM gaps) WHERE r <= 6)
+SELECT g.client_idx, g.branch, CAST(((SELECT count(*) FROM cuts c WHERE c.branch = g.branch AND c.pos < g.pos) - 1
+  + (SELECT count(*) FROM cuts c WHERE c.branch = g.branch)) % (SELECT count(*) FROM cuts c WHERE c.branch = g.branch) AS INTEGER) AS label FROM gaps g""")
+def gap_segments(spark, d):
+    gaps = windows.angular_gaps(_bearings(spark, d))
+    return windows.cut_segments(gaps, windows.largest_gaps(gaps, 6)).select("client_idx", "branch", "label")
+
+
+@query("clients", """SELECT client_idx, branch FROM (SELECT client_idx, branch, row_number() OVER (PARTITION BY branch ORDER BY atan2(lat - 16.5, lon - 95.5), client_idx) - 1 AS pos,
+  greatest(1, count(*) OVER (PARTITION BY branch) // 5) AS step FROM clients) WHERE pos % step = 0 AND pos / step < 5""")
+def angular_seeds(spark, d):
+    rows = geog.clients(spark, d).withColumn("angle", geo.planar_angle(F.lit(OFFICE[0]), F.lit(OFFICE[1]), F.col("lat"), F.col("lon")))
+    return windows.angular_seeds(rows, 5).select("client_idx", "branch")
+
+
+@query("client_ward both_pairs", """SELECT p.branch, a.pcode AS src, b.pcode AS dst, round(min(road_km), 6) AS min_km, round(avg(road_km), 6) AS mean_km, count(*) AS n
+FROM both_pairs p JOIN client_ward a ON a.client_idx = p.i JOIN client_ward b ON b.client_idx = p.j
+WHERE a.pcode IS NOT NULL AND b.pcode IS NOT NULL AND a.pcode <> b.pcode GROUP BY 1, 2, 3""")
+def ward_pair_min_mean(spark, d):
+    members = _mapped(spark, d).filter(F.col("pcode").isNotNull())
+    w = distances.ward_pairs(_both(spark, d), members)
+    return w.select("branch", "src", "dst", r6("min_km"), r6(F.col("sum_km") / F.col("n"), "mean_km"), "n")
+
+
+@query("both_pairs", """SELECT branch, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY branch, i ORDER BY road_km, j) AS rank FROM both_pairs) WHERE rank <= 5""")
+def knn_5(spark, d):
+    return spatial.knn(_both(spark, d), 5).select("branch", "i", "j", F.col("rank").cast("long").alias("rank"))
+
+
+# areas as a graph
+
+
+@query("ward_edges", "SELECT src, dst, 10.45::DOUBLE AS border_length_km FROM ward_edges WHERE src < dst")
+def ward_borders(spark, d):
+    return spatial.borders(geog.wards(spark)).select("src", "dst", r6("border_length_km"))
+
+
+@query("wards", "SELECT pcode, round((x0 + x1) / 2, 6) AS x, round((y0 + y1) / 2, 6) AS y FROM wards")
+def ward_centroids(spark, d):
+    return spatial.centroids(geog.wards(spark)).select("pcode", r6("x"), r6("y"))
+
+
+_STRAIGHT = geog.hav_sql("(a.y0 + a.y1) / 2", "(a.x0 + a.x1) / 2", "(b.y0 + b.y1) / 2", "(b.x0 + b.x1) / 2")
+
+
+@query("ward_edges client_ward both_pairs", f"""WITH roads AS (
+  SELECT a.pcode AS src, b.pcode AS dst, min(road_km) AS road_km FROM both_pairs p JOIN client_ward a ON a.client_idx = p.i JOIN client_ward b ON b.client_idx = p.j
+  WHERE p.branch = 3 AND a.pcode <> b.pcode GROUP BY 1, 2),
+e AS (SELECT g.src, g.dst, {_STRAIGHT} AS straight, coalesce(r.road_km, {_STRAIGHT} * 1.4::DOUBLE) AS road
+  FROM ward_edges g JOIN wards a ON a.pcode = g.src JOIN wards b ON b.pcode = g.dst LEFT JOIN roads r ON r.src = g.src AND r.dst = g.dst)
+SELECT src, dst, round(road, 3) AS road_distance, round(straight, 3) AS straight_distance, round(road / straight, 3) AS detour_ratio, round(10.45 / road, 3) AS score FROM e""")
+def ward_adjacency_score(spark, d):
+    members = _mapped(spark, d).filter(F.col("pcode").isNotNull() & (F.col("branch") == 3))
+    half = _half(spark, d).filter("branch = 3")
+    roads = distances.ward_pairs(distances.mirrored(half), members).select("src", "dst", F.col("min_km").alias("road_km"))
+    # 3 places: the centroids here come from the outline, in the SQL from the grid
+    rows = spatial.adjacency(geog.wards(spark), roads)
+    return rows.select("src", "dst", *[F.round(c, 3).alias(c) for c in ("road_distance", "straight_distance", "detour_ratio", "score")])
+
+
+_OCC = "occ AS (SELECT DISTINCT branch, pcode FROM client_ward WHERE pcode IS NOT NULL)"
+_GRAPH0 = "g AS (SELECT a.branch, e.src, e.dst FROM ward_edges e JOIN occ a ON a.pcode = e.src JOIN occ b ON b.pcode = e.dst AND a.branch = b.branch)"
+_GRAPH1 = """g AS (SELECT a.branch, e.src, e.dst FROM ward_edges e JOIN occ a ON a.pcode = e.src JOIN occ b ON b.pcode = e.dst AND a.branch = b.branch
+  UNION SELECT a.branch, e.src, f.dst FROM ward_edges e JOIN ward_edges f ON e.dst = f.src AND e.src <> f.dst JOIN occ a ON a.pcode = e.src JOIN occ b ON b.pcode = f.dst AND a.branch = b.branch
+  WHERE NOT EXISTS (SELECT 1 FROM occ m WHERE m.branch = a.branch AND m.pcode = e.dst))"""
+
+
+@query("ward_edges client_ward", f"WITH {_OCC}, {_GRAPH0} SELECT DISTINCT branch, src, dst FROM g")
+def client_ward_graph_allow0(spark, d):
+    return graph.client_graph(_edges(spark), _occupied(spark, d), 0, ("branch",))
+
+
+@query("ward_edges client_ward", f"WITH {_OCC}, {_GRAPH1} SELECT DISTINCT branch, src, dst FROM g")
+def client_ward_graph_allow1(spark, d):
+    return graph.client_graph(_edges(spark), _occupied(spark, d), 1, ("branch",))
+
+
+@query("ward_edges client_ward", f"""WITH {_OCC}, {_GRAPH0}, reach AS (
+  SELECT branch, pcode AS node, pcode AS low FROM occ UNION SELECT r.branch, g.dst, r.low FROM reach r JOIN g ON g.branch = r.branch AND g.src = r.node WHERE r.low < g.dst)
+SELECT branch, node, min(low) AS component FROM reach GROUP BY 1, 2""", recursive=True)
+def ward_components(spark, d):
+    held = _occupied(spark, d)
+    return graph.components(held.withColumnRenamed("pcode", "node"), graph.client_graph(_edges(spark), held, 0, ("branch",)), ("branch",))
+
+
+@query("ward_edges client_ward", f"""WITH {_OCC}, {_GRAPH1}, deg AS (
+  SELECT o.branch, o.pcode, (SELECT count(DISTINCT dst) FROM g WHERE g.branch = o.branch AND g.src = o.pcode) AS n FROM occ o)
+SELECT branch, CAST(sum(CAST(n > 0 AS INTEGER)) AS BIGINT) AS connected, CAST(sum(CAST(n = 0 AS INTEGER)) AS BIGINT) AS isolated, min(n) AS min_degree, max(n) AS max_degree, round(avg(n), 6) AS avg_degree FROM deg GROUP BY 1""")
+def neighbour_stats(spark, d):
+    held = _occupied(spark, d)
+    own = graph.degree_stats(held.withColumnRenamed("pcode", "node"), graph.client_graph(_edges(spark), held, 1, ("branch",)), ("branch",))
+    return own.withColumn("avg_degree", F.round("avg_degree", 6))
+
+
+_ZONES = "z AS (SELECT branch, pcode, CAST(substr(pcode, 2) AS INTEGER) // 20 AS zone FROM occ)"
+
+
+def _zoned(spark, d):
+    return _occupied(spark, d).withColumn("zone", F.floor(F.substring("pcode", 2, 3).cast("int") / 20).cast("int"))
+
+
+@query("ward_edges client_ward", f"""WITH {_OCC}, {_GRAPH1}, {_ZONES}
+SELECT DISTINCT g.branch, a.zone AS a, b.zone AS b FROM g JOIN z a ON a.branch = g.branch AND a.pcode = g.src JOIN z b ON b.branch = g.branch AND b.pcode = g.dst WHERE a.zone <> b.zone""")
+def zone_quotient(spark, d):
+    edges = graph.client_graph(_edges(spark), _occupied(spark, d), 1, ("branch",))
+    return graph.quotient(edges, _zoned(spark, d), ("branch",))
+
+
+@query("ward_edges client_ward", f"""WITH {_OCC}, {_ZONES}
+SELECT DISTINCT a.branch, a.zone, b.zone AS other, a.pcode, (SELECT count(*) FROM client_ward c WHERE c.branch = a.branch AND c.pcode = a.pcode) AS n_clients
+FROM ward_edges e JOIN z a ON a.pcode = e.src JOIN z b ON b.pcode = e.dst AND b.branch = a.branch WHERE a.zone <> b.zone""")
+def boundary_wards(spark, d):
+    counts = _mapped(spark, d).groupBy("branch", "pcode").agg(F.count(F.lit(1)).alias("n_clients"))
+    return graph.boundary(_edges(spark), _zoned(spark, d), counts, ("branch",)).select("branch", "zone", "other", "pcode", "n_clients")
+
+
+_TREE = "tree AS (SELECT ord, pcode AS node, CASE WHEN ord = 0 THEN NULL ELSE 'W' || lpad(CAST(CASE WHEN ord % 10 > 0 THEN ord - 1 ELSE ord - 10 END AS VARCHAR), 3, '0') END AS parent FROM wards)"
+
+
+def _tree(spark):
+    above = F.when(F.col("ord") % 10 > 0, F.col("ord") - 1).otherwise(F.col("ord") - 10)
+    return geog.wards(spark).select(F.col("pcode").alias("node"), F.when(F.col("ord") > 0, F.concat(F.lit("W"), F.lpad(above.cast("string"), 3, "0"))).alias("parent"))
+
+
+@query("client_ward", f"""WITH {_TREE}, up AS (SELECT node, node AS ancestor FROM tree UNION ALL SELECT u.node, t.parent FROM up u JOIN tree t ON t.node = u.ancestor WHERE t.parent IS NOT NULL)
+SELECT u.ancestor AS node, count(c.client_idx) AS n_clients FROM up u LEFT JOIN client_ward c ON c.pcode = u.node GROUP BY 1""", recursive=True)
+def subtree_client_count(spark, d):
+    counts = _mapped(spark, d).filter(F.col("pcode").isNotNull()).groupBy("pcode").agg(F.count(F.lit(1)).alias("n_clients"))
+    return graph.subtree_counts(_tree(spark), counts)
+
+
+@query("client_ward", f"""WITH {_TREE}, up AS (SELECT node, node AS ancestor FROM tree UNION ALL SELECT u.node, t.parent FROM up u JOIN tree t ON t.node = u.ancestor WHERE t.parent IS NOT NULL)
+SELECT DISTINCT ancestor AS node FROM up WHERE node IN (SELECT pcode FROM client_ward WHERE branch = 1)""", recursive=True)
+def relevant_wards(spark, d):
+    return graph.relevant(_tree(spark), _mapped(spark, d).filter((F.col("branch") == 1) & F.col("pcode").isNotNull()).select("pcode").distinct())
+
+
+@query("wards", f"WITH {_TREE} SELECT parent AS node, array_to_string(list_sort(list(node)), ',') AS children FROM tree WHERE parent IS NOT NULL GROUP BY 1")
+def tree_children(spark, d):
+    return graph.children(_tree(spark)).select("node", F.array_join("children", ",").alias("children"))
+
+
+# judging a labelling
+
+
+@query("labels5", """SELECT b.branch, b.label, count(l.client_idx) AS size FROM (SELECT DISTINCT branch, CAST(k AS INTEGER) AS label FROM labels5, range(7) t(k)) b
+LEFT JOIN labels5 l ON l.branch = b.branch AND l.label = b.label GROUP BY 1, 2""")
+def cluster_sizes_dense(spark, d):
+    return metrics.sizes(_labelled(spark, d), 7)
+
+
+_INNER = "inner_pairs AS (SELECT p.branch, a.label, p.i, p.j, p.road_km FROM pairs p JOIN labels5 a ON a.client_idx = p.i JOIN labels5 b ON b.client_idx = p.j AND a.label = b.label)"
+
+
+@query("labels5 pairs", f"""WITH {_INNER}, inn AS (SELECT branch, label, avg(road_km) AS a, max(road_km) AS m FROM inner_pairs GROUP BY 1, 2)
+SELECT l.branch, l.label, count(*) AS size, round(avg(office_km), 6) AS avg_office, round(max(office_km), 6) AS max_office, round(coalesce(any_value(a), 0), 6) AS avg_inner, round(coalesce(any_value(m), 0), 6) AS max_inner
+FROM labels5 l LEFT JOIN inn USING (branch, label) GROUP BY 1, 2""")
+def cluster_stats(spark, d):
+    s = metrics.cluster_stats(_labelled(spark, d), _half(spark, d))
+    return s.select("branch", "label", "size", r6("avg_office"), r6("max_office"), r6("avg_inner"), r6("max_inner"))
+
+
+@query("labels5", """SELECT branch, round(stddev_pop(size), 6) AS size_std, max(size) - min(size) AS size_range, count(*) AS n_clusters FROM (
+  SELECT branch, label, count(*) AS size FROM labels5 GROUP BY 1, 2) GROUP BY 1""")
+def cluster_spread(spark, d):
+    s = _labelled(spark, d).groupBy("branch", "label").agg(F.count(F.lit(1)).alias("size"))
+    return metrics.spread(s).select("branch", r6("size_std"), "size_range", "n_clusters")
+
+
+@query("labels5 pairs", f"WITH {_INNER} SELECT branch, round(avg(road_km), 6) AS avg_inner, round(max(road_km), 6) AS max_inner FROM inner_pairs GROUP BY 1")
+def inner_loss(spark, d):
+    return metrics.inner_loss(_labelled(spark, d), _half(spark, d)).select("branch", r6("avg_inner"), r6("max_inner"))
+
+
+_SUMS = """sums AS (SELECT a.branch, a.label, a.client_idx AS i, coalesce(sum(p.road_km), 0) AS total FROM labels5 a
+  LEFT JOIN (SELECT p.i, p.road_km, b.label FROM both_pairs p JOIN labels5 b ON b.client_idx = p.j) p ON p.i = a.client_idx AND p.label = a.label GROUP BY 1, 2, 3)"""
+
+
+@query("labels5 both_pairs", f"""WITH {_SUMS} SELECT branch, label, i AS medoid, round(total, 4) AS total_km FROM (
+  SELECT *, row_number() OVER (PARTITION BY branch, label ORDER BY total, i) AS r FROM sums) WHERE r = 1""")
+def medoid_per_cluster(spark, d):
+    return metrics.medoids(_labelled(spark, d), _both(spark, d)).select("branch", "label", "medoid", F.round("total_km", 4).alias("total_km"))
+
+
+@query("labels5 both_pairs", f"WITH {_SUMS} SELECT branch, round(sum(total), 4) AS medoid_loss FROM (SELECT branch, label, min(total) AS total FROM sums GROUP BY 1, 2) GROUP BY 1")
+def medoid_loss(spark, d):
+    return metrics.medoid_loss(_labelled(spark, d), _both(spark, d)).select("branch", F.round("medoid_loss", 4).alias("medoid_loss"))
+
+
+@query("labels5 pairs", f"""WITH {_INNER}, s AS (SELECT branch, label, count(*) AS size FROM labels5 GROUP BY 1, 2), inn AS (SELECT branch, label, avg(road_km) AS a FROM inner_pairs GROUP BY 1, 2)
+SELECT s.branch, round(10 * stddev_pop(size) + coalesce(avg(CASE WHEN size >= 2 THEN a END), 0), 6) AS score FROM s LEFT JOIN inn USING (branch, label) GROUP BY 1""")
+def balance_score(spark, d):
+    return metrics.balance_score(_labelled(spark, d), _half(spark, d)).select("branch", r6("score"))
+
+
+@query("labels5", """SELECT branch, round((max(size) - min(size)) / greatest(max(size), 1), 6) AS balance, count(*) <= 5 AND min(size) >= 8 AND max(size) <= 15 AS feasible FROM (
+  SELECT branch, label, count(*) AS size FROM labels5 GROUP BY 1, 2) GROUP BY 1""")
+def balance_and_constraints(spark, d):
+    rows = _labelled(spark, d)
+    size = rows.groupBy("branch", "label").agg(F.count(F.lit(1)).alias("size"))
+    return metrics.balance(size).join(metrics.constraints(rows, 8, 15, 5), "branch").select("branch", r6("balance"), "feasible")
+
+
+_MEANS = "m AS (SELECT a.branch, a.client_idx, a.label AS own, b.label, avg(p.road_km) AS km, median(p.road_km) AS med FROM both_pairs p JOIN labels5 a ON a.client_idx = p.i JOIN labels5 b ON b.client_idx = p.j GROUP BY 1, 2, 3, 4)"
+
+
+@query("labels5 both_pairs", f"""WITH {_MEANS}, ab AS (SELECT branch, client_idx, max(CASE WHEN own = label THEN km END) AS a, min(CASE WHEN own <> label THEN km END) AS b FROM m GROUP BY 1, 2)
+SELECT branch, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab GROUP BY 1""")
+def silhouette(spark, d):
+    return metrics.silhouette(_labelled(spark, d), _both(spark, d)).select("branch", r6("silhouette"))
+
+
+_OTHER = """o AS (SELECT m.branch, m.client_idx, m.own AS label, coalesce(any_value(s.km), any_value(l.office_km)) AS own_km, arg_min(m.label, m.km) AS other, min(m.km) AS other_km
+  FROM m LEFT JOIN m s ON s.client_idx = m.client_idx AND s.own = s.label JOIN labels5 l ON l.client_idx = m.client_idx WHERE m.own <> m.label GROUP BY 1, 2, 3)"""
+
+
+@query("labels5 both_pairs", f"WITH {_MEANS}, {_OTHER} SELECT branch, client_idx, label, other, round(own_km, 6) AS own_km, round(other_km, 6) AS other_km FROM o WHERE other_km <= 1.3 * own_km")
+def sgb_boundary_clients(spark, d):
+    return metrics.boundary_clients(_labelled(spark, d), _both(spark, d)).select("branch", "client_idx", "label", "other", r6("own_km"), r6("other_km"))
+
+
+@query("labels5 both_pairs", f"WITH {_MEANS}, {_OTHER} SELECT branch, client_idx, label, other, round(own_km - other_km, 6) AS gap FROM o")
+def sgb2_gaps(spark, d):
+    return metrics.boundary_gaps(_labelled(spark, d), _both(spark, d)).select("branch", "client_idx", "label", "other", r6("gap"))
+
+
+@query("labels5 both_pairs", f"""WITH {_MEANS}, b AS (SELECT *, row_number() OVER (PARTITION BY client_idx ORDER BY med, label) AS r FROM m WHERE own <> label AND (label = (own + 1) % 5 OR label = (own + 4) % 5))
+SELECT b.branch, b.client_idx, b.own AS label, b.label AS other, round(s.med - b.med, 6) AS severity FROM b JOIN m s ON s.client_idx = b.client_idx AND s.own = s.label WHERE r = 1 AND b.med < s.med""")
+def petal_violations(spark, d):
+    return metrics.petal_violations(_labelled(spark, d), _both(spark, d), 5).select("branch", "client_idx", "label", "other", r6("severity"))
+
+
+@query("clients", """SELECT branch, round(quantile_cont(office_km, 0.5), 6) AS median, round(quantile_cont(office_km, 0.25), 6) AS p25, round(quantile_cont(office_km, 0.75), 6) AS p75,
+  round(quantile_cont(office_km, 0.75) - quantile_cont(office_km, 0.25), 6) AS iqr FROM clients GROUP BY 1""")
+def calibration_percentiles(spark, d):
+    p = metrics.percentiles(geog.clients(spark, d), ["branch"], "office_km")
+    return p.select("branch", r6("median"), r6("p25"), r6("p75"), r6("iqr"))
+
+
+@query("both_pairs", "SELECT branch, round(0.3 * quantile_cont(road_km, 0.1), 6) AS tolerance FROM both_pairs WHERE road_km > 0 GROUP BY 1")
+def shaving_tolerance(spark, d):
+    return _both(spark, d).filter("road_km > 0").groupBy("branch").agg(r6(0.3 * F.percentile("road_km", 0.1), "tolerance"))
+
+
+@query("labels5", """SELECT client_idx, branch, CAST(CASE WHEN label > 0 THEN dense_rank() OVER (PARTITION BY branch, label > 0 ORDER BY label) - 1
+  ELSE (SELECT count(DISTINCT x.label) FROM labels5 x WHERE x.branch = l.branch AND x.label > 0) + row_number() OVER (PARTITION BY branch, label > 0 ORDER BY client_idx) - 1 END AS INTEGER) AS label FROM labels5 l""")
+def outliers_renumbered(spark, d):
+    rows = _labelled(spark, d).withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
+    own = relational.outliers_to_clusters(relational.dense_labels(rows, partition=["branch"]), ["branch"])
+    return own.select("client_idx", "branch", F.col("label").cast("int").alias("label"))
+
+
+# assignment
+
+
+_SEED5 = "seeds AS (SELECT branch, client_idx, CAST(row_number() OVER (PARTITION BY branch ORDER BY client_idx) - 1 AS INTEGER) AS seed FROM clients QUALIFY row_number() OVER (PARTITION BY branch ORDER BY client_idx) <= 5)"
+
+
+def _seeds5(spark, d):
+    rows = relational.top_k(geog.clients(spark, d), 5, ["client_idx"], ["branch"])
+    from pyspark.sql import Window
+
+    return rows.select("branch", "client_idx", (F.row_number().over(Window.partitionBy("branch").orderBy("client_idx")) - 1).alias("seed"))
+
+
+@query("clients both_pairs", f"""WITH {_SEED5}, near AS (
+  SELECT p.branch, p.i AS client_idx, s.seed, p.road_km FROM both_pairs p JOIN seeds s ON s.client_idx = p.j UNION ALL SELECT branch, client_idx, seed, 0 FROM seeds)
+SELECT client_idx, branch, seed AS label, round(road_km, 6) AS seed_km FROM (SELECT *, row_number() OVER (PARTITION BY client_idx ORDER BY road_km, seed) AS r FROM near) WHERE r = 1""")
+def nearest_seed_labels(spark, d):
+    return assign.nearest_seed(geog.clients(spark, d), _both(spark, d), _seeds5(spark, d)).select("client_idx", "branch", "label", r6("seed_km"))
+
+
+_NEW = f"nd AS (SELECT n.branch, n.client_idx, l.label, l.office_km, l.client_idx AS other, {geog.hav_sql('n.lat', 'n.lon', 'l.lat', 'l.lon')} * 1.3::DOUBLE AS km FROM new_clients n JOIN labels5 l ON l.branch = n.branch)"
+_TARGET = "t AS (SELECT branch, count(*) / 5.0::DOUBLE AS target, avg(office_km) AS office FROM labels5 GROUP BY 1)"
+_PICK = "SELECT branch, client_idx, label, round(cost, 6) AS cost FROM (SELECT *, row_number() OVER (PARTITION BY client_idx ORDER BY cost, label) AS r FROM c) WHERE r = 1"
+
+
+@query("new_clients labels5", f"""WITH {_NEW}, {_TARGET}, m AS (SELECT branch, client_idx, label, avg(km) AS km, count(*) AS size FROM nd GROUP BY 1, 2, 3),
+c AS (SELECT m.branch, client_idx, label, km * CASE WHEN size >= ceil(target * 1.2::DOUBLE) THEN 2.0 WHEN size > target THEN 1.2 ELSE 1.0 END AS cost FROM m JOIN t USING (branch)) {_PICK}""")
+def new_client_sgb(spark, d):
+    return assign.assign_new_mean(geog.new_clients(spark, d), _labelled(spark, d), 5).select("branch", "client_idx", "label", r6("cost"))
+
+
+@query("new_clients labels5", f"""WITH {_NEW}, {_TARGET}, m AS (SELECT branch, client_idx, label, avg(km) AS km, count(*) AS size FROM nd GROUP BY 1, 2, 3),
+c AS (SELECT m.branch, client_idx, label, 0.6::DOUBLE * km + 0.4::DOUBLE * greatest(0, (size + 1 - target) / target) * km * office AS cost FROM m JOIN t USING (branch)) {_PICK}""")
+def new_client_balanced(spark, d):
+    return assign.assign_new_balanced(geog.new_clients(spark, d), _labelled(spark, d), 5).select("branch", "client_idx", "label", r6("cost"))
+
+
+@query("new_clients labels5 clients", f"""WITH {_BEARINGS}, {_NEW}, {_TARGET},
+mb AS (SELECT branch, CAST(client_idx % 5 AS INTEGER) AS label, count(*) AS size, degrees(atan2(avg(sin(radians(bearing))), avg(cos(radians(bearing))))) AS b FROM bearings GROUP BY 1, 2),
+m AS (SELECT branch, client_idx, label, median(km) AS km FROM nd GROUP BY 1, 2, 3),
+nb AS (SELECT client_idx, {geog.bearing_sql('16.5::DOUBLE', '95.5::DOUBLE', 'lat', 'lon')} AS own FROM new_clients),
+a AS (SELECT m.branch, m.client_idx, m.label, m.km, mb.size, target, abs(own - CASE WHEN b < 0 THEN b + 360 ELSE b END) AS apart FROM m JOIN mb USING (branch, label) JOIN nb USING (client_idx) JOIN t USING (branch)),
+c AS (SELECT branch, client_idx, label, (0.4 * least(apart, 360 - apart) + 0.6 * km) * CASE WHEN size >= ceil(target * 1.2::DOUBLE) THEN 3.0 WHEN size > target THEN 1.3 ELSE 1.0 END AS cost FROM a) {_PICK}""")
+def new_client_petal(spark, d):
+    rows = _bearings(spark, d).withColumn("label", (F.col("client_idx") % 5).cast("int"))
+    return assign.assign_new_petal(geog.new_clients(spark, d), rows, OFFICE, 5).select("branch", "client_idx", "label", r6("cost"))
+
+
+@query("labels5 both_pairs", """WITH k AS (SELECT branch, i, j FROM (SELECT *, row_number() OVER (PARTITION BY branch, i ORDER BY road_km, j) AS r FROM both_pairs) WHERE r <= 5),
+s AS (SELECT branch, label, count(*) AS size FROM labels5 GROUP BY 1, 2),
+v AS (SELECT k.branch, k.i, l.label, sum(CASE WHEN s.size >= 12 THEN 0.5 ELSE 1.0 END) AS w FROM k JOIN labels5 l ON l.client_idx = k.j JOIN s ON s.branch = k.branch AND s.label = l.label GROUP BY 1, 2, 3)
+SELECT branch, i AS client_idx, label FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, label) AS r FROM v) WHERE r = 1""")
+def swarm_round(spark, d):
+    return assign.swarm_round(_labelled(spark, d), spatial.knn(_both(spark, d), 5), 12).select("branch", "client_idx", "label")
+
+
+@query("labels5 both_pairs", """WITH n AS (SELECT a.branch, a.client_idx, b.label, p.road_km FROM both_pairs p JOIN labels5 a ON a.client_idx = p.i AND a.label = 0 JOIN labels5 b ON b.client_idx = p.j AND b.label > 0),
+best AS (SELECT client_idx, label FROM (SELECT *, row_number() OVER (PARTITION BY client_idx ORDER BY road_km, label) AS r FROM n) WHERE r = 1 AND road_km <= 7.2)
+SELECT l.branch, l.client_idx, CASE WHEN l.label > 0 THEN l.label ELSE coalesce(b.label, -1) END AS label FROM labels5 l LEFT JOIN best b USING (client_idx)""")
+def merged_outliers(spark, d):
+    rows = _labelled(spark, d).withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
+    return metrics.merge_near_outliers(rows, _both(spark, d)).select("branch", "client_idx", "label")
+
+
+# routes
+
+
+def _routes(spark, d):
+    """21 points to each client: half its way north or south of the office, then straight on."""
+    turn = F.lit(OFFICE[0]) + F.lit(0.2) * F.signum(F.col("lat") - OFFICE[0])
+    steps = F.sequence(F.lit(0), F.lit(20))
+
+    def point(i):
+        first, late = i / F.lit(10.0), (i - 10) / F.lit(10.0)
+        lat = F.when(i <= 10, OFFICE[0] + first * (turn - OFFICE[0])).otherwise(turn + late * (F.col("lat") - turn))
+        lon = F.when(i <= 10, F.lit(OFFICE[1])).otherwise(OFFICE[1] + late * (F.col("lon") - OFFICE[1]))
+        return F.struct(lat.alias("lat"), lon.alias("lon"))
+
+    return geog.clients(spark, d).withColumn("route", F.transform(steps, point))
+
+
+_ROUTE = """r AS (SELECT client_idx, branch, CAST(s AS INTEGER) AS s,
+  CASE WHEN s <= 10 THEN 16.5::DOUBLE + s / 10.0::DOUBLE * (turn - 16.5::DOUBLE) ELSE turn + (s - 10) / 10.0::DOUBLE * (lat - turn) END AS lat,
+  CASE WHEN s <= 10 THEN 95.5::DOUBLE ELSE 95.5::DOUBLE + (s - 10) / 10.0::DOUBLE * (lon - 95.5::DOUBLE) END AS lon
+  FROM (SELECT *, 16.5::DOUBLE + 0.2::DOUBLE * sign(lat - 16.5::DOUBLE) AS turn FROM clients WHERE branch = 2), range(21) t(s))"""
+
+
+@query("clients", f"""WITH {_ROUTE}, miss AS (SELECT a.client_idx AS i, b.client_idx AS j, min(CASE WHEN abs(a.lat - b.lat) > 0.001 OR abs(a.lon - b.lon) > 0.001 THEN a.s END) AS first_miss
+  FROM r a JOIN r b ON a.s = b.s AND a.client_idx < b.client_idx GROUP BY 1, 2)
+SELECT i, j, round(coalesce(first_miss, 21) / 21.0::DOUBLE, 6) AS similarity FROM miss""")
+def route_prefix_similarity(spark, d):
+    rows = _routes(spark, d).filter("branch = 2")
+    a, b = rows.select(F.col("client_idx").alias("i"), F.col("route").alias("ra")), rows.select(F.col("client_idx").alias("j"), F.col("route").alias("rb"))
+    return a.join(b, F.col("i") < F.col("j")).select("i", "j", r6(geo.route_similarity(F.col("ra"), F.col("rb")), "similarity"))
+
+
+# partitions: no SQL can follow their steps, so their labels are returned as they are
+
+
+def _solved(method, **options):
+    def run(spark, d):
+        return partition.solve(geog.clients(spark, d), method, **options)
+
+    return run
+
+
+def _params(spark, schema, rows):
+    return spark.createDataFrame(rows, schema)
+
+
+QUERIES |= {
+    "kmedoids_fit": _solved(partition.kmedoids, k=6),
+    "constrained_kmedoids": _solved(partition.constrained_kmedoids, k=6),
+    "sgb1_labels": _solved(partition.refined, k=5, rounds=10),
+    "sgb2_labels": _solved(partition.shaved, k=5),
+    "sgb3_labels": _solved(partition.untangled, k=5),
+    "petal1_labels": _solved(partition.petals, k=6, office=OFFICE),
+    "petal2_labels": _solved(partition.petals, k=6, office=OFFICE, cuts="gaps"),
+    "density_labels": _solved(partition.density_limited),
+    "sequential_route_labels": _solved(partition.sequential_routes, k=5),
+    "louvain_labels": _solved(partition.route_communities, office=OFFICE),
+    "route_group_labels": _solved(partition.route_groups, office=OFFICE, k=5),
+    "vrp_routes": lambda spark, d: partition.solve(geog.clients(spark, d).filter("branch < 3"), partition.vehicles, k=8),
+    "swarm_labels": _solved(partition.swarm, k=5),
+}
+
+
+@query()
+def hierarchical_labels(spark, d):
+    """All linkage methods side by side."""
+    methods = _params(spark, "method string", [(m,) for m in ("average", "complete", "single", "ward")])
+    return partition.solve(geog.clients(spark, d), partition.hierarchical, methods, k=6)
+
+
+@query()
+def hdbscan_grid(spark, d):
+    """Parameters by validity: each pair of sizes solved in its own task, then judged."""
+    grid = _params(spark, "min_cluster_size int, min_samples int", [(a, b) for a in range(3, 9, 2) for b in range(2, 6, 2) if b <= a])
+    labels = partition.solve(geog.clients(spark, d).filter("branch < 4"), partition.density, grid)
+    keys = ["branch", "min_cluster_size", "min_samples"]
+    outlier = (F.col("label") < 0).cast("int")
+    return labels.groupBy(*keys).agg((F.max("label") + 1).alias("n_clusters"), F.sum(outlier).alias("n_outliers"), F.round(F.avg(outlier) * 100, 6).alias("outlier_pct"))
+
+
+@query()
+def search_restarts(spark, d):
+    """Local search from several seeds side by side; the best is kept for each branch."""
+    restarts = _params(spark, "seed int", [(s,) for s in range(3)])
+    found = partition.solve(geog.clients(spark, d).filter("branch < 3"), partition.search, restarts, k=5, rounds=60)
+    inner = metrics.inner_loss(found.withColumn("branch", F.concat_ws("/", "branch", "seed")), _half(spark, d).filter("branch < 3").crossJoin(F.broadcast(restarts)).withColumn("branch", F.concat_ws("/", "branch", "seed")).drop("seed"))
+    return inner.select(F.split("branch", "/")[0].cast("int").alias("branch"), F.split("branch", "/")[1].cast("int").alias("seed"), r6("avg_inner"))
+
+
+def _zones(variant):
+    def run(spark, d):
+        return zones.zones(_mapped(spark, d), _edges(spark), 6, variant=variant)
+
+    return run
+
+
+QUERIES |= {f"ward_zones_{v}": _zones(v) for v in zones.VARIANTS}
+QUERIES["dsga_zones"] = lambda spark, d: zones.zones(_mapped(spark, d), _edges(spark), 6)
