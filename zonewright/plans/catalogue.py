@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.functions import geo, scalar
-from zonewright.operators import assign, distances, graph, metrics, partition, relational, spatial, windows, zones
+from zonewright.operators import assign, distances, graph, metrics, partition, relational, reports, spatial, windows, zones
 from zonewright.plans import geography as geog
 from zonewright.plans.geography import with_ctes
 
@@ -606,6 +606,77 @@ def route_prefix_similarity(spark, d):
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", r6(geo.route_similarity(F.col("ra"), F.col("rb")), "similarity"))
 
 
+# reports
+
+
+@query("labels5 both_pairs", f"""WITH {_SUMS}, m AS (SELECT branch, label AS cluster, i AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY branch, label ORDER BY total, i) AS r FROM sums) WHERE r = 1),
+k AS (SELECT l.branch, l.client_idx, l.label, m.cluster, m.medoid, round(coalesce(p.road_km, 0), 2) AS km FROM labels5 l JOIN m USING (branch) LEFT JOIN both_pairs p ON p.i = l.client_idx AND p.j = m.medoid),
+r AS (SELECT *, row_number() OVER (PARTITION BY client_idx ORDER BY km, cluster) AS rank FROM k)
+SELECT branch, client_idx, label, cluster, medoid, km, rank, max(CASE WHEN rank = 1 THEN cluster END) OVER (PARTITION BY client_idx) = label AS correct FROM r""")
+def medoid_distance_table(spark, d):
+    rows = reports.medoid_distances(_labelled(spark, d), _both(spark, d))
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("pairs", "SELECT branch, count(*) AS n, round(avg(CASE WHEN km <> 0 THEN road_km / km ELSE 0 END), 6) AS avg_ratio FROM pairs GROUP BY 1")
+def ratio_matrix(spark, d):
+    return reports.ratio_matrix(_half(spark, d)).groupBy("branch").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("ratio"), "avg_ratio"))
+
+
+@query("labels5 pairs", f"""WITH {_INNER}, inn AS (SELECT branch, label, avg(road_km) AS a FROM inner_pairs GROUP BY 1, 2), b AS (SELECT branch, label, count(*) AS n FROM labels5 GROUP BY 1, 2),
+l2 AS (SELECT branch, CAST(client_idx % 3 AS INTEGER) AS label, client_idx FROM clients), a2 AS (SELECT branch, label, count(*) AS n FROM l2 GROUP BY 1, 2)
+SELECT branch, label, b.n AS size_before, a2.n AS size_after, round(CASE WHEN b.n IS NOT NULL THEN coalesce(inn.a, 0) END, 6) AS inner_before FROM b FULL JOIN a2 USING (branch, label) LEFT JOIN inn USING (branch, label)""")
+def labellings_compared(spark, d):
+    other = geog.clients(spark, d).withColumn("label", (F.col("client_idx") % 3).cast("int"))
+    return reports.compared(_labelled(spark, d), other, _half(spark, d)).select("branch", "label", "size_before", "size_after", r6("inner_before"))
+
+
+@query("labels5 clients", """SELECT l.branch, CASE WHEN label = 0 THEN 'Outlier_' || (row_number() OVER (PARTITION BY l.branch, label = 0 ORDER BY l.client_idx) - 1) ELSE 'Cluster_' || label END AS cluster, c.name
+FROM labels5 l JOIN clients c USING (client_idx)""")
+def cluster_assignments(spark, d):
+    rows = geog.clients(spark, d).withColumn("label", F.when(F.col("client_idx") % 5 == 0, -1).otherwise((F.col("client_idx") % 5).cast("int")))
+    return reports.assignments(rows).select("branch", "cluster", F.explode("names").alias("name"))
+
+
+@query("client_ward", """SELECT branch, CAST(substr(pcode, 2) AS INTEGER) // 20 AS zone, count(DISTINCT pcode) AS n_wards, count(*) AS n_clients, round(avg(office_km), 6) AS avg_office,
+  CAST(substr(pcode, 2) AS INTEGER) // 20 >= 4 AS is_new FROM client_ward WHERE pcode IS NOT NULL GROUP BY 1, 2, 6""")
+def zone_report(spark, d):
+    rows = _mapped(spark, d).filter(F.col("pcode").isNotNull()).withColumn("zone", F.floor(F.substring("pcode", 2, 3).cast("int") / 20).cast("int"))
+    return reports.zone_report(rows, 4).withColumn("avg_office", F.round("avg_office", 6))
+
+
+@query("ward_edges client_ward", f"""WITH {_OCC}, {_GRAPH0}, n AS (SELECT branch, count(*) AS n FROM occ GROUP BY 1), e AS (SELECT branch, count(*) AS e FROM (SELECT DISTINCT * FROM g WHERE src < dst) GROUP BY 1),
+reach AS (SELECT branch, pcode AS node, pcode AS low FROM occ UNION SELECT r.branch, g.dst, r.low FROM reach r JOIN g ON g.branch = r.branch AND g.src = r.node WHERE r.low < g.dst),
+c AS (SELECT branch, count(DISTINCT low) AS c FROM (SELECT branch, node, min(low) AS low FROM reach GROUP BY 1, 2) GROUP BY 1)
+SELECT n.branch, n.n AS n_nodes, coalesce(e.e, 0) AS n_edges, c.c AS n_components, round(2 * coalesce(e.e, 0) / n.n, 6) AS avg_degree FROM n JOIN c USING (branch) LEFT JOIN e USING (branch)""", recursive=True)
+def graph_report(spark, d):
+    nodes = _occupied(spark, d)
+    edges = graph.client_graph(_edges(spark), nodes, 0, ("branch",))
+    found = graph.components(nodes.withColumnRenamed("pcode", "node"), edges, ("branch",))
+    return reports.graph_report(nodes, edges, found).withColumn("avg_degree", F.round("avg_degree", 6))
+
+
+@query("labels5", """SELECT branch, label, round(degrees(atan2(avg(sin(radians(b))), avg(cos(radians(b))))), 6) AS raw_mean, round(min(b), 6) AS low, round(max(b), 6) AS high
+FROM (SELECT branch, label, """ + geog.bearing_sql("16.5::DOUBLE", "95.5::DOUBLE", "lat", "lon") + """ AS b FROM labels5) GROUP BY 1, 2""")
+def petal_bearings(spark, d):
+    rows = _bearings(spark, d).withColumn("label", (F.col("client_idx") % 5).cast("int"))
+    raw = F.degrees(F.atan2(F.avg(F.sin(F.radians("bearing"))), F.avg(F.cos(F.radians("bearing")))))
+    return rows.groupBy("branch", "label").agg(r6(raw, "raw_mean"), r6(F.min("bearing"), "low"), r6(F.max("bearing"), "high"))
+
+
+@query("labels5 clients", """WITH m AS (SELECT a.branch, a.label, a.client_idx, count(*) FILTER (WHERE side > 0) AS n FROM (
+  SELECT p.branch, p.label AS own, q.label, p.client_idx, (b.lon - a.lon) * (p.lat - a.lat) - (b.lat - a.lat) * (p.lon - a.lon) AS s1, (c.lon - b.lon) * (p.lat - b.lat) - (c.lat - b.lat) * (p.lon - b.lon) AS s2,
+    (a.lon - c.lon) * (p.lat - c.lat) - (a.lat - c.lat) * (p.lon - c.lon) AS s3, CASE WHEN (s1 >= 0 AND s2 >= 0 AND s3 >= 0) OR (s1 <= 0 AND s2 <= 0 AND s3 <= 0) THEN 1 ELSE 0 END AS side
+  FROM labels5 p JOIN labels5 q ON q.branch = p.branch AND q.label <> p.label JOIN labels5 a ON a.client_idx = q.client_idx
+  JOIN labels5 b ON b.branch = a.branch AND b.label = a.label AND b.client_idx > a.client_idx JOIN labels5 c ON c.branch = a.branch AND c.label = a.label AND c.client_idx > b.client_idx
+  WHERE p.branch < 5) a GROUP BY 1, 2, 3)
+SELECT branch, client_idx, min(label) AS inside FROM m WHERE n > 0 GROUP BY 1, 2""")
+def hull_intruders(spark, d):
+    """Clients in another cluster's hull; the SQL looks for a triangle of its members around them."""
+    rows = _labelled(spark, d).filter("branch < 5")
+    return spatial.foreign_hulls(rows, spatial.convex_hulls(rows, ["branch", "label"])).select("branch", "client_idx", "inside")
+
+
 # partitions: no SQL can follow their steps, so their labels are returned as they are
 
 
