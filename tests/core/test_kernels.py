@@ -130,7 +130,7 @@ METHODS = [
     (partition.refined, {"k": 5, "rounds": 5}), (partition.shaved, {"k": 5}), (partition.untangled, {"k": 5}), (partition.petals, {"k": 5, "office": OFFICE}),
     (partition.petals, {"k": 5, "office": OFFICE, "cuts": "gaps"}), (partition.hierarchical, {"k": 5}), (partition.sequential_routes, {"k": 5}),
     (partition.search, {"k": 5, "rounds": 40}), (partition.swarm, {"k": 5}), (partition.vehicles, {"k": 5}), (partition.density_limited, {}),
-    (partition.route_communities, {"office": OFFICE}), (partition.route_groups, {"office": OFFICE, "k": 3}),
+    (partition.direction_groups, {"k": 5, "office": OFFICE}), (partition.route_communities, {"office": OFFICE}), (partition.route_groups, {"office": OFFICE, "k": 3}),
 ]
 
 

@@ -330,6 +330,24 @@ def gap_cuts(gap: np.ndarray, k: int, least: int) -> list[int]:
     return sorted(cuts)
 
 
+def direction_groups(t: Territory, k: int, office: tuple[float, float], weight: float = 10.0, seed: int = 42, rounds: int = 100) -> np.ndarray:
+    """k-means on (weight * planar angle, distance to the office), from seeds by squared distance."""
+    points = np.column_stack([weight * np.arctan2(t.lat - office[0], t.lon - office[1]), t.office])
+    rng, centres = np.random.default_rng(seed), []
+    for _ in range(min(k, t.n)):
+        far = np.min([((points - c) ** 2).sum(1) for c in centres], axis=0) if centres else np.ones(t.n)
+        centres.append(points[rng.choice(t.n, p=far / far.sum()) if far.sum() else 0])
+    centres = np.array(centres)
+    labels = np.full(t.n, -1)
+    for _ in range(rounds):
+        new = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+        if (new == labels).all():
+            break
+        labels = new
+        centres = np.array([points[labels == c].mean(0) if (labels == c).any() else centres[c] for c in range(len(centres))])
+    return labels
+
+
 # density and linkage
 
 

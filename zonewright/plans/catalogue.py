@@ -699,6 +699,7 @@ QUERIES |= {
     "sgb3_labels": _solved(partition.untangled, k=5),
     "petal1_labels": _solved(partition.petals, k=6, office=OFFICE),
     "petal2_labels": _solved(partition.petals, k=6, office=OFFICE, cuts="gaps"),
+    "direction_labels": _solved(partition.direction_groups, k=5, office=OFFICE),
     "density_labels": _solved(partition.density_limited),
     "sequential_route_labels": _solved(partition.sequential_routes, k=5),
     "louvain_labels": _solved(partition.route_communities, office=OFFICE),
