@@ -11,6 +11,7 @@ from zonewright.functions import geo, scalar
 from zonewright.operators import assign, distances, graph, metrics, partition, relational, reports, spatial, windows, zones
 from zonewright.plans import geography as geog
 from zonewright.plans.geography import with_ctes
+from zonewright.plans.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,7 +52,8 @@ def _labelled(spark, d):
 
 
 def _edges(spark):
-    return graph.undirected(spatial.borders(geog.wards(spark))).select("src", "dst")
+    """The areas' graph, computed once for the plans that walk over it several times."""
+    return checkpointed(graph.undirected(spatial.borders(geog.wards(spark))).select("src", "dst"))
 
 
 def _occupied(spark, d):
