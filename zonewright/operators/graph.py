@@ -106,9 +106,10 @@ def ancestors(tree: DataFrame, depth: int = 100) -> DataFrame:
     return reach.unionByName(tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
 
 
-def relevant(tree: DataFrame, occupied: DataFrame) -> DataFrame:
-    """Occupied nodes and all above them."""
-    return ancestors(tree).join(occupied.select(F.col("pcode").alias("node")), "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
+def relevant(tree: DataFrame, occupied: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Occupied nodes (keys and pcode) and all above them."""
+    held = occupied.select(*keys, F.col("pcode").alias("node"))
+    return ancestors(tree).join(held, "node").select(*keys, F.col("ancestor").alias("node")).distinct()
 
 
 def subtree_counts(tree: DataFrame, counts: DataFrame) -> DataFrame:

@@ -307,14 +307,13 @@ _STRAIGHT = geog.hav_sql("(a.y0 + a.y1) / 2", "(a.x0 + a.x1) / 2", "(b.y0 + b.y1
 
 @query("ward_edges client_ward both_pairs", f"""WITH roads AS (
   SELECT a.pcode AS src, b.pcode AS dst, min(road_km) AS road_km FROM both_pairs p JOIN client_ward a ON a.client_idx = p.i JOIN client_ward b ON b.client_idx = p.j
-  WHERE p.branch = 3 AND a.pcode <> b.pcode GROUP BY 1, 2),
+  WHERE a.pcode <> b.pcode GROUP BY 1, 2),
 e AS (SELECT g.src, g.dst, {_STRAIGHT} AS straight, coalesce(r.road_km, {_STRAIGHT} * 1.4::DOUBLE) AS road
   FROM ward_edges g JOIN wards a ON a.pcode = g.src JOIN wards b ON b.pcode = g.dst LEFT JOIN roads r ON r.src = g.src AND r.dst = g.dst)
 SELECT src, dst, round(road, 3) AS road_distance, round(straight, 3) AS straight_distance, round(road / straight, 3) AS detour_ratio, round(10.45 / road, 3) AS score FROM e""")
 def ward_adjacency_score(spark, d):
-    members = _mapped(spark, d).filter(F.col("pcode").isNotNull() & (F.col("branch") == 3))
-    half = _half(spark, d).filter("branch = 3")
-    roads = distances.ward_pairs(distances.mirrored(half), members).select("src", "dst", F.col("min_km").alias("road_km"))
+    members = _mapped(spark, d).filter(F.col("pcode").isNotNull())
+    roads = distances.ward_pairs(_both(spark, d), members).groupBy("src", "dst").agg(F.min("min_km").alias("road_km"))
     # 3 places: the centroids here come from the outline, in the SQL from the grid
     rows = spatial.adjacency(geog.wards(spark), roads)
     return rows.select("src", "dst", *[F.round(c, 3).alias(c) for c in ("road_distance", "straight_distance", "detour_ratio", "score")])
@@ -392,9 +391,9 @@ def subtree_client_count(spark, d):
 
 
 @query("client_ward", f"""WITH {_TREE}, up AS (SELECT node, node AS ancestor FROM tree UNION ALL SELECT u.node, t.parent FROM up u JOIN tree t ON t.node = u.ancestor WHERE t.parent IS NOT NULL)
-SELECT DISTINCT ancestor AS node FROM up WHERE node IN (SELECT pcode FROM client_ward WHERE branch = 1)""", recursive=True)
+SELECT DISTINCT c.branch, u.ancestor AS node FROM up u JOIN client_ward c ON c.pcode = u.node""", recursive=True)
 def relevant_wards(spark, d):
-    return graph.relevant(_tree(spark), _mapped(spark, d).filter((F.col("branch") == 1) & F.col("pcode").isNotNull()).select("pcode").distinct())
+    return graph.relevant(_tree(spark), _occupied(spark, d), ("branch",))
 
 
 @query("wards", f"WITH {_TREE} SELECT parent AS node, array_to_string(list_sort(list(node)), ',') AS children FROM tree WHERE parent IS NOT NULL GROUP BY 1")
@@ -596,16 +595,16 @@ def _routes(spark, d):
 _ROUTE = """r AS (SELECT client_idx, branch, CAST(s AS INTEGER) AS s,
   CASE WHEN s <= 10 THEN 16.5::DOUBLE + s / 10.0::DOUBLE * (turn - 16.5::DOUBLE) ELSE turn + (s - 10) / 10.0::DOUBLE * (lat - turn) END AS lat,
   CASE WHEN s <= 10 THEN 95.5::DOUBLE ELSE 95.5::DOUBLE + (s - 10) / 10.0::DOUBLE * (lon - 95.5::DOUBLE) END AS lon
-  FROM (SELECT *, 16.5::DOUBLE + 0.2::DOUBLE * sign(lat - 16.5::DOUBLE) AS turn FROM clients WHERE branch = 2), range(21) t(s))"""
+  FROM (SELECT *, 16.5::DOUBLE + 0.2::DOUBLE * sign(lat - 16.5::DOUBLE) AS turn FROM clients), range(21) t(s))"""
 
 
 @query("clients", f"""WITH {_ROUTE}, miss AS (SELECT a.client_idx AS i, b.client_idx AS j, min(CASE WHEN abs(a.lat - b.lat) > 0.001 OR abs(a.lon - b.lon) > 0.001 THEN a.s END) AS first_miss
-  FROM r a JOIN r b ON a.s = b.s AND a.client_idx < b.client_idx GROUP BY 1, 2)
+  FROM r a JOIN r b ON a.s = b.s AND a.branch = b.branch AND a.client_idx < b.client_idx GROUP BY 1, 2)
 SELECT i, j, round(coalesce(first_miss, 21) / 21.0::DOUBLE, 6) AS similarity FROM miss""")
 def route_prefix_similarity(spark, d):
-    rows = _routes(spark, d).filter("branch = 2")
-    a, b = rows.select(F.col("client_idx").alias("i"), F.col("route").alias("ra")), rows.select(F.col("client_idx").alias("j"), F.col("route").alias("rb"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", r6(geo.route_similarity(F.col("ra"), F.col("rb")), "similarity"))
+    rows = _routes(spark, d)
+    a, b = rows.select("branch", F.col("client_idx").alias("i"), F.col("route").alias("ra")), rows.select("branch", F.col("client_idx").alias("j"), F.col("route").alias("rb"))
+    return a.join(b, "branch").filter("i < j").select("i", "j", r6(geo.route_similarity(F.col("ra"), F.col("rb")), "similarity"))
 
 
 # reports
@@ -668,14 +667,13 @@ def petal_bearings(spark, d):
 
 @query("labels5 clients", """WITH m AS (SELECT a.branch, a.label, a.client_idx, count(*) FILTER (WHERE side > 0) AS n FROM (
   SELECT p.branch, p.label AS own, q.label, p.client_idx, (b.lon - a.lon) * (p.lat - a.lat) - (b.lat - a.lat) * (p.lon - a.lon) AS s1, (c.lon - b.lon) * (p.lat - b.lat) - (c.lat - b.lat) * (p.lon - b.lon) AS s2,
-    (a.lon - c.lon) * (p.lat - c.lat) - (a.lat - c.lat) * (p.lon - c.lon) AS s3, CASE WHEN (s1 >= 0 AND s2 >= 0 AND s3 >= 0) OR (s1 <= 0 AND s2 <= 0 AND s3 <= 0) THEN 1 ELSE 0 END AS side
+    (a.lon - c.lon) * (p.lat - c.lat) - (a.lat - c.lat) * (p.lon - c.lon) AS s3, CASE WHEN (s1 >= -1e-10 AND s2 >= -1e-10 AND s3 >= -1e-10) OR (s1 <= 1e-10 AND s2 <= 1e-10 AND s3 <= 1e-10) THEN 1 ELSE 0 END AS side
   FROM labels5 p JOIN labels5 q ON q.branch = p.branch AND q.label <> p.label JOIN labels5 a ON a.client_idx = q.client_idx
-  JOIN labels5 b ON b.branch = a.branch AND b.label = a.label AND b.client_idx > a.client_idx JOIN labels5 c ON c.branch = a.branch AND c.label = a.label AND c.client_idx > b.client_idx
-  WHERE p.branch < 5) a GROUP BY 1, 2, 3)
+  JOIN labels5 b ON b.branch = a.branch AND b.label = a.label AND b.client_idx > a.client_idx JOIN labels5 c ON c.branch = a.branch AND c.label = a.label AND c.client_idx > b.client_idx) a GROUP BY 1, 2, 3)
 SELECT branch, client_idx, min(label) AS inside FROM m WHERE n > 0 GROUP BY 1, 2""")
 def hull_intruders(spark, d):
-    """Clients in another cluster's hull; the SQL looks for a triangle of its members around them."""
-    rows = _labelled(spark, d).filter("branch < 5")
+    """Clients in another cluster's hull; borders count, within 1e-10. The SQL looks for a triangle of members."""
+    rows = _labelled(spark, d)
     return spatial.foreign_hulls(rows, spatial.convex_hulls(rows, ["branch", "label"])).select("branch", "client_idx", "inside")
 
 
@@ -706,7 +704,7 @@ QUERIES |= {
     "sequential_route_labels": _solved(partition.sequential_routes, k=5),
     "louvain_labels": _solved(partition.route_communities, office=OFFICE),
     "route_group_labels": _solved(partition.route_groups, office=OFFICE, k=5),
-    "vrp_routes": lambda spark, d: partition.solve(geog.clients(spark, d).filter("branch < 3"), partition.vehicles, k=8),
+    "vrp_routes": lambda spark, d: partition.solve(geog.clients(spark, d), partition.vehicles, k=8),
     "swarm_labels": _solved(partition.swarm, k=5),
 }
 
@@ -722,7 +720,7 @@ def hierarchical_labels(spark, d):
 def hdbscan_grid(spark, d):
     """Parameters by validity: each pair of sizes solved in its own task, then judged."""
     grid = _params(spark, "min_cluster_size int, min_samples int", [(a, b) for a in range(3, 9, 2) for b in range(2, 6, 2) if b <= a])
-    labels = partition.solve(geog.clients(spark, d).filter("branch < 4"), partition.density, grid)
+    labels = partition.solve(geog.clients(spark, d), partition.density, grid)
     keys = ["branch", "min_cluster_size", "min_samples"]
     outlier = (F.col("label") < 0).cast("int")
     return labels.groupBy(*keys).agg((F.max("label") + 1).alias("n_clusters"), F.sum(outlier).alias("n_outliers"), F.round(F.avg(outlier) * 100, 6).alias("outlier_pct"))
@@ -732,8 +730,10 @@ def hdbscan_grid(spark, d):
 def search_restarts(spark, d):
     """Local search from several seeds side by side; the best is kept for each branch."""
     restarts = _params(spark, "seed int", [(s,) for s in range(3)])
-    found = partition.solve(geog.clients(spark, d).filter("branch < 3"), partition.search, restarts, k=5, rounds=60)
-    inner = metrics.inner_loss(found.withColumn("branch", F.concat_ws("/", "branch", "seed")), _half(spark, d).filter("branch < 3").crossJoin(F.broadcast(restarts)).withColumn("branch", F.concat_ws("/", "branch", "seed")).drop("seed"))
+    found = partition.solve(geog.clients(spark, d), partition.search, restarts, k=5, rounds=60)
+    own = F.concat_ws("/", "branch", "seed")
+    half = _half(spark, d).join(F.broadcast(restarts)).withColumn("branch", own).drop("seed")  # three rows
+    inner = metrics.inner_loss(found.withColumn("branch", own), half)
     return inner.select(F.split("branch", "/")[0].cast("int").alias("branch"), F.split("branch", "/")[1].cast("int").alias("seed"), r6("avg_inner"))
 
 
