@@ -43,10 +43,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    out = spark.read.parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that materialize() made, once nothing will read it again."""
+    files, at = _file_system(df.sparkSession, df.shared_path)
+    files.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def hash60(*cols: Column) -> Column:

@@ -8,7 +8,7 @@ strings repeat is found in four steps:
    in the whole corpus can be those of repeated strings; the others' strings are done with.
 2. Shards. The strings of one anchor in one place are a snippet of text, and snippets are dealt to
    shards by anchor: equal strings meet. An anchor with very many snippets is dealt to several shards.
-3. Suffix arrays. In each shard a suffix array (Larsson-Sadakane refinement) and the common prefixes of
+3. Suffix arrays. Equal snippets of a shard are one text in several places. Over the texts a suffix array (Larsson-Sadakane refinement) and the common prefixes of
    neighbours (Kasai) give the classes of equal strings; all but a class's first string go.
 4. Merging. Shards that share an anchor exchange one string for each class. They are sorted, as the
    suffix arrays are, so equal ones are found in each other by binary search, and all but the first go.
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import RollingHash, flat, keyed, materialize, shield, slices, table, unshield
+from zonewright.llm.common import RollingHash, discard, flat, keyed, materialize, shield, slices, table, unshield
 
 LENGTH, GRAM = 100, 32
 #: Snippets of an anchor that one shard gets at most, and bytes of a shard's text.
-HOT, SHARD_BYTES = 4096, 1 << 20
+HOT, SHARD_BYTES = 4096, 1 << 18
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,51 +76,53 @@ def suffix_array(symbols: np.ndarray, ends: np.ndarray, number: np.ndarray) -> n
     refined by the rank of what follows, which doubles the depth, while single ones stay."""
     n, n_texts = len(symbols), int(number[-1]) + 1 if len(number) else 0
     bits = max(1, int(n + n_texts).bit_length())
-    key = np.zeros(n, np.uint64)
-    places = np.arange(n)
+    ends, number = ends.astype(np.int32), number.astype(np.int32)
+    # 4 symbols of 9 bits above the place; 0 stands for what lies past a text's end
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(4, np.int64)])
+    key, left = np.zeros(n, np.int64), ends - np.arange(n, dtype=np.int32)
     for k in range(4):
-        there = places + k < ends
-        key <<= np.uint64(9)
-        key[there] |= symbols[places[there] + k].astype(np.uint64)
-    order = np.sort(key << np.uint64(bits) | places.astype(np.uint64))  # 36 bits of symbols above the place
-    places, key = (order & np.uint64((1 << bits) - 1)).astype(np.int64), order >> np.uint64(bits)
-    rank = np.empty(n, np.int64)
+        key = key << 9 | np.where(left > k, padded[k : k + n], 0)
+    order = np.sort(key << bits | np.arange(n))
+    places, key = (order & ((1 << bits) - 1)).astype(np.int32), order >> bits
+    rank = np.empty(n, np.int32)
     first = np.r_[True, key[1:] != key[:-1]] if n else np.zeros(0, bool)
-    slot = np.arange(n)
-    head = np.maximum.accumulate(np.where(first, slot, 0))
-    rank[places] = head
+    rank[places] = _heads(first, np.arange(n, dtype=np.int32))
     depth = 4
     alone = first & np.r_[first[1:], True]
     places = places[~alone]
     while len(places):
-        after = places + depth
+        after = places + np.int32(depth)
         over = after >= ends[places]
         # a text that has ended comes before all that goes on; two such, in the texts' order
-        follows = np.where(over, number[places], n_texts + rank[np.minimum(after, n - 1)])
+        np.minimum(after, n - 1, out=after)
+        follows = np.where(over, number[places], rank[after] + np.int32(n_texts))
         group = rank[places]
         order = _order(group, follows, bits)
         places, group, follows = places[order], group[order], follows[order]
         new_group = np.r_[True, group[1:] != group[:-1]]
         first = new_group | np.r_[True, follows[1:] != follows[:-1]]
-        slot = np.arange(len(places))
-        offset = slot - np.maximum.accumulate(np.where(new_group, slot, 0))
-        rank[places] = group + _heads(first, offset)
-        alone = first & np.r_[first[1:], True]
-        places = places[~alone]
+        slot = np.arange(len(places), dtype=np.int32)
+        rank[places] = group + _heads(first, slot - _heads(new_group, slot))
+        places = places[~(first & np.r_[first[1:], True])]
         depth *= 2
     return rank
 
 
-def _heads(first: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """For every element the offset of the last one before it, or itself, that is first."""
-    return offset[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
+def _heads(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For every element the value of the last one before it, or itself, that is first."""
+    heads = np.flatnonzero(first)
+    return np.repeat(values[heads], np.diff(np.r_[heads, len(first)]))
 
 
 def _order(group: np.ndarray, follows: np.ndarray, bits: int) -> np.ndarray:
     """The order by group, then by follows; one sort of packed integers where they fit."""
     if 3 * bits <= 63:
-        packed = (group << (2 * bits)) | (follows << bits) | np.arange(len(group))
-        return np.sort(packed) & ((1 << bits) - 1)
+        packed = group.astype(np.int64) << bits
+        packed |= follows
+        packed <<= bits
+        packed |= np.arange(len(group))
+        packed.sort()
+        return (packed & ((1 << bits) - 1)).astype(np.int32)
     return np.lexsort((follows, group))
 
 
@@ -130,18 +132,18 @@ def common_prefixes(symbols: np.ndarray, rank: np.ndarray, starts: np.ndarray, s
     Kasai: a suffix shares with its predecessor at least one symbol less than the suffix one place to
     the left did. All texts (starts, sizes) are walked at once, each from its own left end."""
     n = len(symbols)
-    ends = np.repeat(starts + sizes, sizes)
-    before = np.full(n, -1)
-    by_rank = np.empty(n, np.int64)
-    by_rank[rank] = np.arange(n)
+    ends = np.repeat((starts + sizes).astype(np.int32), sizes)
+    by_rank = np.empty(n, np.int32)
+    by_rank[rank] = np.arange(n, dtype=np.int32)
+    before = np.full(n, -1, np.int32)
     before[by_rank[1:]] = by_rank[:-1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     texts = np.argsort(-sizes, kind="stable")  # those that still go on come first
-    starts, sizes = starts[texts], sizes[texts]
-    shared = np.zeros(len(starts), np.int64)
+    starts, sizes = starts[texts].astype(np.int32), sizes[texts]
+    shared = np.zeros(len(starts), np.int32)
     for step in range(int(sizes[0]) if len(sizes) else 0):
         going = int(np.searchsorted(-sizes, -step, side="left"))  # sizes > step
-        place = starts[:going] + step
+        place = starts[:going] + np.int32(step)
         other = before[place]
         now = np.maximum(shared[:going] - 1, 0)
         now[other < 0] = 0
@@ -169,8 +171,8 @@ def classes(texts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tup
     number = np.repeat(np.arange(len(texts)), sizes)
     rank = suffix_array(symbols, np.repeat(starts + sizes, sizes), number)
     shared = common_prefixes(symbols, rank, starts, sizes, length)
-    by_rank = np.empty(len(rank), np.int64)
-    by_rank[rank] = np.arange(len(rank))
+    by_rank = np.empty(len(rank), np.int32)
+    by_rank[rank] = np.arange(len(rank), dtype=np.int32)
     own = np.cumsum(shared < length)  # a new class wherever the neighbours share less
     offset = by_rank - starts[number[by_rank]]
     string = offset < counts[number[by_rank]]
@@ -240,20 +242,16 @@ def snippets(docs: DataFrame, marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
-                keys, hashes, shards, starts, counts, texts = [], [], [], [], [], []
-                for key, text, own in zip(part.column("_key"), part.column("_text"), part.column("_runs"), strict=True):
-                    data, key = text.as_py().encode(), key.as_py()
-                    for r in own.as_py():
-                        keys.append(key)
-                        hashes.append(r["_hash"])
-                        shards.append(r["_shards"])
-                        starts.append(r["_from"])
-                        counts.append(r["_to"] - r["_from"] + 1)
-                        texts.append(data[r["_from"] : r["_to"] + LENGTH])
-                yield _batch(
-                    "_key _hash _shards _from _count _bytes", pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(shards, pa.int32()),
-                    pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(texts, pa.binary()),
-                )
+                own = part.column("_runs")
+                sizes = np.diff(np.asarray(own.offsets))
+                hashes, shards, starts, ends = (x.to_numpy() for x in own.flatten().flatten())
+                keys = np.repeat(part.column("_key").to_numpy(), sizes)
+                spots, texts, at = list(zip(starts.tolist(), (ends + LENGTH).tolist(), strict=True)), [], 0
+                for text, n in zip(part.column("_text").cast(pa.binary()), sizes.tolist(), strict=True):
+                    data = text.as_py()
+                    texts += [data[a:b] for a, b in spots[at : at + n]]
+                    at += n
+                yield _batch("_key _hash _shards _from _count _bytes", keys, hashes, shards, starts, ends - starts + 1, pa.array(texts, pa.binary()))
 
     joined = docs.select("_key", "_text").join(lists, "_key")
     return joined.mapInArrow(run, "_key long, _hash long, _shards int, _from int, _count int, _bytes binary")
@@ -265,35 +263,45 @@ def repeated(dealt: DataFrame) -> DataFrame:
     its first occurrence in this shard."""
     names = "_key _from _to _string"
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys = np.array([r[0] for r in rows], np.int64)
-        starts = np.array([r[1] for r in rows], np.int64)
-        counts = np.array([r[2] for r in rows], np.int64)
-        shared = np.array([r[4] > 1 for r in rows])
-        snippet, offset, own = classes([r[3] for r in rows], counts)
+    def solve(places: dict[bytes, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        texts, least, copies = list(places), [], []
+        for own in places.values():
+            least.append(min(own))
+            if len(own) > 1:  # of equal snippets all but the first go whole
+                copies += [p for p in own if p != least[-1]]
+        keys, starts, counts, shards = (np.array(x, np.int64) for x in zip(*least, strict=True))
+        snippet, offset, own = classes(texts, counts)
         key, start = keys[snippet], starts[snippet] + offset
         later = later_ones(own, key, start)
         k, a, b = runs(key[later], start[later])
+        if copies:
+            ck, cs, cn, _ = (np.array(x, np.int64) for x in zip(*copies, strict=True))
+            k, a, b = np.r_[k, ck], np.r_[a, cs], np.r_[b, cs + cn - 1]
         yield _batch(names, k, a.astype(np.int32), b.astype(np.int32), pa.nulls(len(k), pa.binary()))
-        first = np.flatnonzero(~later & shared[snippet])
+        first = np.flatnonzero(~later & (shards[snippet] > 1))
         for i in range(0, len(first), 20_000):
             some = first[i : i + 20_000]
-            strings = [rows[s][3][o : o + LENGTH] for s, o in zip(snippet[some].tolist(), offset[some].tolist(), strict=True)]
+            strings = [texts[s][o : o + LENGTH] for s, o in zip(snippet[some].tolist(), offset[some].tolist(), strict=True)]
             at = start[some].astype(np.int32)
             yield _batch(names, key[some], at, at, pa.array(strings, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        places, size, last = {}, 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_key", "_from", "_count", "_bytes", "_shards", "_hash", "_part")]
-            for key, start, count, text, shards, h, part in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("_key", "_from", "_count", "_shards", "_bytes", "_hash", "_part")]
+            for key, start, count, shards, text, h, part in zip(*columns, strict=True):
                 if size >= SHARD_BYTES and (h, part) != last:  # equal strings stay together
-                    yield from solve(rows)
-                    rows, size = [], 0
-                rows.append((key, start, count, text, shards))
-                size, last = size + len(text), (h, part)
-        if rows:
-            yield from solve(rows)
+                    yield from solve(places)
+                    places, size = {}, 0
+                last = (h, part)
+                own = places.get(text)
+                if own is None:
+                    places[text] = [(key, start, count, shards)]
+                    size += len(text)
+                else:
+                    own.append((key, start, count, shards))
+        if places:
+            yield from solve(places)
 
     return dealt.select("_key", "_from", "_count", "_bytes", "_shards", "_hash", "_part").mapInArrow(run, "_key long, _from int, _to int, _string binary")
 
@@ -352,16 +360,20 @@ def release(spark: SparkSession) -> None:
 def removed_runs(docs: DataFrame) -> DataFrame:
     """_key, _from and _to: runs of starts of strings that also start earlier, for docs with _key, _text."""
     spark = docs.sparkSession
-    found = anchor_rows(docs)
+    found = materialize(anchor_rows(docs), "anchor-rows")
     twice = found.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    twice = twice.select("_hash", F.ceil(F.col("_n") / HOT).cast("int").alias("_shards"))
+    # a table of its own, so that the join can split an anchor with very many rows
+    twice = materialize(twice.select("_hash", F.ceil(F.col("_n") / HOT).cast("int").alias("_shards")), "repeated-anchors")
     marked = materialize(found.join(twice, "_hash"), "anchors")
+    discard(found)
+    discard(twice)
     release(spark)
     part = F.pmod(F.xxhash64("_key", "_from"), F.col("_shards")).cast("int")
     dealt = snippets(docs, marked).withColumn("_part", part)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(4 * n, "_hash", "_part").sortWithinPartitions("_hash", "_part")
     first = materialize(repeated(dealt), "repeats")
+    discard(marked)
     release(spark)
     strings = first.filter(F.col("_string").isNotNull()).repartition(n, F.xxhash64("_string"))
     return first.filter(F.col("_string").isNull()).drop("_string").unionByName(merged(strings))
