@@ -107,8 +107,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 
 
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' UTF-8 bytes in a row, and the len + 1 offsets between them; null is empty."""
-    array = pc.fill_null(array, "").cast(pa.large_binary())
+    """All texts' bytes (UTF-8) in a row, and the len + 1 offsets between them; null is empty."""
+    array = pc.fill_null(array.cast(pa.large_binary()), b"")
     _, offsets, data = array.buffers()
     at = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
     if len(at) == 0 or data is None:

@@ -138,6 +138,9 @@ def common_prefixes(symbols: np.ndarray, rank: np.ndarray, starts: np.ndarray, s
     before = np.full(n, -1, np.int32)
     before[by_rank[1:]] = by_rank[:-1]
     out = np.zeros(n, np.int32)
+    # eight bytes from each place on in one word, the first of them lowest
+    padded = np.concatenate([(symbols - 1).astype(np.uint8), np.zeros(7, np.uint8)])
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view("<u8").ravel()
     texts = np.argsort(-sizes, kind="stable")  # those that still go on come first
     starts, sizes = starts[texts].astype(np.int32), sizes[texts]
     shared = np.zeros(len(starts), np.int32)
@@ -152,10 +155,10 @@ def common_prefixes(symbols: np.ndarray, rank: np.ndarray, starts: np.ndarray, s
         now = np.minimum(now, limit)
         open_ = np.flatnonzero(now < limit)
         while len(open_):
-            same = symbols[place[open_] + now[open_]] == symbols[other[open_] + now[open_]]
-            open_ = open_[same]
-            now[open_] += 1
-            open_ = open_[now[open_] < limit[open_]]
+            apart = words[place[open_] + now[open_]] ^ words[other[open_] + now[open_]]
+            alike = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3  # whole bytes below the lowest bit
+            now[open_] = np.minimum(now[open_] + alike.astype(np.int32), limit[open_])
+            open_ = open_[(apart == 0) & (now[open_] < limit[open_])]
         shared[:going] = now
         out[rank[place]] = now
     return out
@@ -288,8 +291,11 @@ def repeated(dealt: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, size, last = {}, 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_key", "_from", "_count", "_shards", "_bytes", "_hash", "_part")]
-            for key, start, count, shards, text, h, part in zip(*columns, strict=True):
+            numbers = [batch.column(c).to_numpy().tolist() for c in ("_key", "_from", "_count", "_shards", "_hash", "_part")]
+            data, at = flat(batch.column("_bytes"))
+            data, at = data.tobytes(), at.tolist()
+            texts = [data[a:b] for a, b in zip(at, at[1:])]
+            for key, start, count, shards, h, part, text in zip(*numbers, texts, strict=True):
                 if size >= SHARD_BYTES and (h, part) != last:  # equal strings stay together
                     yield from solve(places)
                     places, size = {}, 0
