@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from zonewright.llm.common import slices, table
 
-#: Words whose tokens are kept at hand (of each of two generations), and the longest such word.
-MEMORY, MEMORY_CHARS = 300_000, 64
+#: Strings whose tokens are kept at hand (of each of two generations), and the longest such string.
+MEMORY, MEMORY_CHARS = 500_000, 64
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -53,23 +54,20 @@ class Merges:
         self._whole: dict[str, bool] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """The merges applied to a short word, lowest rank first, from left to right."""
-        rank_of, never = self.rank.get, len(self.rank)
-        while len(symbols) > 1:
-            ranks = [rank_of(pair, never) for pair in zip(symbols, symbols[1:])]
+        """The merges applied to a short word: always the lowest rank, the leftmost of its pairs."""
+        symbols, rank_of, never = symbols[:], self.rank.get, len(self.rank)
+        ranks = [rank_of(pair, never) for pair in zip(symbols, symbols[1:])]
+        while ranks:
             best = min(ranks)
             if best == never:
                 break
-            out, i, n = [], 0, len(symbols)
-            while i < n:
-                # a pair that overlaps the one just merged is stepped over
-                if i + 1 < n and ranks[i] == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]  # only the two pairs beside the new symbol are others now
+            if i:
+                ranks[i - 1] = rank_of((symbols[i - 1], symbols[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank_of((symbols[i], symbols[i + 1]), never)
         return symbols
 
     def symbols(self, token: str) -> list[str]:
@@ -153,6 +151,27 @@ class WordEncoder:
         return final
 
 
+class Memory:
+    """Ids of strings met lately, in two generations: a full one becomes the older one, whose strings
+    come back when they are met again. So frequent strings stay at hand and memory is bounded."""
+
+    def __init__(self, make):
+        self.make, self.recent, self.older = make, {}, {}
+
+    def fetch(self, key: str) -> bytes:
+        ids = self.recent.get(key)
+        if ids is None:
+            ids = self.older.get(key)
+            if ids is None:
+                ids = self.make(key)
+            if len(key) <= MEMORY_CHARS:
+                if len(self.recent) >= MEMORY:
+                    self.older = self.recent.copy()
+                    self.recent.clear()  # stays the same object, for loops that hold on to it
+                self.recent[key] = ids
+        return ids
+
+
 @dataclass
 class Tokenizer:
     """Encoder and decoder for a tokenizer file with NFC, white space, lower case, a splitting
@@ -165,10 +184,7 @@ class Tokenizer:
     def __post_init__(self):
         self.texts = {i: t for t, i in self.merges.vocab.items()} | {i: t for t, i in self.special.items()}
         self.by_special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        #: words' ids in two generations: when the new one is full it becomes the old one, so that
-        #: frequent words stay at hand and memory is bounded
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._chunks = Memory(self._chunk)
 
     @classmethod
     def load(cls, path: str) -> Tokenizer:
@@ -204,22 +220,24 @@ class Tokenizer:
     def encode(self, text: str) -> np.ndarray:
         out: list[bytes] = []
         for piece, special in self._pieces(text):
-            new, old = self._new, self._old
-            for w in self.pattern.findall(normal(piece)):
-                ids = new.get(w)
-                if ids is None:
-                    ids = old.get(w)
-                    if ids is None:
-                        ids = np.array([*self.word(w)], "<u4").tobytes()
-                    if len(w) <= MEMORY_CHARS:
-                        new[w] = ids
-                        if len(new) >= MEMORY:
-                            self._old, self._new = old, new = new, {}
-                out.append(ids)
+            piece = normal(piece)
+            for space in "\t\n\v\f\r":
+                piece = piece.replace(space, " ")
+            # no word crosses white space; of that, only what is so beyond doubt is split at here
+            recent = self._chunks.recent.get
+            for chunk in piece.split(" "):
+                out.append(recent(chunk) or self._chunks.fetch(chunk))
             if special is not None:
                 out.append(special.to_bytes(4, "little"))
         return np.frombuffer(b"".join(out), "<u4")
 
+    def _chunk(self, chunk: str) -> bytes:
+        words = self.pattern.findall(chunk)
+        if words == [chunk]:
+            ids = [*self.word(chunk)]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self._chunks.fetch(w) for w in words])
+
     def _pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Parts of the text, each with the special token that follows it."""
         at = 0
