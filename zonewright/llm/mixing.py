@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 #: A source's target stops at so many times its size.
 MAX_EPOCHS = 3
 SEED = "mix-42"
+#: Sources up to which their table (a row each) is broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 _SOURCE = ["_null", "_name"]
 
 
@@ -97,6 +99,9 @@ def mix(
         .withColumn("_budget", budget - F.col("_epochs") * F.col("source_size"))
         .drop("_rows", "_n_rows")
     )
+    sources = materialize(sources, "mix-sources")
+    if sources.count() <= BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
     dealt = sizes.join(sources, _SOURCE).withColumn("_bucket", F.shiftright(F.shiftright("_key", 30) * F.col("_buckets"), 30))
     place = [*_SOURCE, "_bucket"]
     earlier = Window.partitionBy(*_SOURCE).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
