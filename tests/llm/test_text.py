@@ -51,6 +51,23 @@ def test_bands_reject_repetition_and_noise():
     assert not judge(prose(2, 1200).encode() + noise * 2)[3]  # chunks tell
 
 
+@pytest.mark.parametrize("size", [1000, 2000, 3000, 4000, 5000, 7900])
+def test_chunks_find_a_bad_half_at_every_length(size):
+    judge = quality.Compression().judge
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for seed in range(20):
+        r, clean = random.Random(seed), prose(seed, size).encode()[:size]
+        bad = ["".join(r.choices(letters, k=size // 2)).encode(), (b"spam and eggs " * size)[: size // 2]]
+        assert judge(clean)[3]
+        for half in bad:
+            assert not judge(clean[: size - len(half)] + half)[3] and not judge(half + clean[len(half) :])[3]
+
+
+def test_chunks_cover_every_byte():
+    judge = quality.Compression(chunk_bands=(quality.Band(100, 0, 9),)).judge
+    assert [judge(b"x" * n)[1] for n in (0, 99, 100, 101, 200, 250)] == [0, 0, 1, 2, 2, 3]
+
+
 def test_quality_of_awkward_rows(spark):
     rows = quality.quality(awkward(spark)).collect()
     assert len(rows) == len(awkward_rows()) and not any(r["kept"] for r in rows if r["doc_id"] in (3, 4, 5, 7, 9))
