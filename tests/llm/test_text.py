@@ -247,3 +247,10 @@ def test_unseen_words_back_off():
     model = language.train([("the cat sat on the mat " * 5, "en"), ("der hund lief durch das haus " * 5, "de")])
     assert model.predict("thecat")[0] == "en" and model.predict("durchlief")[0] == "de"
     assert model.predict("zzzz the")[0] == "en"
+
+
+def test_long_words_are_read_to_their_end():
+    model = language.train([("the cat sat on the mat " * 5, "en"), ("der hund lief durch das haus " * 5, "de")])
+    assert model.predict("thecat" * 11 + "durchlief" * 200)[0] == "de"
+    assert model.predict("durchlief" * 8 + "thecat" * 200)[0] == "en"
+    assert not any(len(word) > 64 for word in model._memory)

@@ -31,8 +31,8 @@ MAX_DOCS, MAX_BYTES = 1500, 6 << 20
 MAX_WORDS, MAX_GRAMS = 30000, 10000
 #: Factor on an n-gram's log score for each length fallen back by, and weight of an unseen word.
 BACKOFF, UNSEEN = 0.8, 0.5
-#: Unseen words whose scores are kept at hand; a full memory is emptied.
-MEMORY = 200_000
+#: Unseen words whose scores are kept at hand, and their letters at most; a full memory is emptied.
+MEMORY, MEMORY_LETTERS = 200_000, 64
 UNDECIDED = "und"
 
 
@@ -46,11 +46,11 @@ class Model:
     _memory: dict = field(default_factory=dict, repr=False)
 
     def unseen(self, word: str) -> np.ndarray:
-        """Scores of a word outside the vocabulary: the longest known n-gram at every step."""
+        """Scores of a word outside the vocabulary: the longest known n-gram at every step, to its end."""
         found = self._memory.get(word)
         if found is not None:
             return found
-        padded, at, total, n = f" {word[:64]} ", 0, np.zeros(len(self.languages)), 0
+        padded, at, total, n = f" {word} ", 0, np.zeros(len(self.languages)), 0
         while at < len(padded):
             for back, size in enumerate(SIZES):
                 number = self.grams.get(padded[at : at + size])
@@ -62,9 +62,10 @@ class Model:
             else:
                 at += 1
         total = UNSEEN * total / max(1, n)
-        if len(self._memory) >= MEMORY:
-            self._memory.clear()
-        self._memory[word] = total
+        if len(word) <= MEMORY_LETTERS:
+            if len(self._memory) >= MEMORY:
+                self._memory.clear()
+            self._memory[word] = total
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
