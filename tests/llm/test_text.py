@@ -94,6 +94,22 @@ def test_page_without_its_frame():
     assert html.Page(PAGE % text).extract([]) == f"Head & tail First bold part goes on Second {text.strip()}"
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("inner", ["div", "section"])
+def test_text_beside_the_largest_container_stays(tag, inner):
+    body = prose(3, 300)
+    source = f"""<body><div class="nav">Home</div><ul><li><a href="/">More</a></ul><div><{tag}><h1>Title</h1><p class="lead">Lead</p>
+<{inner} class="body"><div><p>{body}</p></div></{inner}><p>Close</p></{tag}></div></body>"""
+    assert html.Page(source).extract([]) == f"Title Lead {body} Close"
+
+
+def test_hosts_keep_titles_and_leads(spark):
+    page = '<body><div class="menu">Home</div><article><h1>Title %d</h1><p>Lead</p><section>%s</section></article></body>'
+    pages = [(i, "https://h.example/", page % (i, prose(i, 200))) for i in range(3)]
+    rows = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {i: f"Title {i} Lead {prose(i, 200)}" for i in range(3)}
+
+
 @pytest.mark.parametrize("source", ["", "<", "<p", "<script>", "</div>", "<!-- x", '<a href="x>y', "<p>a<p>b", "plain &lt;text&gt;", "<" * 500])
 def test_broken_pages(source):
     page = html.Page(source)

@@ -43,8 +43,8 @@ BOILER_WORDS = set(
 )
 #: A class with one of these words tells of a page's layout, not of the part itself.
 LAYOUT_WORDS = set("has no with without".split())
-#: Share of a container's text below which the search goes no deeper, and that of an article's tag.
-MOST, ARTICLE = 0.85, 0.3
+#: Share of the page's text from which an article's own element is taken as it is.
+ARTICLE = 0.3
 PATHS = 3
 
 _TOKEN = re.compile(
@@ -162,7 +162,10 @@ class Page:
         return False
 
     def container(self) -> tuple[int, int]:
-        """The element that holds most of the page's text, and that text's length; without text, 0."""
+        """The element that holds the page's text, and that text's length; without text, 0.
+
+        That is the article's or main element, whole, if it has its share; else the smallest container
+        beside which no text is left but boilerplate and links."""
         n = len(self.tags)
         good, linked = [0] * n, [False] * n
         for e in range(1, n):
@@ -172,16 +175,15 @@ class Page:
                 good[element] += len(text) - text.count(" ") if not text.isspace() else 0
         for e in range(n - 1, 0, -1):
             good[self.parents[e]] += good[e]
-        # an article's own element, if it has its share, else down to the smallest container of most
         best = max((e for e in range(1, n) if self.main[e] and not linked[e]), key=lambda e: (good[e], -e), default=0)
-        at = best if best and good[best] >= ARTICLE * good[0] else 0
-        children: dict[int, list[int]] = {}
+        if best and good[best] >= ARTICLE * good[0]:
+            return best, good[best]
+        at, children = 0, {}
         for e in range(1, n):
             children.setdefault(self.parents[e], []).append(e)
-        while True:
-            inner = [e for e in children.get(at, ()) if not linked[e]]
-            deeper = max(inner, key=lambda e: (good[e], -e), default=None)
-            if deeper is None or good[deeper] < max(1, MOST * good[at]) or self.tags[deeper] not in CONTAINER:
+        while good[at]:
+            deeper = next((e for e in children.get(at, ()) if not linked[e] and good[e] == good[at]), None)
+            if deeper is None or self.tags[deeper] not in CONTAINER:
                 break
             at = deeper
         return at, good[at]
