@@ -138,6 +138,17 @@ def test_simhash_of_awkward_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_one_of_each_tells_rows_without_own_id_apart(spark):
+    texts = [prose(i, 80) for i in range(6)]
+    kept = simhash.one_of_each(docs_of(spark, [*texts, texts[0]], [None] * 7))
+    assert sorted(r["text"] for r in kept.collect()) == sorted(texts)
+    for copy, other in (("a ", "z "), ("z ", "a ")):  # the copy is the first of its id by text, or the last
+        base = prose(7, 300)
+        rows = [(1, base), (2, copy + base), (2, other + prose(8, 300)), (3, other + prose(8, 300))]
+        kept = simhash.one_of_each(docs_of(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == [rows[0], rows[2]]
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}

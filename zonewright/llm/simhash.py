@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.llm.common import materialize, repeats_ids, shield, slices, table, unshield
@@ -159,17 +159,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stand for their near-duplicates: those whose id is their component's.
+    """One row of docs for each group of near-duplicates: the first by id (nulls last), then by text.
 
-    Of rows that repeat such an id one stays, the first by text."""
-    groups = near_duplicates(docs, id_col, text_col)
-    chosen = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_chosen")).distinct()
+    Every row has a key of its own, as in common.keyed, and groups are of keys: rows that repeat an
+    id, or have none, are told apart by their texts alone."""
     shielded, names = shield(docs, id_col, text_col)
-    kept = shielded.join(chosen, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_chosen")), "left_semi")
-    if repeats_ids(docs, id_col):
-        order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first(), *names.values())
-        kept = kept.withColumn("_first", F.row_number().over(order)).filter("_first = 1")
-    return unshield(kept, names, docs.columns)
+    key = F.col(f"`{id_col}`").cast("long")
+    if repeats_ids(shielded.select(key.alias("_id")), "_id"):
+        ordered = shielded.orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.col(f"`{text_col}`").asc_nulls_first(), *names.values())
+        rows = materialize(ordered.withColumn("__key", F.monotonically_increasing_id()), "simhash-keyed")
+    else:
+        rows = shielded.withColumn("__key", key)
+    groups = near_duplicates(rows, "__key", text_col)
+    chosen = groups.filter(F.col("__key") == F.col("component_id")).select("__key")
+    return unshield(rows.join(chosen, "__key", "left_semi"), names, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
