@@ -206,3 +206,22 @@ def test_minhash_links(spark):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 3}
     assert minhash.near_duplicates(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_minhash_links_are_of_exact_similarity(spark, block):
+    pairs = {}
+    for k in range(40):  # the last words changed: 80 of 100 shingles in common, or 79 of 99
+        words = [f"w{k}x{i}" for i in range(94 - k % 2)]
+        pairs[2 * k], pairs[2 * k + 1] = " ".join(words), " ".join([*words[:-10], *[f"v{k}x{i}" for i in range(10)]])
+    docs = docs_of(spark, pairs.values())
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, block=block).collect()}
+    assert all((got[2 * k] == got[2 * k + 1]) == (jaccard(pairs[2 * k], pairs[2 * k + 1]) >= 0.8) for k in range(40))
+    assert sum(got[2 * k] == got[2 * k + 1] for k in range(40)) == 20
+
+
+def test_minhash_blocks_of_a_crowded_band(spark):
+    base = prose(1, 300)
+    texts = [f"{base} tail{i}" for i in range(30)] + [prose(9, 300)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, texts), block=8).collect()}
+    assert got == {i: 0 for i in range(30)} | {30: 30}

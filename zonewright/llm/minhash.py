@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from zonewright.llm.components import components
 SHINGLE, PERMUTATIONS, SEED = 5, 128, 20240
 #: Bands of a signature: 32 of 4 values find a pair of similarity 0.8 but once in 10**7.
 BANDS, SIMILARITY = 32, 0.8
+#: Shingle sets are compared where the signatures' estimate is at most this much below the similarity
+#: asked for (five standard errors or more), and a block holds about so many bytes of them.
+SLACK, SET_BYTES = 0.25, 16 << 20
 #: Bytes of text in a block; its shingles' hashes stay in the processor's cache.
 BLOCK = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(SEED))
@@ -82,18 +86,44 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return picked.mapInArrow(run, "_id long, fingerprint string")
 
 
-def forest(entries: np.ndarray, signed: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the entries whose signatures agree in at least `similarity`.
-    Each entry is compared once with those not reached yet."""
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id, fingerprint, _set (its shingles' 64-bit hashes in order, each once) and _entry, a hash of
+    the set, for each row of docs. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text", BLOCK):
+                texts = part.column("_text")
+                hashes, at = shingle_hashes(texts)
+                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                entries = pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets], pa.int64())
+                columns = [part.column("_id"), pa.array(to_hex(signatures(texts))), pa.array(sets, pa.binary()), entries]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "fingerprint", "_set", "_entry"])
+
+    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return picked.mapInArrow(run, "_id long, fingerprint string, _set binary, _entry long")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets, each sorted; two empty ones are alike."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
+
+
+def forest(entries: np.ndarray, signed: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the entries whose sets' Jaccard similarity is at least
+    `similarity`. Each entry is compared once with those not reached yet: by signatures, and then by
+    sets where these are near enough."""
     entries, first = np.unique(entries, return_index=True)
-    signed = signed[first]
+    signed, sets = signed[first], [sets[i] for i in first]
     rest = np.arange(len(entries))
     a, b = [], []
     while len(rest):
         waiting, rest = [rest[0]], rest[1:]
         while waiting and len(rest):
             x = waiting.pop()
-            near = likeness(np.broadcast_to(signed[x], (len(rest), signed.shape[1])), signed[rest]) >= similarity
+            near = likeness(np.broadcast_to(signed[x], (len(rest), signed.shape[1])), signed[rest]) >= similarity - SLACK
+            near[near] = [jaccard(sets[x], sets[y]) >= similarity for y in rest[near]]
             a += [entries[x]] * int(near.sum())
             b += entries[rest[near]].tolist()
             waiting += rest[near].tolist()
@@ -106,37 +136,39 @@ def near_duplicates(
 ) -> DataFrame:
     """A row for each row of docs: id, fingerprint and component_id, the smallest id that links lead to.
 
-    Equal fingerprints are one entry. Entries that share a band are compared, and a link is one whose
-    Jaccard estimate, over all permutations, is at least `similarity`. The members of a band are dealt
-    to blocks of bounded size, every two blocks meet in one task, and that returns a spanning forest
-    of their links: no task holds an unbounded band, and none emits all its pairs."""
+    Equal shingle sets are one entry. Entries that share a band are compared, and a link is one whose
+    shingle sets (as 64-bit hashes) have a Jaccard similarity of at least `similarity`. The members of
+    a band are dealt to blocks of bounded size, every two blocks meet in one task, and that returns a
+    spanning forest of their links: no task holds an unbounded band, and none emits all its pairs."""
     width = 4 * PERMUTATIONS // BANDS
-    rows = materialize(fingerprint(docs, id_col, text_col), "minhash")
-    entries = rows.groupBy("fingerprint").agg(F.min("_id").alias("_least"))
-    numbered = materialize(entries.withColumn("_entry", F.xxhash64("fingerprint")), "minhash-entries")
+    rows = materialize(shingle_sets(docs, id_col, text_col), "minhash")
+    entries = rows.groupBy("_entry").agg(F.min("_id").alias("_least"), F.first("fingerprint").alias("fingerprint"), F.first("_set").alias("_set"))
+    numbered = materialize(entries, "minhash-entries")
     bands = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", 1 + i * width, width)) for i in range(BANDS)])
-    members = numbered.select(F.explode(bands).alias("_band"), "_entry", "fingerprint")
-    shared = members.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    shared = shared.select("_band", F.ceil(F.col("_n") / block).cast("int").alias("_n"))
+    members = numbered.select(F.explode(bands).alias("_band"), "_entry", F.octet_length("_set").alias("_size"))
+    shared = members.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_size")).filter("_n > 1")
+    blocks = F.ceil(F.greatest(F.col("_n") / block, F.col("_size") / SET_BYTES)).cast("int")
+    shared = shared.select("_band", blocks.alias("_n"))
     mine = F.pmod(F.col("_entry"), F.col("_n")).cast("int")
     dealt = (
-        members.join(shared, "_band")
+        members.drop("_size").join(shared, "_band")
         .withColumn("_mine", mine)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .select("_band", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_entry", "fingerprint")
+        .select("_band", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_entry")
+        .join(numbered.select("_entry", "fingerprint", "_set"), "_entry")
     )
 
     def within(group: pd.DataFrame) -> pd.DataFrame:
         signed = np.frombuffer(bytes.fromhex("".join(group["fingerprint"])), ">u2").reshape(len(group), PERMUTATIONS)
-        a, b = forest(group["_entry"].to_numpy(), signed, similarity)
+        a, b = forest(group["_entry"].to_numpy(), signed, [np.frombuffer(x, np.uint64) for x in group["_set"]], similarity)
         return pd.DataFrame({"a": a, "b": b})
 
     found = dealt.groupBy("_band", "_i", "_j").applyInPandas(within, "a long, b long")
     roots = components(found).withColumnRenamed("node", "_entry")
-    rooted = numbered.join(roots, "_entry", "left").withColumn("_root", F.coalesce("root", "_entry"))
+    rooted = numbered.select("_entry", "_least").join(roots, "_entry", "left").withColumn("_root", F.coalesce("root", "_entry"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    labels = rooted.join(least, "_root").select("fingerprint", "component_id")
-    return rows.join(labels, "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+    labels = rooted.join(least, "_root").select("_entry", "component_id")
+    return rows.select("_id", "fingerprint", "_entry").join(labels, "_entry").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str, n_parts: int) -> DataFrame:
