@@ -233,6 +233,15 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score(empty(spark), toxicity.fit(empty(spark), labels)).count() == 0
 
 
+@pytest.mark.parametrize("long", [2000, 8000])  # words; texts that fit once, and texts that never do
+def test_a_long_text_does_not_use_up_the_sample(spark, long):
+    texts = [prose(i, 30) + (" idiot scum" if i % 3 == 0 else "") for i in range(60)] + [prose(i, long) for i in range(60, 90)]
+    labels = spark.createDataFrame([(i, 0, int(i < 60 and i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs_of(spark, texts), labels, max_bytes=32_000)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(spark, texts[:60]), model).collect()}
+    assert min(scores[i] for i in range(0, 60, 3)) > max(scores[i] for i in range(1, 60, 3))
+
+
 def test_toxicity_does_not_depend_on_the_block():
     import pyarrow as pa
 

@@ -164,7 +164,8 @@ def logistic(rows, columns, values, y, n_features, ridge, rounds) -> tuple[np.nd
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_rows=MAX_ROWS, max_bytes=MAX_BYTES, **options) -> Model:
     """Train on the labelled rows of docs that are not held out: in the order of a hash of the id, at
-    most max_rows of them and as many as have max_bytes of text. Null labels and texts are no labels."""
+    most max_rows of them, each text that still fits into max_bytes; a longer one is passed over. Null
+    labels and texts are no labels."""
     marked = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
         .filter(F.col("_label").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
@@ -175,13 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     sample = marked.orderBy(order, "_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     sized = texts.join(F.broadcast(sample), "_id")
-    rows = sized.select("_id", "_label", F.octet_length("_text").alias("_n"), "_text").sort(order, "_id", "_text")
+    rows = sized.select("_id", "_label", F.octet_length("_text").alias("_n"), "_text").filter(F.col("_n") <= max_bytes).sort(order, "_id", "_text")
     kept, total = [], 0
     for row in rows.toLocalIterator():
-        total += row["_n"]
-        if kept and total > max_bytes:
-            break
-        kept.append((row["_text"], int(row["_label"] > 0)))
+        if total + row["_n"] <= max_bytes:
+            total += row["_n"]
+            kept.append((row["_text"], int(row["_label"] > 0)))
     return train([t for t, _ in kept], [y for _, y in kept], **options)
 
 
