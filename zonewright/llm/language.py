@@ -18,8 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import hash60, slices, table
-from zonewright.llm.toxicity import held_out
+from zonewright.llm.common import hash60, held_out, slices, table
 
 #: Words are runs of letters and marks, lower-cased.
 WORD = regex.compile(r"[\p{L}\p{M}]+")

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import WHITE, flat, hash60, shield, slices, sorted_groups, table, unshield
+from zonewright.llm.common import WHITE, flat, hash60, held_out, shield, slices, sorted_groups, table, unshield
 
 #: Lengths of the n-grams in UTF-8 bytes, and bits of their hash.
 SIZES = (4, 5, 6)
@@ -31,12 +31,6 @@ THRESHOLD = 0.5
 _SPACE = np.where(WHITE, np.uint8(32), np.arange(256, dtype=np.uint8))
 
 
-def held_out(id_col: str | Column) -> Column:
-    """Rows kept from learning: crc32 of the id as text is divisible by 5. A null id counts as ''."""
-    col = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
-
-
 def presence(
     texts: pa.Array, sizes=SIZES, bits: int = BITS, used: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
