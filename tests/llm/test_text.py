@@ -1,5 +1,6 @@
 """Quality rules, HTML, BPE, toxicity and language identification."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -297,9 +298,59 @@ def test_language_of_awkward_rows(spark):
     assert len(rows) == len(awkward_rows())
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (3, 4, 5)} == {"und"}
     assert model.predict("12 34 !?") == ("und", 0.0)
+    assert model.predict("\u0301 12 \u0308\u0301") == ("und", 0.0)  # marks without a letter
     assert language.identify(docs_of(spark, ["word"]), language.fit(empty(spark))).first()["lang_pred"] == "und"
 
 
+def brute_prediction(rows, text):
+    """The same model over plain dictionaries, a word at a time."""
+    words, langs = {}, sorted({x for _, x in rows})
+    for t, x in rows:
+        words.setdefault(x, Counter()).update(language.words_of(t))
+    tables = []
+    for size in (None, *language.SIZES):
+        counts = {x: Counter() for x in langs}
+        for x in langs:
+            for w, n in words[x].items():
+                for e in [w] if size is None else [f" {w} "[i : i + size] for i in range(len(w) + 3 - size)]:
+                    counts[x][e] += n
+        kept = {e for c in counts.values() for e, n in c.items() if n >= 2}
+        logs = {x: (lambda e, x=x, c=counts, k=len(kept): math.log((c[x][e] + 0.5) / (sum(c[x].values()) + 0.5 * (k + 1)))) for x in langs}
+        tables.append((size, kept, logs))
+    total = dict.fromkeys(langs, 0.0)
+    found = language.words_of(text)
+    for w in found:
+        if w in tables[0][1]:
+            for x in langs:
+                total[x] += tables[0][2][x](w)
+            continue
+        padded, at, n, own = f" {w} ", 0, 0, dict.fromkeys(langs, 0.0)
+        while at < len(padded):
+            for back, (size, kept, logs) in enumerate(tables[1:]):
+                e = padded[at : at + size]
+                if len(e) == size and e in kept:
+                    for x in langs:
+                        own[x] += language.BACKOFF**back * logs[x](e)
+                    at, n = at + size, n + 1
+                    break
+            else:
+                at += 1
+        for x in langs:
+            total[x] += language.UNSEEN * own[x] / max(1, n)
+    best = max(langs, key=lambda x: total[x])
+    damp = min(len(found), 20) / max(1, len(found))
+    return (best, 1 / sum(math.exp(max(-60, (total[x] - total[best]) * damp)) for x in langs)) if found else ("und", 0.0)
+
+
+def test_language_agrees_with_brute_force():
+    rows = [("the cat sat on the mat, the cat and the hat", "en"), ("der Hund lief durch das Haus und das Haus der Hunde", "de"), ("le chat et le chien dans la maison de la maison", "fr")]
+    model = language.train(rows)
+    texts = ["the cat", "das katzenhaus", "maisonette", "xyz 12", "", None, "chat der the lamaison thehund zzz", "12"]
+    for text, (lang, score) in zip(texts, model.predictions(texts)):
+        expected = brute_prediction(rows, text)
+        assert lang == expected[0] and score == pytest.approx(expected[1])
+
+
 def test_unseen_words_back_off():
     model = language.train([("the cat sat on the mat " * 5, "en"), ("der hund lief durch das haus " * 5, "de")])
     assert model.predict("thecat")[0] == "en" and model.predict("durchlief")[0] == "de"

@@ -8,6 +8,7 @@ it had to fall back by. The languages' scores over all words of the whole text g
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -20,28 +21,66 @@ from pyspark.sql import functions as F
 
 from zonewright.llm.common import hash60, held_out, slices, table
 
-#: Words are runs of letters and marks, lower-cased.
-WORD = regex.compile(r"[\p{L}\p{M}]+")
+#: Words are runs of letters and marks, lower-cased; a text without a letter has none.
+WORD, LETTER = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 #: n-grams from long to short; words are padded with a space on both sides.
 SIZES = (5, 4, 3, 2, 1)
-#: Learned from at most, for each language: documents (whole, in hash order) and bytes of them.
-MAX_DOCS, MAX_BYTES = 1500, 6 << 20
-#: Kept for each language at most: words and n-grams of each length.
+#: Learned from at most, for each language: documents (whole, in hash order) and UTF-8 bytes of them; and
+#: bytes of all languages together.
+MAX_DOCS, MAX_BYTES, MAX_TOTAL = 1500, 6 << 20, 96 << 20
+#: Kept for each language at most: words and n-grams of each length, the most frequent ones. Rarer words
+#: back off to n-grams, rarer n-grams to shorter ones.
 MAX_WORDS, MAX_GRAMS = 30000, 10000
 #: Factor on an n-gram's log score for each length fallen back by, and weight of an unseen word.
 BACKOFF, UNSEEN = 0.8, 0.5
-#: Unseen words whose scores are kept at hand, and their letters at most; a full memory is emptied.
-MEMORY, MEMORY_LETTERS = 200_000, 64
+#: Scores of unseen words kept at hand (a word has one a language), and the words' letters at most; a full
+#: memory is emptied.
+MEMORY, MEMORY_LETTERS = 1_000_000, 64
 UNDECIDED = "und"
 
 
+@dataclass
+class Table:
+    """Numbers of entries (words, or n-grams), and for each the languages it was seen in and by how much
+    its log share there is above that of an entry never seen. Sparse: an entry costs what it was seen."""
+
+    number: dict[str, int]
+    at: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
+    #: Of each language, the log share of an entry never seen.
+    base: np.ndarray
+
+    @classmethod
+    def of(cls, counts: list[Counter], most: int, least: int) -> Table:
+        """The most frequent entries of every language that it has at least `least` times."""
+        chosen: set[str] = set()
+        for counter in counts:
+            chosen |= set(heapq.nsmallest(most, (k for k, n in counter.items() if n >= least), key=lambda k: (-counter[k], k)))
+        entries = sorted(chosen)
+        totals = np.array([sum(c.values()) for c in counts], float)
+        base = np.log(0.5) - np.log(totals + 0.5 * (len(entries) + 1))
+        seen = [[(i, counter[e]) for i, counter in enumerate(counts) if counter[e]] for e in entries]
+        at = np.cumsum([0, *map(len, seen)])
+        language = np.array([i for row in seen for i, _ in row], np.int64)
+        gain = np.log(np.array([n + 0.5 for row in seen for _, n in row]) / 0.5)
+        return cls({e: i for i, e in enumerate(entries)}, at, language, gain, base)
+
+    def sums(self, owner: np.ndarray, number: np.ndarray, count: np.ndarray, n_owners: int) -> np.ndarray:
+        """Scores of each owner's entries in all languages."""
+        sizes = self.at[number + 1] - self.at[number]
+        first = np.r_[0, np.cumsum(sizes)[:-1]] if len(sizes) else sizes
+        place = np.arange(sizes.sum()) + np.repeat(self.at[number] - first, sizes)
+        cell = np.repeat(owner, sizes) * len(self.base) + self.language[place]
+        gains = np.bincount(cell, self.gain[place] * np.repeat(count, sizes), n_owners * len(self.base))
+        return gains.reshape(n_owners, -1) + np.bincount(owner, count, n_owners)[:, None] * self.base
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
+    words: Table
+    grams: tuple[Table, ...]
     _memory: dict = field(default_factory=dict, repr=False)
 
     def unseen(self, word: str) -> np.ndarray:
@@ -50,11 +89,14 @@ class Model:
         if found is not None:
             return found
         padded, at, total, n = f" {word} ", 0, np.zeros(len(self.languages)), 0
+        steps = [(size, BACKOFF**back, table, table.number.get) for back, (size, table) in enumerate(zip(SIZES, self.grams, strict=True))]
         while at < len(padded):
-            for back, size in enumerate(SIZES):
-                number = self.grams.get(padded[at : at + size])
-                if number is not None and at + size <= len(padded):
-                    total += BACKOFF**back * self.gram_scores[number]
+            for size, weight, table, get in steps:
+                number = get(padded[at : at + size])
+                if number is not None:
+                    total += weight * table.base
+                    a, b = table.at[number], table.at[number + 1]
+                    total[table.language[a:b]] += weight * table.gain[a:b]
                     at += size
                     n += 1
                     break
@@ -62,69 +104,67 @@ class Model:
                 at += 1
         total = UNSEEN * total / max(1, n)
         if len(word) <= MEMORY_LETTERS:
-            if len(self._memory) >= MEMORY:
+            if len(self._memory) >= MEMORY // max(1, len(self.languages)):
                 self._memory.clear()
             self._memory[word] = total
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not words or not self.languages:
-            return UNDECIDED, 0.0
-        numbers = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
-        known = numbers[numbers >= 0]
-        total = self.word_scores[known].sum(axis=0)
-        if len(known) < len(words):
-            total = total + np.sum([self.unseen(words[i]) for i in np.flatnonzero(numbers < 0).tolist()], axis=0)
-        best = int(np.argmax(total))  # of equal scores, the first language in code-point order
+    def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text. A batch's different words are looked up once each."""
+        found = [words_of(t) for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        if not self.languages or not counts.sum():
+            return [(UNDECIDED, 0.0)] * len(texts)
+        known: dict[str, int] = {}
+        number = np.fromiter((known.setdefault(w, len(known)) for words in found for w in words), np.int64, counts.sum())
+        key, count = np.unique(np.repeat(np.arange(len(texts)), counts) * len(known) + number, return_counts=True)
+        owner, number = key // len(known), key % len(known)
+        place = np.fromiter(map(self.words.number.get, known, itertools.repeat(-1)), np.int64, len(known))[number]
+        there = place >= 0
+        total = self.words.sums(owner[there], place[there], count[there], len(texts))
+        names = list(known)
+        for i, w, n in zip(owner[~there].tolist(), number[~there].tolist(), count[~there].tolist(), strict=True):
+            total[i] += n * self.unseen(names[w])
+        best = total.argmax(axis=1)  # of equal scores, the first language in code-point order
         # posterior on the mean evidence of a few words: a calibrated figure, not a product over all
-        shifted = (total - total[best]) * (min(len(words), 20) / len(words))
-        return self.languages[best], float(1 / np.exp(np.maximum(shifted, -60)).sum())
-
-
-def _table(counts: dict[str, Counter], most: int, least: int = 1) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the most frequent entries of every language, and their smoothed log shares,
-    each less the mean over the languages, so that an entry alike in all adds nothing."""
-    languages = sorted(counts)
-    if not languages:
-        return {}, np.zeros((0, 0))
-    chosen: set[str] = set()
-    for counter in counts.values():
-        chosen |= set(heapq.nsmallest(most, (k for k, n in counter.items() if n >= least), key=lambda k: (-counter[k], k)))
-    entries = sorted(chosen)
-    seen = np.array([[counts[x][e] for x in languages] for e in entries], float).reshape(len(entries), len(languages))
-    totals = np.array([sum(counts[x].values()) for x in languages], float)
-    logs = np.log((seen + 0.5) / (totals + 0.5 * (len(entries) + 1)))
-    return {e: i for i, e in enumerate(entries)}, logs - logs.mean(axis=1, keepdims=True)
+        damped = (total - total.max(axis=1, keepdims=True)) * (np.minimum(counts, 20) / np.maximum(counts, 1))[:, None]
+        score = 1 / np.exp(np.maximum(damped, -60)).sum(axis=1)
+        return [(self.languages[k], s) if n else (UNDECIDED, 0.0) for k, s, n in zip(best.tolist(), score.tolist(), counts.tolist(), strict=True)]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predictions([text])[0]
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and marks; none if there is no letter at all."""
+    return WORD.findall(text.lower()) if text and LETTER.search(text) else []
 
 
 def train(rows: Iterable[tuple[str, str]], max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on pairs of text and language."""
     words: dict[str, Counter] = {}
     for text, lang in rows:
-        words.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
-    numbers, scores = _table(words, max_words, 2)
-    grams: dict[str, int] = {}
-    tables: list[np.ndarray] = []
+        words.setdefault(lang, Counter()).update(words_of(text))
+    languages = sorted(words)
+    grams = []
     for size in SIZES:
-        counts = {x: Counter() for x in words}
-        for lang, counter in words.items():
-            for word, n in counter.items():
+        counts = [Counter() for _ in languages]
+        for counter, lang in zip(counts, languages, strict=True):
+            for word, n in words[lang].items():
                 padded = f" {word} "
                 for i in range(len(padded) - size + 1):
-                    counts[lang][padded[i : i + size]] += n
-        own, values = _table(counts, max_grams, 2)
-        grams |= {g: i + len(grams) for g, i in own.items()}
-        tables.append(values)
-    return Model(sorted(words), numbers, scores, grams, np.concatenate(tables) if tables else np.zeros((0, 0)))
+                    counter[padded[i : i + size]] += n
+        grams.append(Table.of(counts, max_grams, 2))
+    return Model(languages, Table.of([words[x] for x in languages], max_words, 2), tuple(grams))
 
 
-def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", max_docs=MAX_DOCS, max_bytes=MAX_BYTES) -> Model:
+def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", max_docs=MAX_DOCS, max_bytes=MAX_BYTES, max_total=MAX_TOTAL) -> Model:
     """Learn from documents that are not held out and have text and language: of every language the
-    first max_docs in the order of a hash of the id, while they have max_bytes of text together.
+    first max_docs in the order of a hash of the id, each text that still fits into max_bytes of the
+    language, or into its even share of max_total if that is less.
 
     The hash order is cut by a threshold first, from the language's number of rows, so no language
-    is sorted whole in one task."""
+    is sorted whole in one task. Rows that repeat an id are told apart by their texts."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).filter(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out("_id")
     ).withColumn("_order", hash60(F.lit("language"), F.col("_id")))
@@ -133,14 +173,14 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", max_
     if not cut:
         return train([])
     limits = F.create_map(*[x for lang, most in cut.items() for x in (F.lit(lang), F.lit(most))])
-    sample = rows.filter(F.col("_order") < limits[F.col("_lang")]).select("_lang", "_text", "_order", "_id")
+    room = min(max_bytes, max_total // len(cut))
+    sample = rows.filter(F.col("_order") < limits[F.col("_lang")]).select("_lang", "_order", "_id", F.octet_length("_text").alias("_n"), "_text").filter(F.col("_n") <= room)
     used = Counter()
 
     def within() -> Iterator[tuple[str, str]]:
         for row in sample.sort("_order", "_id", "_text").toLocalIterator():
-            size = len(row["_text"])
-            if not used[row["_lang"]] or used[row["_lang"]] + size <= max_bytes:
-                used[row["_lang"]] += size
+            if used[row["_lang"]] + row["_n"] <= room:
+                used[row["_lang"]] += row["_n"]
                 yield row["_text"], row["_lang"]
 
     return train(within())
@@ -149,15 +189,15 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", max_
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, lang_pred, score.
 
-    A null text or one without a letter is und with score 0. The model's size is bounded by
-    MAX_WORDS and MAX_GRAMS for each language. Nothing is shuffled."""
+    A null text or one without a letter is und with score 0. Repeated rows are judged alike, words of
+    any length are read to their end, and an empty table gives an empty table. The model's size is
+    bounded by MAX_WORDS and MAX_GRAMS for each language. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                found = [shared.value.predict(t.as_py()) for t in part.column("_text")]
-                lang, score = zip(*found, strict=True)
+            for part in slices(batch, "_text", 1 << 20):
+                lang, score = zip(*shared.value.predictions(part.column("_text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(lang), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
     picked = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("_text"))
