@@ -11,7 +11,7 @@ import heapq
 import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,8 @@ MAX_DOCS, MAX_BYTES, MAX_TOTAL = 1500, 6 << 20, 96 << 20
 MAX_WORDS, MAX_GRAMS = 30000, 10000
 #: Factor on an n-gram's log score for each length fallen back by, and weight of an unseen word.
 BACKOFF, UNSEEN = 0.8, 0.5
-#: Scores of unseen words kept at hand (a word has one a language), and the words' letters at most; a full
-#: memory is emptied.
-MEMORY, MEMORY_LETTERS = 1_000_000, 64
+#: Scores of unseen words held at once (a word has one a language).
+BLOCK = 1 << 18
 UNDECIDED = "und"
 
 
@@ -81,33 +80,45 @@ class Model:
     languages: list[str]
     words: Table
     grams: tuple[Table, ...]
-    _memory: dict = field(default_factory=dict, repr=False)
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Scores of a word outside the vocabulary: the longest known n-gram at every step, to its end."""
-        found = self._memory.get(word)
-        if found is not None:
-            return found
-        padded, at, total, n = f" {word} ", 0, np.zeros(len(self.languages)), 0
-        steps = [(size, BACKOFF**back, table, table.number.get) for back, (size, table) in enumerate(zip(SIZES, self.grams, strict=True))]
-        while at < len(padded):
-            for size, weight, table, get in steps:
+
+    def __post_init__(self):
+        # all sizes' n-grams in one table, each weighed by how far it is from the longest
+        weight = [BACKOFF**k for k in range(len(self.grams))]
+        first = np.cumsum([0, *[len(t.number) for t in self.grams]])
+        self._numbers = [{e: i + n for e, i in t.number.items()} for t, n in zip(self.grams, first.tolist())]
+        self._kind = np.repeat(np.arange(len(self.grams)), np.diff(first))
+        self._base = np.array([w * t.base for w, t in zip(weight, self.grams)]).reshape(len(self.grams), len(self.languages))
+        sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(t.at) for t in self.grams]])
+        none = np.zeros(0)
+        self._all = Table(
+            {}, np.cumsum(sizes), np.concatenate([none, *[t.language for t in self.grams]]).astype(np.int64),
+            np.concatenate([none, *[w * t.gain for w, t in zip(weight, self.grams)]]), np.zeros(len(self.languages)),
+        )
+
+    def covering(self, word: str) -> list[int]:
+        """Numbers of the n-grams that cover a word: the longest known one at every step, to its end."""
+        padded, at, out = f" {word} ", 0, []
+        end, steps = len(padded), [(size, numbers.get) for size, numbers in zip(SIZES, self._numbers)]
+        while at < end:
+            for size, get in steps:
                 number = get(padded[at : at + size])
                 if number is not None:
-                    total += weight * table.base
-                    a, b = table.at[number], table.at[number + 1]
-                    total[table.language[a:b]] += weight * table.gain[a:b]
+                    out.append(number)
                     at += size
-                    n += 1
                     break
             else:
                 at += 1
-        total = UNSEEN * total / max(1, n)
-        if len(word) <= MEMORY_LETTERS:
-            if len(self._memory) >= MEMORY // max(1, len(self.languages)):
-                self._memory.clear()
-            self._memory[word] = total
-        return total
+        return out
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word outside the vocabulary: the mean over its n-grams."""
+        found = [self.covering(w) for w in words]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        number = np.fromiter(itertools.chain.from_iterable(found), np.int64, n.sum())
+        owner = np.repeat(np.arange(len(words)), n)
+        kinds = np.bincount(owner * len(self.grams) + self._kind[number], minlength=len(words) * len(self.grams))
+        total = self._all.sums(owner, number, np.ones(len(number)), len(words)) + kinds.reshape(len(words), -1) @ self._base
+        return UNSEEN * total / np.maximum(1, n)[:, None]
 
     def predictions(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text. A batch's different words are looked up once each."""
@@ -115,16 +126,24 @@ class Model:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         if not self.languages or not counts.sum():
             return [(UNDECIDED, 0.0)] * len(texts)
-        known: dict[str, int] = {}
-        number = np.fromiter((known.setdefault(w, len(known)) for words in found for w in words), np.int64, counts.sum())
-        key, count = np.unique(np.repeat(np.arange(len(texts)), counts) * len(known) + number, return_counts=True)
-        owner, number = key // len(known), key % len(known)
-        place = np.fromiter(map(self.words.number.get, known, itertools.repeat(-1)), np.int64, len(known))[number]
-        there = place >= 0
-        total = self.words.sums(owner[there], place[there], count[there], len(texts))
-        names = list(known)
-        for i, w, n in zip(owner[~there].tolist(), number[~there].tolist(), count[~there].tolist(), strict=True):
-            total[i] += n * self.unseen(names[w])
+        words: dict[str, int] = {}
+        number = np.fromiter((words.setdefault(w, len(words)) for own in found for w in own), np.int64, counts.sum())
+        key, count = np.unique(np.repeat(np.arange(len(texts)), counts) * len(words) + number, return_counts=True)
+        owner, number = key // len(words), key % len(words)
+        place = np.fromiter(map(self.words.number.get, words, itertools.repeat(-1)), np.int64, len(words))
+        there = place[number] >= 0
+        total = self.words.sums(owner[there], place[number[there]], count[there], len(texts))
+        # the others, so many at a time that their rows stay few
+        owner, number, count = owner[~there], number[~there], count[~there]
+        order = np.argsort(number, kind="stable")
+        owner, number, count = owner[order], number[order], count[order]
+        outside, names = np.flatnonzero(place < 0), list(words)
+        step = max(1, BLOCK // len(self.languages))
+        for i in range(0, len(outside), step):
+            some = outside[i : i + step]
+            a, b = np.searchsorted(number, some[0]), np.searchsorted(number, some[-1], side="right")
+            rows = self.unseen([names[k] for k in some.tolist()])[np.searchsorted(some, number[a:b])]
+            np.add.at(total, owner[a:b], rows * count[a:b, None])
         best = total.argmax(axis=1)  # of equal scores, the first language in code-point order
         # posterior on the mean evidence of a few words: a calibrated figure, not a product over all
         damped = (total - total.max(axis=1, keepdims=True)) * (np.minimum(counts, 20) / np.maximum(counts, 1))[:, None]
@@ -196,7 +215,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
+            for part in slices(batch, "_text", 2 << 20):
                 lang, score = zip(*shared.value.predictions(part.column("_text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(lang), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
