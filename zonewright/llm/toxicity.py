@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import WHITE, flat, hash60, held_out, shield, slices, sorted_groups, table, unshield
+from zonewright.llm.common import WHITE, flat, hash60, held_out, shield, slices, table, unshield
 
-#: Lengths of the n-grams in UTF-8 bytes, and bits of their hash.
+#: Lengths of the n-grams in characters, and bits of their hash.
 SIZES = (4, 5, 6)
 BITS = 18
 #: Labelled rows learned from at most, and bytes of their texts at most (whole texts, in hash order).
@@ -28,36 +28,52 @@ MAX_BYTES = 24 << 20
 #: Features kept for the regression: those most unlike between the classes.
 MAX_FEATURES = 8192
 THRESHOLD = 0.5
-_SPACE = np.where(WHITE, np.uint8(32), np.arange(256, dtype=np.uint8))
+#: Places of a text looked at together, and bytes of texts in a block.
+PLACES, BLOCK = 1 << 18, 1 << 19
+_SPACE = np.where(WHITE, 32, np.arange(256)).astype(np.uint32)
+_FACTOR = 0x100000001B3
+
+
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' code points in a row, lower-cased and with white space as one character, and the
+    len + 1 offsets between texts; null is empty."""
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    at = np.r_[0, np.cumsum(pc.utf8_length(lower).to_numpy(zero_copy_only=False))].astype(np.int64)
+    data, _ = flat(lower)
+    points = data if len(data) == at[-1] else np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    return np.where(points < 128, _SPACE[points & 127], points).astype(np.uint64), at
 
 
 def presence(
     texts: pa.Array, sizes=SIZES, bits: int = BITS, used: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, bucket and count, a row for each text and bucket that occurs in it, and all
-    texts' numbers of n-grams. Text is lower-cased, and white space is one kind of character.
-    used: the buckets to return, where others don't matter."""
-    data, at = flat(pc.utf8_lower(pc.fill_null(texts, "")))
-    data = _SPACE[data].astype(np.uint64)
-    value, found = np.zeros(len(data), np.uint64), []
-    grams = np.zeros(len(texts), np.int64)
-    for n in range(1, max(sizes) + 1):
-        if n > len(data):
-            break
-        # the n-gram that starts here: one more byte than before
-        value = value[: len(data) - n + 1] * np.uint64(257) + (data[n - 1 :] + np.uint64(1))
-        if n in sizes:
-            grams += np.maximum(0, np.diff(at) - n + 1)
-            bucket = ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-            whole = np.ones(len(value), bool) if used is None else used[bucket]
-            over = (at[1:-1, None] - np.arange(1, n)).ravel()  # these run into the next text
-            whole[over[(over >= 0) & (over < len(whole))]] = False
-            places = np.flatnonzero(whole)
-            owner = np.searchsorted(at, places, side="right") - 1
-            found.append(owner << bits | bucket[places])
-    keys = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    first = sorted_groups(keys)
-    return keys[first] >> bits, keys[first] & ((1 << bits) - 1), np.diff(np.r_[first, len(keys)]), np.maximum(1, grams)
+    texts' numbers of n-grams. used: the buckets to return, where others don't matter.
+
+    Places are taken a block at a time and each block's counts added up, so a text of any length needs
+    the memory of its characters and of its different buckets."""
+    points, at = characters(texts)
+    grams = sum(np.maximum(0, np.diff(at) - n + 1) for n in sizes)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start in range(0, len(points), PLACES):
+        block = points[start : start + PLACES + max(sizes) - 1]
+        value, found = np.zeros(len(block), np.uint64), []
+        for n in range(1, max(sizes) + 1):
+            if n > len(block):
+                break
+            # the n-gram that starts here: one more character than before
+            value = value[: len(block) - n + 1] * np.uint64(_FACTOR) + (block[n - 1 :] + np.uint64(1))
+            if n in sizes:
+                bucket = ((value[:PLACES] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+                places = np.arange(len(bucket)) if used is None else np.flatnonzero(used[bucket])
+                owner = np.searchsorted(at, start + places, side="right") - 1
+                whole = start + places + n <= at[owner + 1]  # the others run into the next text
+                found.append(owner[whole] << bits | bucket[places[whole]])
+        own, n_own = np.unique(np.concatenate(found), return_counts=True) if found else (keys[:0], counts[:0])
+        both = np.concatenate([keys, own])
+        keys, back = np.unique(both, return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n_own]), len(keys)).astype(np.int64)
+    return keys >> bits, keys & ((1 << bits) - 1), counts, np.maximum(1, grams)
 
 
 @dataclass
@@ -86,10 +102,17 @@ def train(texts: list[str | None], labels: list[int], sizes=SIZES, bits=BITS, ma
     share = (y.sum() + 1) / (len(y) + 20)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(n), float(np.log(share / (1 - share))), sizes, bits)
-    blocks, seen = [range(i, min(i + 200, len(texts))) for i in range(0, len(texts), 200)], np.zeros((2, n))
-    for block in blocks:
-        owner, bucket, _, _ = presence(pa.array([texts[i] for i in block], pa.string()), sizes, bits)
-        toxic = y[block.start + owner] > 0
+    batch, seen = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"]), np.zeros((2, n))
+
+    def blocks() -> Iterator[tuple]:
+        start = 0
+        for part in slices(batch, "text", BLOCK):
+            yield start, part.column("text")
+            start += len(part)
+
+    for start, part in blocks():
+        owner, bucket, _, _ = presence(part, sizes, bits)
+        toxic = y[start + owner] > 0
         seen[1] += np.bincount(bucket[toxic], minlength=n)
         seen[0] += np.bincount(bucket[~toxic], minlength=n)
     share_of = (seen + 1) / (np.array([[len(y) - y.sum()], [y.sum()]]) + 2)
@@ -102,12 +125,12 @@ def train(texts: list[str | None], labels: list[int], sizes=SIZES, bits=BITS, ma
     number = np.full(n, -1)
     number[chosen] = np.arange(len(chosen))
     rows, columns, values = [], [], []
-    for block in blocks:
-        owner, bucket, count, lengths = presence(pa.array([texts[i] for i in block], pa.string()), sizes, bits)
-        kept = number[bucket] >= 0
-        rows.append((block.start + owner[kept]).astype(np.int32))
-        columns.append(number[bucket[kept]].astype(np.int32))
-        values.append((feature(count[kept], lengths[owner[kept]]) * ratio[bucket[kept]]).astype(np.float32))
+    used = number >= 0
+    for start, part in blocks():
+        owner, bucket, count, lengths = presence(part, sizes, bits, used)
+        rows.append((start + owner).astype(np.int32))
+        columns.append(number[bucket].astype(np.int32))
+        values.append((feature(count, lengths[owner]) * ratio[bucket]).astype(np.float32))
     rows, columns, values = map(np.concatenate, (rows, columns, values))
     w, bias = logistic(rows, columns, values, y, len(chosen), ridge, rounds)
     weights = np.zeros(n)
@@ -159,7 +182,8 @@ def logistic(rows, columns, values, y, n_features, ridge, rounds) -> tuple[np.nd
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_rows=MAX_ROWS, max_bytes=MAX_BYTES, **options) -> Model:
     """Train on the labelled rows of docs that are not held out: in the order of a hash of the id, at
     most max_rows of them, each text that still fits into max_bytes; a longer one is passed over. Null
-    labels and texts are no labels."""
+    labels and texts are no labels; an id labelled twice is toxic if one label says so, and rows that
+    repeat an id are all learned from."""
     marked = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
         .filter(F.col("_label").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
@@ -182,14 +206,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of docs: id, the columns in keep, score from 0 to 1, predicted 0 or 1.
 
-    Empty and null texts have no n-gram, so their score is that of the bias. The broadcast model has
-    a fixed size, 8 * 2**bits bytes."""
+    Empty and null texts have no n-gram, so their score is that of the bias. Repeated rows score alike,
+    a very long text is read in blocks, and an empty table gives an empty table. The broadcast model has
+    a fixed size, 8 * 2**bits bytes. Nothing is shuffled."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 19):
+            for part in slices(batch, "_text", BLOCK):
                 scores = shared.value.scores(part.column("_text"))
                 own = [part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=[*names, "score", "predicted"])
