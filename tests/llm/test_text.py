@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import awkward, awkward_rows, docs_of, empty, prose
@@ -224,11 +225,32 @@ def test_bpe_streams_long_words(pair):
 
 def test_bpe_buffer_is_bounded(pair):
     encoder = bpe.WordEncoder(pair[0].merges)
-    most = 0
+    most = n = 0
     for i in range(3000):
-        encoder.feed("ab"[i % 2])
-        most = max(most, len(encoder.symbols))
-    assert most <= 3 * pair[0].merges.lookahead
+        n += len(encoder.feed("ab"[i % 2]))
+        most = max(most, len(encoder.text))
+    assert most <= 3 * pair[0].merges.lookahead and n > 500
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1024])
+def test_transducer_agrees_with_plain_merging(pair, monkeypatch, piece):
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    own, r = pair[0], random.Random(piece)
+    for k in range(400):
+        word = "".join(r.choices("etaoinshrdlu" if k % 2 else "abn", k=r.randint(1, 12 if k % 4 else 200)))
+        symbols = [*word[:-1], word[-1] + own.merges.suffix]
+        assert [own.merges.text_of[i] for i in own.word(word)] == own.merges.merge(symbols)
+
+
+def test_bpe_streams_texts_in_segments(pair, monkeypatch):
+    own, text = pair[0], prose(5, 3000) + "\n<|endoftext|> Été\u0301 naïve\t" + "x" * 700 + " " + prose(6, 50)
+    whole = own.encode(text)
+    monkeypatch.setattr(bpe.segments, "__defaults__", (100,))
+    parts = [*own.stream(text)]
+    assert len(parts) > 50 and (np.concatenate(parts) == whole).all()
+    decoder = own.decoder()
+    assert "".join(map(decoder.feed, parts)) == own.decode(whole) == pair[1].decode(whole.tolist(), skip_special_tokens=False)
+    assert "".join(bpe.segments(text)) == text
 
 
 def test_readable_decoding(pair):
