@@ -166,6 +166,66 @@ def test_hosts_vote(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def extracted(spark, pages):
+    rows = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in rows}
+
+
+@pytest.mark.parametrize(
+    "side",
+    ['<div id="sidebar"><p>Side %d</p></div>', '<div role="complementary"><p>Side %d</p></div>', '<div style="display: none"><p>Side %d</p></div>',
+     '<div hidden><p>Side %d</p></div>', '<div aria-hidden=true><p>Side %d</p></div>', '<div class="page-footer"><div><p>Side %d</p></div></div>',
+     '<footer><div><p>Side %d</p></div></footer>', '<div class="comments-list"><div><p>Side %d</p></div></div>'],
+)
+def test_boilerplate_beside_the_winning_path_stays_out(spark, side):
+    pages = [(i, "https://h.example/", f'<body><div><p>{prose(i, 60)}</p><div class="ads"><p>Buy</p></div></div>{side % i}</body>') for i in range(6)]
+    assert extracted(spark, pages) == {i: prose(i, 60) for i in range(6)}
+
+
+def test_parts_with_other_ids_are_not_on_the_path(spark):
+    page = '<body><div id="links%d"><p>%s</p></div><div id="content%d"><p>%s</p></div></body>'
+    pages = [(i, "https://h.example/", page % (i, "" if i else prose(99, 20), i, prose(i, 60))) for i in range(6)]
+    assert extracted(spark, pages) == {i: prose(i, 60) for i in range(6)}
+
+
+def test_every_template_of_a_host_keeps_its_path(spark):
+    """Seven templates without article tags; in each, one page has a long notice of a path of its own."""
+    pages, texts = [], {}
+    for t in range(7):
+        for k in range(4):
+            i, texts[10 * t + k] = 10 * t + k, prose(10 * t + k, 40)
+            note = f"<section>{prose(500 + t, 60)}</section>" if k == 3 else ""
+            pages.append((i, "https://h.example/", f'<body>{note}<div class="t{"abcdefg"[t]}"><p>{texts[i]}</p></div></body>'))
+    assert extracted(spark, pages) == texts
+
+
+def test_a_path_needs_two_votes_and_its_share(spark):
+    cast = [("h", "a", 9)] * 60 + [("h", "b", 9)] * 2 + [("h", "c", 50)] + [("k", "a", 9), ("k", "b", 8), ("k", "b", 8)]
+    won = html.winners(spark.createDataFrame(cast, "_host string, _path string, _size long")).collect()
+    assert {r["_host"]: r["_paths"] for r in won} == {"h": ["a", "b"], "k": ["b"]}
+
+
+def test_inner_paths_and_several_articles(spark):
+    plain = [(i, "https://h.example/", f"<body><p>{prose(i, 50)}</p></body>") for i in range(6)]
+    inner = [(i, "https://h.example/", f"<body><p>Ours</p><article><p>{prose(i, 50)}</p></article></body>") for i in range(6, 9)]
+    quoting = [(9, "https://h.example/", f"<body><p>{prose(9, 50)}</p><article><p>Quote</p></article></body>")]
+    posts = [(10, "https://h.example/", "<body><main><article>One</article><article>Two</article></main></body>")]
+    assert extracted(spark, plain + inner + quoting + posts) == {i: prose(i, 50) for i in range(9)} | {9: prose(9, 50) + " Quote", 10: "One Two"}
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a ", "<b>", "<script ", "<a b=", "<a b='>", '<a href="x ', "<!", "</", "<b></i>", "<p>x"])
+def test_time_grows_with_the_page(part):
+    import time
+
+    times = []
+    for n in (4_000, 16_000):
+        start = time.perf_counter()
+        page = html.Page(part * n + ">")
+        page.extract([page.path(page.container()[0])])
+        times.append(time.perf_counter() - start)
+    assert times[1] < 0.3 + 8 * times[0]
+
+
 def test_host_names(spark):
     urls = ["https://User@WWW.Example.com:80/x?y", "//a.b/c", "nothing", None, "ftp://z"]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select(html.host("u")).collect()
