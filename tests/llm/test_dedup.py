@@ -220,6 +220,38 @@ def test_minhash_links_are_of_exact_similarity(spark, block):
     assert sum(got[2 * k] == got[2 * k + 1] for k in range(40)) == 20
 
 
+def test_minhash_links_against_all_pairs(spark):
+    """Of the links of the documents whose id is divisible by 20 with all others, none is lost."""
+    sf = "/root/testdata/sf0.01"
+    sets = {i: {*zip(*[t.split()[k:] for k in range(5)])} or {(*t.split(),)} for i, t in texts_of(spark, sf).items()}
+    rows = minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    linked = [(i, j) for i in sets if i % 20 == 0 for j in sets if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(got) == len(sets) and linked and all(got[i] == got[j] for i, j in linked)
+    near = {frozenset(p) for p in linked}
+    groups = {}
+    for i, c in got.items():
+        groups.setdefault(c, []).append(i)
+    pairs = {frozenset((i, j)) for own in groups.values() if len(own) == 2 and any(i % 20 == 0 for i in own) for i, j in [own]}
+    assert pairs <= near
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), ("c", "other words here"), (None, None)], "doc_id string, text string")
+    for found in (simhash.near_duplicates(docs), minhash.near_duplicates(docs)):
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {"a": "a", "b": "a", "c": "c", None: None}
+    assert as_rows(minhash.compare_next(docs).select("doc_id", "n_chars")) == [("a", 5), ("b", 5), ("c", 16), (None, 0)]
+    assert sorted(r["n_removed"] for r in suffixes.deduplicate(docs).collect()) == [0, 0, 0, 0]
+    assert sorted(simhash.one_of_each(docs).columns) == ["doc_id", "text"]
+
+
+def test_rows_without_ids_are_compared_in_many_partitions(spark):
+    texts = [prose(i, 60) for i in range(50)]
+    docs = docs_of(spark, texts, [None] * 50)
+    got = minhash.compare_next(docs, n_parts=8)
+    assert as_rows(got.select("doc_id", "n_chars", "edited_sha256")) == brute_next((None, t) for t in texts)
+
+
 def test_minhash_blocks_of_a_crowded_band(spark):
     base = prose(1, 300)
     texts = [f"{base} tail{i}" for i in range(30)] + [prose(9, 300)]

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Words are maximal runs of anything but space, tab, \n, \v, \f and \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -29,9 +30,12 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, else (in tests only) a new local one."""
+    """The folder all machines share: spark.checkpoint.dir. Where the master is local, as in tests, and it
+    is not set, a new local one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="zonewright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -77,14 +81,19 @@ def repeats_ids(ids: DataFrame, id_col: str) -> bool:
     return ids.groupBy(F.col(id_col)).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).limit(1).count() > 0
 
 
+def own_keys(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids can be keys: whole numbers, of which none is null or occurs twice."""
+    return isinstance(docs.schema[id_col].dataType, IntegralType) and not repeats_ids(docs, f"`{id_col}`")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str, key: str = "_key", keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' id and text as _id and _text, and the columns in keep, with a unique long key in the
     order of (id, nulls last, text).
 
-    The id is its own key where ids are unique and not null; else the rows are range-sorted once and
-    numbered as they are written."""
+    The id is its own key where it can be; else the rows are range-sorted once and numbered as they
+    are written."""
     picked = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
-    if not repeats_ids(picked, "_id"):
+    if own_keys(picked, "_id"):
         return picked.withColumn(key, F.col("_id").cast("long"))
     ordered = picked.orderBy(F.col("_id").asc_nulls_last(), F.col("_text").asc_nulls_first())
     return materialize(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import materialize
+from zonewright.llm.common import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,7 +14,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round hangs each node's larger neighbours on its smallest one (large star), and then all
     smaller neighbours on the smallest (small star); the links' number never grows, and after a
     number of rounds that is logarithmic in practice each component is a star. Each round is written
-    to the shared folder, so neither lineage nor recomputation grows."""
+    to the shared folder, so neither lineage nor recomputation grows, and the one before it is deleted."""
     edges = materialize(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links"
     )
@@ -29,6 +29,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, materialize(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import RollingHash, flat, materialize, mix64, slices, table, word_spans
+from zonewright.llm.common import RollingHash, flat, keyed, materialize, mix64, own_keys, slices, table, word_spans
 from zonewright.llm.components import components
 
 SHINGLE, PERMUTATIONS, SEED = 5, 128, 20240
@@ -82,13 +82,13 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for part in slices(batch, "_text", BLOCK):
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(to_hex(signatures(part.column("_text"))))], names=["_id", "fingerprint"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return picked.mapInArrow(run, "_id long, fingerprint string")
+    picked = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    return picked.mapInArrow(run, f"_id {picked.schema['_id'].dataType.simpleString()}, fingerprint string")
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, fingerprint, _set (its shingles' 64-bit hashes in order, each once) and _entry, a hash of
-    the set, for each row of docs. Nothing is shuffled."""
+def shingle_sets(docs: DataFrame, text_col: str = "_text", keep: tuple[str, ...] = ("_id", "_key")) -> DataFrame:
+    """The columns in keep, fingerprint, _set (the shingles' 64-bit hashes in order, each once) and _entry, a
+    hash of the set, for each row of docs. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,11 +97,12 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 hashes, at = shingle_hashes(texts)
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 entries = pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets], pa.int64())
-                columns = [part.column("_id"), pa.array(to_hex(signatures(texts))), pa.array(sets, pa.binary()), entries]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "fingerprint", "_set", "_entry"])
+                columns = [*[part.column(c) for c in keep], pa.array(to_hex(signatures(texts))), pa.array(sets, pa.binary()), entries]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "fingerprint", "_set", "_entry"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return picked.mapInArrow(run, "_id long, fingerprint string, _set binary, _entry long")
+    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
+    kinds = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep)
+    return picked.mapInArrow(run, f"{kinds}, fingerprint string, _set binary, _entry long")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -134,70 +135,77 @@ def forest(entries: np.ndarray, signed: np.ndarray, sets: list[np.ndarray], simi
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = 1024
 ) -> DataFrame:
-    """A row for each row of docs: id, fingerprint and component_id, the smallest id that links lead to.
+    """A row for each row of docs: id, fingerprint and component_id, the smallest id that links lead to
+    (null only if there is no other). Null texts and texts without words are alike, and unlike all others;
+    rows that repeat an id are linked by their texts; an empty table gives an empty table.
 
     Equal shingle sets are one entry. Entries that share a band are compared, and a link is one whose
     shingle sets (as 64-bit hashes) have a Jaccard similarity of at least `similarity`. The members of
     a band are dealt to blocks of bounded size, every two blocks meet in one task, and that returns a
     spanning forest of their links: no task holds an unbounded band, and none emits all its pairs."""
     width = 4 * PERMUTATIONS // BANDS
-    rows = materialize(shingle_sets(docs, id_col, text_col), "minhash")
-    entries = rows.groupBy("_entry").agg(F.min("_id").alias("_least"), F.first("fingerprint").alias("fingerprint"), F.first("_set").alias("_set"))
+    keys = keyed(docs, id_col, text_col)
+    rows = materialize(shingle_sets(keys), "minhash")
+    # an entry is known by the smallest key of its rows, so a component's root is its smallest key
+    entries = rows.groupBy("_entry").agg(F.min("_key").alias("_least"), F.first("fingerprint").alias("fingerprint"), F.first("_set").alias("_set"))
     numbered = materialize(entries, "minhash-entries")
     bands = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", 1 + i * width, width)) for i in range(BANDS)])
-    members = numbered.select(F.explode(bands).alias("_band"), "_entry", F.octet_length("_set").alias("_size"))
+    members = numbered.select(F.explode(bands).alias("_band"), "_least", F.octet_length("_set").alias("_size"))
     shared = members.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_size")).filter("_n > 1")
     blocks = F.ceil(F.greatest(F.col("_n") / block, F.col("_size") / SET_BYTES)).cast("int")
     shared = shared.select("_band", blocks.alias("_n"))
-    mine = F.pmod(F.col("_entry"), F.col("_n")).cast("int")
+    mine = F.pmod(F.xxhash64("_least"), F.col("_n")).cast("int")
     dealt = (
         members.drop("_size").join(shared, "_band")
         .withColumn("_mine", mine)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .select("_band", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_entry")
-        .join(numbered.select("_entry", "fingerprint", "_set"), "_entry")
+        .select("_band", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_least")
+        .join(numbered.select("_least", "fingerprint", "_set"), "_least")
     )
 
     def within(group: pd.DataFrame) -> pd.DataFrame:
         signed = np.frombuffer(bytes.fromhex("".join(group["fingerprint"])), ">u2").reshape(len(group), PERMUTATIONS)
-        a, b = forest(group["_entry"].to_numpy(), signed, [np.frombuffer(x, np.uint64) for x in group["_set"]], similarity)
+        a, b = forest(group["_least"].to_numpy(), signed, [np.frombuffer(x, np.uint64) for x in group["_set"]], similarity)
         return pd.DataFrame({"a": a, "b": b})
 
     found = dealt.groupBy("_band", "_i", "_j").applyInPandas(within, "a long, b long")
-    roots = components(found).withColumnRenamed("node", "_entry")
-    rooted = numbered.select("_entry", "_least").join(roots, "_entry", "left").withColumn("_root", F.coalesce("root", "_entry"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    labels = rooted.join(least, "_root").select("_entry", "component_id")
-    return rows.select("_id", "fingerprint", "_entry").join(labels, "_entry").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+    roots = components(found).select(F.col("node").alias("_least"), "root")
+    labels = numbered.select("_entry", "_least").join(roots, "_least", "left").select("_entry", F.coalesce("root", "_least").alias("_root"))
+    if hasattr(keys, "shared_path"):  # keys are not the ids
+        named = rows.select(F.col("_key").alias("_root"), F.col("_id").alias("component_id"))
+        labels = labels.join(named, "_root").select("_entry", "component_id")
+    else:
+        labels = labels.withColumnRenamed("_root", "component_id")
+    kind = rows.schema["_id"].dataType
+    return rows.select("_id", "fingerprint", "_entry").join(labels, "_entry").select(F.col("_id").alias(id_col), "fingerprint", F.col("component_id").cast(kind).alias("component_id"))
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str, n_parts: int) -> DataFrame:
-    """All rows in partitions by descending id (null last), sorted; each partition ends with copies
-    (_extra true) of the rows that start the next one, and the last with those that start the first.
+def in_order(rows: DataFrame, n_parts: int) -> DataFrame:
+    """All rows (_order unique) in partitions by descending _order, sorted; each partition ends with a
+    copy (_extra true) of the row that starts the next one, and the last with that which starts the first.
 
-    Partitions are cut at ids from the data's own quantiles, so one shuffle deals the texts and the
+    Partitions are cut at values from the data's own quantiles, so one shuffle deals the texts and the
     copies, and no window runs over the whole table."""
-    lowest = -(1 << 63)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_order", F.coalesce("_id", F.lit(lowest)))
     steps = [i / n_parts for i in range(1, n_parts)]
-    ids = rows.select("_order")
-    found = ids.agg(F.min("_order"), F.max("_order"), F.percentile_approx("_order", steps, 100 * n_parts) if steps else F.array()).first()
+    found = rows.agg(F.max("_order"), F.percentile_approx("_order", steps, 100 * n_parts) if steps else F.array()).first()
     if found[0] is None:
-        return rows.withColumn("_part", F.lit(0)).withColumn("_extra", F.lit(False))
-    cuts, top = sorted(set(found[2] or ()) - {found[1]}, reverse=True), found[1]
-    # part k holds the ids from cut k - 1 (its first row) down to above cut k
-    if cuts:
-        below = F.array(*map(F.lit, cuts))
-        part = F.size(F.filter(below, lambda c: c >= F.col("_order")))
-        starts = F.array_contains(below, F.col("_order"))
-    else:
-        part, starts = F.lit(0), F.lit(False)
-    copies = F.when(starts, F.array(F.struct(part.alias("p"), F.lit(False).alias("x")), F.struct((part - 1).alias("p"), F.lit(True).alias("x"))))
-    copies = copies.when(F.col("_order") == top, F.array(F.struct(part.alias("p"), F.lit(False).alias("x")), F.struct(F.lit(len(cuts)).alias("p"), F.lit(True).alias("x"))))
-    copies = copies.otherwise(F.array(F.struct(part.alias("p"), F.lit(False).alias("x"))))
-    dealt = rows.withColumn("_at", F.explode(copies)).select("_id", "_text", "_order", F.col("_at.p").alias("_part"), F.col("_at.x").alias("_extra"))
-    spread = dealt.repartition(n_parts, "_part")
-    return spread.sortWithinPartitions("_part", "_extra", F.desc("_order"), F.asc_nulls_first("_text"))
+        return rows.withColumn("_extra", F.lit(False))
+    top = found[0]
+    cuts = np.array(sorted(set(found[1] or ()) - {top}), np.int64)
+
+    # part k holds the rows from cut k - 1, which starts it, down to above cut k; cuts fall
+    @F.pandas_udf("array<struct<part:int,extra:boolean>>")
+    def places(order: pd.Series) -> pd.Series:
+        at = np.searchsorted(cuts, order.to_numpy(), side="left")
+        starts = np.isin(order.to_numpy(), cuts)
+        own = len(cuts) - at
+        return pd.Series([
+            [(k, False), *([(k - 1, True)] if s else []), *([(len(cuts), True)] if o == top else [])]
+            for k, s, o in zip(own.tolist(), starts.tolist(), order.tolist(), strict=True)
+        ])
+
+    dealt = rows.withColumn("_at", F.explode(places("_order"))).select("_id", "_text", "_order", F.col("_at.part").alias("_part"), F.col("_at.extra").alias("_extra"))
+    return dealt.repartitionById(len(cuts) + 1, "_part").sortWithinPartitions("_extra", F.desc("_order"))
 
 
 def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_parts: int | None = None) -> DataFrame:
@@ -205,11 +213,21 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last third replaced by as many of the first characters (or all) of the
     next document by descending id; after the last comes the first. A null text is empty. Rows that
-    repeat an id follow each other by text. A single row is its own next. An empty table gives an
-    empty table."""
-    n_parts = n_parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = in_order(docs, id_col, text_col, n_parts)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    repeat an id follow each other by text, null ids come last; for these the table is range-sorted
+    once. A single row is its own next. An empty table gives an empty table; other columns are not
+    read. n_parts: partitions by id, at least as many as the table is read in."""
+    spark = docs.sparkSession
+    picked = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    if own_keys(picked, "_id"):
+        rows = picked.withColumn("_order", F.col("_id").cast("long"))
+    else:
+        ordered = picked.orderBy(F.col("_id").desc_nulls_last(), F.col("_text").asc_nulls_first())
+        rows = materialize(ordered.withColumn("_order", -F.monotonically_increasing_id()), "minhash-keyed")
+    read_in = picked._jdf.queryExecution().toRdd().getNumPartitions()
+    n_parts = n_parts or max(read_in, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = in_order(rows, n_parts)
+    kind = picked.schema["_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def judged(ids, texts, nexts) -> pa.RecordBatch:
         edited = []
@@ -223,25 +241,21 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns[1:])], names=[x.split()[0] for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []  # rows (id, text) of one part whose next is not there yet
-        part, size, ended = None, 0, False
+        waiting: list[tuple] = []  # rows (id, text) whose next is not there yet
+        size = 0
         for batch in batches:
-            columns = zip(batch.column("_id"), batch.column("_text"), batch.column("_part"), batch.column("_extra"), strict=True)
-            for i, t, p, extra in columns:
-                i, t, p, extra = i.as_py(), t.as_py() or "", p.as_py(), extra.as_py()
-                if p != part:
-                    waiting, part, size, ended = [], p, 0, False
-                if ended:
-                    continue  # the next part's other rows of the same id
+            columns = zip(batch.column("_id"), batch.column("_text"), batch.column("_extra"), strict=True)
+            for i, t, extra in columns:
+                t, extra = t.as_py() or "", extra.as_py()
                 if waiting and (extra or size >= BLOCK):
                     texts = [x[1] for x in waiting]
-                    yield judged(pa.array([x[0] for x in waiting], pa.int64()), texts, [*texts[1:], t])
-                    waiting, size, ended = [], 0, extra
+                    yield judged(pa.array([x[0].as_py() for x in waiting], i.type), texts, [*texts[1:], t])
+                    waiting, size = [], 0
                 if not extra:
                     waiting.append((i, t))
                     size += len(t)
 
-    return ordered.select("_id", "_text", "_part", "_extra").mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return ordered.select("_id", "_text", "_extra").mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
 
 
 def _signed(texts: list[str]) -> Iterator[np.ndarray]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import materialize, repeats_ids, shield, slices, table, unshield
+from zonewright.llm.common import keyed, materialize, own_keys, shield, slices, table, unshield
 from zonewright.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -48,17 +48,18 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id and _fp for each row of docs; a text without words, or null, has fingerprint 0."""
+def fingerprints(docs: DataFrame, text_col: str = "_text", keep: tuple[str, ...] = ("_id", "_key")) -> DataFrame:
+    """The columns in keep and _fp for each row of docs; a text without words, or null, has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 found = [fingerprint(t.as_py()) for t in part.column("_text")]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(found, pa.int64())], names=["_id", "_fp"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, pa.int64())], names=[*keep, "_fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return picked.mapInArrow(run, "_id long, _fp long")
+    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
+    kinds = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep)
+    return picked.mapInArrow(run, f"{kinds}, _fp long")
 
 
 def plan_for(n: int) -> tuple[tuple[int, int, int], ...]:
@@ -100,9 +101,10 @@ def forest(values: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np
     return np.concatenate([*a, none]).view(np.int64), np.concatenate([*b, none]).view(np.int64)
 
 
-def links(entries: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """Pairs a, b of fingerprints (column _fp, distinct) of at most `distance` differing bits, as many
-    as connect all that are linked."""
+def links(entries: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: int = BLOCK, node: str = "_fp") -> DataFrame:
+    """Pairs a, b of nodes whose fingerprints (column _fp, distinct) have at most `distance` differing
+    bits, as many as connect all that are linked. node: a column of entries that is unique."""
+    entries = entries.select("_fp", F.col(node).alias("_node"))
     plan = plan_for(entries.count())
 
     def bucket(segment: int, first: int, bits: int, masks: list[int]):
@@ -113,15 +115,15 @@ def links(entries: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: i
 
     own = F.concat(*[bucket(i, first, bits, [0]) for i, (first, bits, _) in enumerate(plan)])
     near = F.concat(*[bucket(i, first, bits, ball(bits, r)) for i, (first, bits, r) in enumerate(plan)])
-    tables = entries.select(F.explode(own).alias("_bucket"), "_fp")
-    lookups = entries.select(F.explode(near).alias("_bucket"), "_fp")
+    tables = entries.select(F.explode(own).alias("_bucket"), "_fp", "_node")
+    lookups = entries.select(F.explode(near).alias("_bucket"), "_fp", "_node")
     crowded = materialize(tables.groupBy("_bucket").count().filter(F.col("count") > hot).select("_bucket"), "hot-buckets")
     calm = tables.join(crowded, "_bucket", "left_anti")
     differing = F.bit_count(F.col("x._fp").bitwiseXOR(F.col("y._fp")))
     found = (
         lookups.alias("x")
         .join(calm.alias("y"), (F.col("x._bucket") == F.col("y._bucket")) & (F.col("x._fp") != F.col("y._fp")) & (differing <= distance))
-        .select(F.least("x._fp", "y._fp").alias("a"), F.greatest("x._fp", "y._fp").alias("b"))
+        .select(F.least("x._node", "y._node").alias("a"), F.greatest("x._node", "y._node").alias("b"))
     )
     members = materialize(lookups.join(crowded, "_bucket"), "hot-members")
     blocks = members.groupBy("_bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
@@ -130,12 +132,14 @@ def links(entries: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: i
         members.join(blocks, "_bucket")
         .withColumn("_mine", mine)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        .select("_bucket", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_fp")
+        .select("_bucket", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_fp", "_node")
     )
 
     def within(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(group["_fp"].to_numpy(), distance)
-        return pd.DataFrame({"a": a, "b": b})
+        group = group.sort_values("_fp")
+        values, nodes = group["_fp"].to_numpy(), group["_node"].to_numpy()
+        a, b = forest(values, distance)
+        return pd.DataFrame({"a": nodes[np.searchsorted(values, a)], "b": nodes[np.searchsorted(values, b)]})
 
     return found.unionByName(dealt.groupBy("_bucket", "_i", "_j").applyInPandas(within, "a long, b long"))
 
@@ -145,16 +149,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of all documents that links lead to, itself included.
 
     Documents without words share fingerprint 0 and are linked like any others. Repeated rows are in
-    one component; ids are compared as numbers, and a null id is never a component's id unless it
-    has no other. An empty table gives an empty table."""
-    rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
-    entries = materialize(rows.groupBy("_fp").agg(F.min("_id").alias("_least")), "simhash-entries")
-    roots = components(links(entries.select("_fp"))).withColumnRenamed("node", "_fp")
-    rooted = entries.join(roots, "_fp", "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    labels = rooted.join(least, "_root").select("_fp", "component_id")
+    one component, as their fingerprints are equal; rows that repeat an id with other texts are linked
+    by their texts alone; a null id is never a component's id unless it has no other. An empty table
+    gives an empty table. Every entry's node is its smallest key, so a component's root is its smallest
+    one, and no component, however large, is gathered anywhere."""
+    numbered = keyed(docs, id_col, text_col)
+    rows = materialize(fingerprints(numbered), "simhash")
+    entries = materialize(rows.groupBy("_fp").agg(F.min("_key").alias("_least")), "simhash-entries")
+    roots = components(links(entries, node="_least")).select(F.col("node").alias("_least"), "root")
+    labels = entries.join(roots, "_least", "left").select("_fp", F.coalesce("root", "_least").alias("_root"))
+    if hasattr(numbered, "shared_path"):  # keys are not the ids
+        named = rows.select(F.col("_key").alias("_root"), F.col("_id").alias("component_id"))
+        labels = labels.join(named, "_root").select("_fp", "component_id")
+    else:
+        labels = labels.withColumnRenamed("_root", "component_id")
     return rows.join(labels, "_fp").select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(rows.schema["_id"].dataType).alias("component_id")
     )
 
 
@@ -162,14 +172,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of docs for each group of near-duplicates: the first by id (nulls last), then by text.
 
     Every row has a key of its own, as in common.keyed, and groups are of keys: rows that repeat an
-    id, or have none, are told apart by their texts alone."""
+    id, or have none, are told apart by their texts alone. Rows without words, null texts too, are one
+    group. An empty table gives an empty table; other columns go along."""
     shielded, names = shield(docs, id_col, text_col)
-    key = F.col(f"`{id_col}`").cast("long")
-    if repeats_ids(shielded.select(key.alias("_id")), "_id"):
+    if own_keys(shielded, id_col):
+        rows = shielded.withColumn("__key", F.col(f"`{id_col}`").cast("long"))
+    else:
         ordered = shielded.orderBy(F.col(f"`{id_col}`").asc_nulls_last(), F.col(f"`{text_col}`").asc_nulls_first(), *names.values())
         rows = materialize(ordered.withColumn("__key", F.monotonically_increasing_id()), "simhash-keyed")
-    else:
-        rows = shielded.withColumn("__key", key)
     groups = near_duplicates(rows, "__key", text_col)
     chosen = groups.filter(F.col("__key") == F.col("component_id")).select("__key")
     return unshield(rows.join(chosen, "__key", "left_semi"), names, docs.columns)
