@@ -75,6 +75,20 @@ def test_anchors_split_long_texts_alike():
     assert starts == set(range(len(data) - 99))
 
 
+def test_runs_keep_the_earliest_of_equal_strings():
+    r, runs, rows, gone = random.Random(3), suffixes.Runs(), [], []
+    for _ in range(60):
+        batch = [("%099d" % r.randrange(300) + "\x01", r.randrange(1000), r.randrange(50)) for _ in range(r.randint(1, 40))]
+        rows += batch
+        k, s = runs.add(np.array([x[0].encode() + b"\x01" for x in batch], "S101"), *(np.array([x[i] for x in batch], np.int64) for i in (1, 2)))
+        gone += zip(k.tolist(), s.tolist())
+    first = {}
+    for text, k, s in rows:
+        first[text] = min(first.get(text, (k, s)), (k, s))
+    assert sorted(gone + [*first.values()]) == sorted((k, s) for _, k, s in rows)
+    assert len(runs.runs) < 8 and sum(len(x[0]) for x in runs.runs) == len(first)
+
+
 def test_cut_leaves_whole_characters():
     assert suffixes.without("aéb", [(2, 3)]) == "aéb"
     assert suffixes.without("aéb", [(1, 3)]) == "ab"

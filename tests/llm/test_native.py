@@ -64,10 +64,12 @@ def test_shards_fit_and_only_large_buckets_split(spark):
         assert not shard or sum(n for s, n in leaves.items() if s.startswith(shard[:-1])) > 1000
 
 
-def test_repeated_rows_are_sharded_apart(spark):
-    docs = spark.createDataFrame([(1, "y" * 100)] * 500, "doc_id long, text string")
+@pytest.mark.parametrize("block", [1 << 16, 7, 500])
+def test_repeated_rows_are_sharded_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(sharding, "BLOCK", block)
+    docs = spark.createDataFrame([(1, "y" * 100)] * 500 + [(2, "z"), (None, None)], "doc_id long, text string")
     rows = sharding.assign_shards(docs, limit=1000).collect()
-    assert len(rows) == 500 and not any(r["oversized"] for r in rows) and max(r["shard_bytes"] for r in rows) <= 1000
+    assert len(rows) == 502 and not any(r["oversized"] for r in rows) and max(r["shard_bytes"] for r in rows) <= 1000
 
 
 def test_directory_covers_all_prefixes(spark):

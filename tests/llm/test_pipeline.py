@@ -1,7 +1,7 @@
 """The corpus pipeline, stage by stage."""
 
 import corpus_pipeline
-from tests.llm.helpers import awkward
+from tests.llm.helpers import awkward, empty
 from zonewright.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +28,11 @@ def test_stages_take_awkward_rows(spark):
         docs = materialize(stage(spark, docs, SF), "test")
         assert docs.count() > 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = empty(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), "test")
+        assert docs.columns == empty(spark).columns and docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0

@@ -17,6 +17,8 @@ from zonewright.llm.common import hash60, materialize, table
 
 #: Bytes of text in a shard at most.
 LIMIT = 1 << 20
+#: Copies of a repeated row that one task numbers.
+BLOCK = 1 << 16
 SEED = "shard-7"
 HASH_BITS = 60
 
@@ -42,11 +44,13 @@ def assign_shards(
         F.col(id_col).alias("_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes")
     ).groupBy("_id", "n_bytes").count()
     bits = F.lpad(F.conv(hash60(F.lit(seed), F.col("_id"), F.col("n_bytes"), F.col("_copy")).cast("string"), 10, 2), HASH_BITS, "0")
-    rows = materialize(
-        counted.select("_id", "n_bytes", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("_copy"))
-        .select("_id", "n_bytes", bits.alias("_bits")),
-        "shard-rows",
-    )
+    # a row with very many copies is dealt to tasks in blocks of them
+    whole = counted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / BLOCK))))
+    many, few = (whole.filter(F.col("count") > BLOCK) if x else whole.filter(F.col("count") <= BLOCK) for x in (True, False))
+    blocks = few.unionByName(many.repartition("_id", "n_bytes", "_block"))
+    first = F.col("_block") * BLOCK + 1
+    copies = F.sequence(first, F.least(F.col("count"), first + BLOCK - 1))
+    rows = materialize(blocks.select("_id", "n_bytes", F.explode(copies).alias("_copy")).select("_id", "n_bytes", bits.alias("_bits")), "shard-rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     low, high = 0, min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + spare_bits)
     open_rows, done = rows.filter(F.col("n_bytes") <= limit), []

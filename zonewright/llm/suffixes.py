@@ -8,8 +8,9 @@ strings repeat is found in four steps:
    in the whole corpus can be those of repeated strings; the others' strings are done with.
 2. Shards. The strings of one anchor in one place are a snippet of text, and snippets are dealt to
    shards by anchor: equal strings meet. An anchor with very many snippets is dealt to several shards.
-3. Suffix arrays. Equal snippets of a shard are one text in several places. Over the texts a suffix array (Larsson-Sadakane refinement) and the common prefixes of
-   neighbours (Kasai) give the classes of equal strings; all but a class's first string go.
+3. Suffix arrays. Equal snippets of a shard are one text in several places. Over the texts a suffix
+   array (Larsson-Sadakane refinement) and the common prefixes of neighbours (Kasai) give the classes of
+   equal strings; all but a class's first string go.
 4. Merging. Shards that share an anchor exchange one string for each class. They are sorted, as the
    suffix arrays are, so equal ones are found in each other by binary search, and all but the first go.
 """
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from zonewright.llm.common import RollingHash, discard, flat, keyed, materialize, shield, slices, table, unshield
 
 LENGTH, GRAM = 100, 32
-#: Snippets of an anchor that one shard gets at most, and bytes of a shard's text.
-HOT, SHARD_BYTES = 4096, 1 << 18
+#: Snippets of an anchor that one shard gets about, bytes of a shard's text, and strings that one task of
+#: the merge gets about.
+HOT, SHARD_BYTES, MERGE = 1024, 1 << 18, 1 << 18
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -312,39 +314,50 @@ def repeated(dealt: DataFrame) -> DataFrame:
     return dealt.select("_key", "_from", "_count", "_bytes", "_shards", "_hash", "_part").mapInArrow(run, "_key long, _from int, _to int, _string binary")
 
 
+class Runs:
+    """Strings of all shards so far, each with its earliest key and start, in sorted runs of which every
+    one is at most half as long as the one before: a string moves a logarithm of times."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, text: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take in more strings; returns keys and starts of those that are not the earliest of their kind.
+        They are sorted and looked up in each run by binary search."""
+        order = np.lexsort((start, key, text))
+        text, key, start = text[order], key[order], start[order]
+        later = np.r_[False, text[1:] == text[:-1]]
+        gone = [(key[later], start[later])]
+        text, key, start = text[~later], key[~later], start[~later]
+        for known, keys, starts in self.runs:
+            at = np.minimum(np.searchsorted(known, text), len(known) - 1)
+            equal = known[at] == text
+            place, k, s = at[equal], key[equal], start[equal]
+            newer = (k < keys[place]) | ((k == keys[place]) & (s < starts[place]))
+            # the later of the two goes, the earlier one is kept
+            gone.append((np.where(newer, keys[place], k), np.where(newer, starts[place], s)))
+            keys[place], starts[place] = np.where(newer, k, keys[place]), np.where(newer, s, starts[place])
+            text, key, start = text[~equal], key[~equal], start[~equal]
+        if len(text):
+            self.runs.append((text, key, start))
+        while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
+            one, two = self.runs.pop(), self.runs.pop()
+            slot = np.searchsorted(two[0], one[0])
+            self.runs.append(tuple(np.insert(y, slot, x) for x, y in zip(one, two, strict=True)))
+        return tuple(map(np.concatenate, zip(*gone, strict=True)))
+
+
 def merged(strings: DataFrame) -> DataFrame:
-    """Step 4: _key, _from, _to of the strings that another shard has earlier. The sorted strings of a
-    batch are looked up in those kept before by binary search; of equal ones the earliest is kept."""
+    """Step 4: _key, _from, _to of the strings that another shard has earlier; equal strings lie in one
+    partition, and of them the earliest is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        runs_ = Runs()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            text = _fixed(batch.column("_string"))
-            key = batch.column("_key").to_numpy(zero_copy_only=False)
-            start = batch.column("_from").to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(text, kind="stable")
-            text, key, start = text[order], key[order], start[order]
-            later = later_ones(np.cumsum(np.r_[False, text[1:] != text[:-1]]), key, start)
-            out_key, out_start = [key[later]], [start[later]]
-            text, key, start = text[~later], key[~later], start[~later]
-            if kept is not None:
-                at = np.minimum(np.searchsorted(kept[0], text), len(kept[0]) - 1)
-                equal = kept[0][at] == text
-                newer = (key[equal] < kept[1][at[equal]]) | ((key[equal] == kept[1][at[equal]]) & (start[equal] < kept[2][at[equal]]))
-                places, rows = at[equal], np.flatnonzero(equal)
-                # the later of the two goes, the earlier one is kept
-                out_key += [np.where(newer, kept[1][places], key[rows])]
-                out_start += [np.where(newer, kept[2][places], start[rows])]
-                kept[1][places] = np.where(newer, key[rows], kept[1][places])
-                kept[2][places] = np.where(newer, start[rows], kept[2][places])
-                slot = np.searchsorted(kept[0], text[~equal])
-                kept = tuple(np.insert(x, slot, y[~equal]) for x, y in zip(kept, (text, key, start), strict=True))
-            else:
-                kept = (text, key.copy(), start.copy())
-            k, a, b = runs(np.concatenate(out_key), np.concatenate(out_start))
-            yield _batch("_key _from _to", k, a.astype(np.int32), b.astype(np.int32))
+            if batch.num_rows:
+                keys, starts = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_key", "_from"))
+                k, a, b = runs(*runs_.add(_fixed(batch.column("_string")), keys, starts))
+                yield _batch("_key _from _to", k, a.astype(np.int32), b.astype(np.int32))
 
     return strings.select("_key", "_from", "_string").mapInArrow(run, "_key long, _from int, _to int")
 
@@ -381,7 +394,9 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     first = materialize(repeated(dealt), "repeats")
     discard(marked)
     release(spark)
-    strings = first.filter(F.col("_string").isNotNull()).repartition(n, F.xxhash64("_string"))
+    strings = first.filter(F.col("_string").isNotNull())
+    n_merge = max(n, strings.count() // MERGE + 1)
+    strings = strings.repartition(n_merge, F.xxhash64("_string"))
     return first.filter(F.col("_string").isNull()).drop("_string").unionByName(merged(strings))
 
 
