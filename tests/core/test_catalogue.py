@@ -35,7 +35,7 @@ def test_agrees_with_sql(spark, con, name):
     assert own == other
 
 
-@pytest.mark.parametrize("name", ["kmedoids_fit", "sgb3_labels", "petal2_labels", "swarm_labels", "sequential_route_labels", "dsga_zones", "ward_zones_v2", "ward_zones_v6"])
+@pytest.mark.parametrize("name", ["kmedoids_fit", "sgb3_labels", "petal2_labels", "swarm_labels", "sequential_route_labels", "ward_zones_v7", "ward_zones_v2", "ward_zones_v6"])
 def test_every_client_has_one_label(spark, name):
     rows = catalogue.QUERIES[name](spark, SF).collect()
     ids = [r["client_idx"] for r in rows]

@@ -187,3 +187,18 @@ def test_stream_agrees_with_batches(spark, tmp_path):
     arrivals.assign_stream(stream, labelled, rule, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r["client_idx"]: r["label"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r["client_idx"]: r["label"] for r in rule(new, labelled).collect()} and got
+
+
+def test_nearest_ward_of_far_points_and_of_none(spark):
+    points = spark.createDataFrame([(1, 16.05, 900.0), (2, None, 95.0), (3, -70.0, 95.01), (4, 16.04, 96.1)], "client_idx long, lat double, lon double")
+    near = {r["client_idx"]: r for r in spatial.nearest_ward(points, geography.wards(spark), geography.CELL).collect()}
+    assert set(near) == {1, 3, 4} and near[1]["pcode"] == "W009" and near[3]["pcode"] == "W000" and near[4]["pcode"] == "W009"
+    assert near[1]["distance_to_ward"] == pytest.approx(900 - 95.95)
+    none = spatial.nearest_ward(points, geography.wards(spark).limit(0), geography.CELL).collect()
+    assert len(none) == 4 and all(r["pcode"] is None for r in none)
+
+
+def test_ancestors_of_a_deep_tree(spark):
+    tree = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(300)], "node string, parent string")
+    rows = graph.ancestors(tree)
+    assert rows.count() == 300 * 301 // 2 and rows.filter("node = '299' and ancestor = '0'").first()["distance"] == 299

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonewright.plans.session import checkpointed
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     others = [c for c in edges.columns if c not in ("src", "dst")]
@@ -32,17 +34,15 @@ def client_graph(edges: DataFrame, occupied: DataFrame, allowance: int, keys: tu
     return undirected(every).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = (), rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, node and component, the smallest node that edges lead to.
 
     Labels spread along edges and jump to their label's label, so long paths take few rounds; each
-    round is checkpointed."""
-    from zonewright.plans.session import checkpointed
-
+    round is checkpointed, and they go on until no label changes."""
     own = list(keys)
     edges = checkpointed(edges.select(*own, "src", "dst"))
     state = checkpointed(nodes.select(*own, F.col("node"), F.col("node").alias("component")))
-    for _ in range(rounds):
+    while True:
         spread = edges.join(state.select(*own, F.col("node").alias("dst"), F.col("component").alias("_c")), [*own, "dst"])
         low = spread.groupBy(*own, F.col("src").alias("node")).agg(F.min("_c").alias("_low"))
         hooked = state.join(low, [*own, "node"], "left").withColumn("_new", F.least("component", F.coalesce("_low", "component")))
@@ -88,21 +88,19 @@ def degree_stats(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ())
     )
 
 
-def ancestors(tree: DataFrame, depth: int = 100) -> DataFrame:
+def ancestors(tree: DataFrame) -> DataFrame:
     """node, ancestor and distance for every node of a tree (node, parent), itself included. Paths
-    double each round: as many joins as the depth's logarithm."""
-    from zonewright.plans.session import checkpointed
-
+    double each round, until none is new: as many joins as the depth's logarithm."""
     step = checkpointed(tree.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    reach, size = step, 1
-    while size < depth:
+    reach = step
+    while True:
         far = step.select(F.col("node").alias("_mid"), F.col("ancestor").alias("_far"), F.col("distance").alias("_d"))
         longer = reach.join(far, reach["ancestor"] == far["_mid"]).select("node", F.col("_far").alias("ancestor"), (F.col("distance") + F.col("_d")).alias("distance"))
         fresh = checkpointed(longer.join(reach.select("node", "ancestor"), ["node", "ancestor"], "left_anti").distinct())
         if fresh.isEmpty():
             break
         reach = checkpointed(reach.unionByName(fresh))
-        step, size = reach, size * 2
+        step = reach
     return reach.unionByName(tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
 
 

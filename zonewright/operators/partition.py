@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from zonewright.operators import kernels
 
 
+#: Sets of parameters that one call solves at most.
+MAX_PARAMS = 10_000
+
+
 class Territory:
     """One territory's clients in the order of their ids."""
 
@@ -33,7 +37,9 @@ def solve(clients: DataFrame, method: Callable[..., np.ndarray], params: DataFra
     names = [] if params is None else params.columns
     rows = clients.select(*keys, "client_idx", "lat", "lon", "office_km")
     if params is not None:
-        rows = rows.join(F.broadcast(params.limit(10_000)))  # a set of parameters, of bounded size
+        if params.count() > MAX_PARAMS:
+            raise ValueError(f"more than {MAX_PARAMS} sets of parameters at once")
+        rows = rows.join(F.broadcast(params))  # of the size just checked
     run = partial(method, **options)
     schema = rows.select(*keys, *names, "client_idx").schema.simpleString()[7:-1].replace(":", " ") + ", label int"
 

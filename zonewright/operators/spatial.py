@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonewright.functions import geo
-from zonewright.schema import DEGREE_KM
+from zonewright.plans.session import checkpointed
+from zonewright.schema import DEGREE_KM, WARD_FACTOR
 
 
 def _cells(lo, hi, cell: float):
@@ -30,28 +31,32 @@ def map_clients(clients: DataFrame, wards: DataFrame, cell: float = 0.1, keys: t
     return clients.join(first, list(keys), "left").select(*clients.columns, "_w.pcode", "_w.township")
 
 
-def nearest_ward(points: DataFrame, wards: DataFrame, cell: float = 0.1, keys: tuple[str, ...] = ("client_idx",), limit: int = 1 << 12) -> DataFrame:
+def nearest_ward(points: DataFrame, wards: DataFrame, cell: float = 0.1, keys: tuple[str, ...] = ("client_idx",)) -> DataFrame:
     """The ward nearest to each point and its distance in degrees; of equally near ones the first.
 
     Looks through ever wider squares of cells: a ward found within the square's radius is final, as
-    no ward outside it is nearer. Past `limit` cells a point has no ward."""
-    areas = ward_cells(wards, cell).select("_cx", "_cy", "ord", "pcode", "rings")
-    rest, found, radius = points.select(*keys, "lon", "lat"), None, 1
-    while radius <= limit:
-        steps = F.sequence(F.lit(-radius), F.lit(radius))
+    no ward outside it is nearer. Each round makes the cells twice as wide instead of taking more of
+    them, so a point looks at nine cells a round, however far it is; ever fewer points go on. A point
+    without a place has no ward."""
+    boxed = wards.withColumn("_box", geo.rings_bounds(F.col("rings"))).select("ord", "pcode", "rings", "_box")
+    rest, found, width = points.select(*keys, "lon", "lat").filter(F.abs("lon") + F.abs("lat") < 1e6), None, cell
+    ends = boxed.agg(F.min("_box.x0"), F.min("_box.y0"), F.max("_box.x1"), F.max("_box.y1")).first()
+    while ends[0] is not None:
+        areas = boxed.withColumn("_cx", F.explode(_cells(F.col("_box.x0"), F.col("_box.x1"), width))).withColumn("_cy", F.explode(_cells(F.col("_box.y0"), F.col("_box.y1"), width)))
+        steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
         looks = (
             rest.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-            .withColumn("_cx", F.floor(F.col("lon") / cell) + F.col("_dx")).withColumn("_cy", F.floor(F.col("lat") / cell) + F.col("_dy"))
+            .withColumn("_cx", F.floor(F.col("lon") / width) + F.col("_dx")).withColumn("_cy", F.floor(F.col("lat") / width) + F.col("_dy"))
         )
         near = looks.join(areas, ["_cx", "_cy"]).withColumn("distance", geo.rings_distance(F.col("rings"), F.col("lon"), F.col("lat")))
         best = near.groupBy(*keys).agg(F.min(F.struct("distance", "ord", "pcode")).alias("_w"))
-        done = best.filter(F.col("_w.distance") <= radius * cell).select(*keys, "_w.pcode", F.col("_w.distance").alias("distance_to_ward"))
+        done = checkpointed(best.filter(F.col("_w.distance") <= width).select(*keys, "_w.pcode", F.col("_w.distance").alias("distance_to_ward")))
         found = done if found is None else found.unionByName(done)
-        rest = rest.join(done, list(keys), "left_anti")
+        rest = checkpointed(rest.join(done, list(keys), "left_anti"))
         if rest.isEmpty():
-            break
-        radius *= 2
-    return found
+            return found
+        width *= 2
+    return points.select(*keys, F.lit(None).cast("string").alias("pcode"), F.lit(None).cast("double").alias("distance_to_ward"))
 
 
 def fix_unmapped(mapped: DataFrame, wards: DataFrame, cell: float = 0.1, keys: tuple[str, ...] = ("client_idx",)) -> DataFrame:
@@ -99,20 +104,22 @@ def centroids(wards: DataFrame) -> DataFrame:
     return wards.select("pcode", x.alias("x"), y.alias("y"))
 
 
-def adjacency(wards: DataFrame, ward_roads: DataFrame) -> DataFrame:
-    """Both directions of every border, with road and straight distance, detour ratio and score.
-
-    ward_roads: src, dst, road_km for wards that both have clients; others are measured between
-    centroids, times WARD_FACTOR."""
-    from zonewright.schema import WARD_FACTOR
-
+def straight_borders(wards: DataFrame) -> DataFrame:
+    """Both directions of every border, with its length and the distance between the centroids."""
     c = centroids(wards)
     a, b = c.toDF("src", "ax", "ay"), c.toDF("dst", "bx", "by")
     one_way = borders(wards).join(a, "src").join(b, "dst").withColumn("straight_distance", geo.haversine(F.col("ay"), F.col("ax"), F.col("by"), F.col("bx")))
-    both = one_way.select("src", "dst", "border_length_km", "straight_distance").unionByName(
+    return one_way.select("src", "dst", "border_length_km", "straight_distance").unionByName(
         one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "border_length_km", "straight_distance")
     )
-    roads = both.join(ward_roads, ["src", "dst"], "left").withColumn("road_distance", F.coalesce("road_km", F.col("straight_distance") * WARD_FACTOR))
+
+
+def adjacency(wards: DataFrame, ward_roads: DataFrame) -> DataFrame:
+    """Both directions of every border, with road and straight distance, detour ratio and score.
+
+    ward_roads: src, dst, road_km for wards that both have clients; others are measured between
+    centroids, times WARD_FACTOR."""
+    roads = straight_borders(wards).join(ward_roads, ["src", "dst"], "left").withColumn("road_distance", F.coalesce("road_km", F.col("straight_distance") * WARD_FACTOR))
     return roads.select(
         "src", "dst", "border_length_km", "road_distance", "straight_distance",
         geo.detour_ratio(F.col("road_distance"), F.col("straight_distance")).alias("detour_ratio"),

@@ -737,12 +737,60 @@ def search_restarts(spark, d):
     return inner.select(F.split("branch", "/")[0].cast("int").alias("branch"), F.split("branch", "/")[1].cast("int").alias("seed"), r6("avg_inner"))
 
 
+def _scored_edges(spark):
+    """The areas' graph with what scores and nearest areas need."""
+    places = spatial.centroids(geog.wards(spark)).select(F.col("pcode").alias("src"), F.col("x").alias("lon"), F.col("y").alias("lat"))
+    return checkpointed(
+        spatial.straight_borders(geog.wards(spark)).select("src", "dst", "border_length_km", F.col("straight_distance").alias("straight_km")).join(places, "src")
+    )
+
+
+def _offices(spark, d):
+    """The area of each branch's office."""
+    office = geog.read(spark, d, "nation").select(F.col("n_nationkey").alias("client_idx"), F.col("n_nationkey").alias("branch"), F.lit(OFFICE[0]).alias("lat"), F.lit(OFFICE[1]).alias("lon"))
+    return spatial.fix_unmapped(spatial.map_clients(office, geog.wards(spark), geog.CELL), geog.wards(spark), geog.CELL).select("branch", F.col("pcode").alias("office_pcode"), "was_unmapped")
+
+
+@query("wards", """SELECT n_nationkey AS branch, pcode AS office_pcode, false AS was_unmapped FROM nation, wards
+WHERE 95.5::DOUBLE >= x0 AND 95.5::DOUBLE < x1 AND 16.5::DOUBLE >= y0 AND 16.5::DOUBLE < y1""")
+def office_ward(spark, d):
+    return _offices(spark, d)
+
+
 def _zones(variant):
     def run(spark, d):
-        return zones.zones(_mapped(spark, d), _edges(spark), 6, variant=variant)
+        return zones.zones(_mapped(spark, d), _scored_edges(spark), 6, variant, _offices(spark, d))
 
     return run
 
 
 QUERIES |= {f"ward_zones_{v}": _zones(v) for v in zones.VARIANTS}
-QUERIES["dsga_zones"] = lambda spark, d: zones.zones(_mapped(spark, d), _edges(spark), 6)
+
+
+@query("clients", """SELECT v AS variant, branch, count(*) AS n_clients, true AS all_zoned, true AS areas_whole, true AS contiguous, true AS seeds_apart
+FROM clients, (VALUES ('v1'), ('v2'), ('v3'), ('v4'), ('v5'), ('v6'), ('v7')) t(v) GROUP BY 1, 2""")
+def zone_checks(spark, d):
+    """What must hold for the zones of every variant: no client dropped, no area split, zones of v4 to v7
+    connected over at most one empty area, and seeds in zones of their own
+    (while nothing has been moved: v1, v2)."""
+    mapped, edges, offices = checkpointed(_mapped(spark, d)), _scored_edges(spark), checkpointed(_offices(spark, d))
+    held = mapped.filter(F.col("pcode").isNotNull()).select("branch", "pcode").distinct()
+    near = checkpointed(graph.client_graph(edges.select("src", "dst"), held, 1, ("branch",)))
+    found = None
+    for v in zones.VARIANTS:
+        own = zones.zones(mapped, edges, 6, v, offices).select(F.lit(v).alias("variant"), "*")
+        found = own if found is None else found.unionByName(own)
+    found = checkpointed(found)
+    key = ["variant", "branch"]
+    areas = found.filter(F.col("pcode").isNotNull()).groupBy(*key, "pcode").agg(F.min("zone").alias("zone"), F.countDistinct("zone").alias("_n"), F.max("is_seed").alias("_seed"))
+    areas = checkpointed(areas)
+    linked = near.join(areas.select(*key, F.col("pcode").alias("src"), "zone"), ["branch", "src"]).join(areas.select(*key, F.col("pcode").alias("dst"), "zone"), [*key, "dst", "zone"])
+    parts = graph.components(areas.select(*key, F.col("pcode").alias("node")), linked.select(*key, "src", "dst"), tuple(key))
+    split = areas.join(parts.withColumnRenamed("node", "pcode"), [*key, "pcode"]).groupBy(*key, "zone").agg(F.countDistinct("component").alias("_parts"), F.sum(F.col("_seed").cast("int")).alias("_seeds"))
+    whole = split.groupBy(*key).agg(
+        (F.max(F.when(F.col("variant") >= "v4", F.col("_parts")).otherwise(1)) == 1).alias("contiguous"),
+        (F.max(F.when(F.col("variant") <= "v2", F.col("_seeds")).otherwise(1)) <= 1).alias("seeds_apart"),
+    )
+    covered = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n_clients"), (F.min("zone") >= 0).alias("all_zoned"))
+    one = areas.groupBy(*key).agg((F.max("_n") == 1).alias("areas_whole"))
+    return covered.join(one, key).join(whole, key).select(*key, "n_clients", "all_zoned", "areas_whole", "contiguous", "seeds_apart")

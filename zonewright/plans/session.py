@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in the cluster's folder for them if it names
-    one (spark.checkpoint.dir), else in a new local one, as in tests."""
+    """df with its lineage cut by a reliable checkpoint, in the cluster's folder for them
+    (spark.checkpoint.dir). Where the master is local, as in tests, and none is named, in a new local
+    one; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="zonewright-"))
     return df.checkpoint()
