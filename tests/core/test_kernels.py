@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from zonewright.functions import scalar
-from zonewright.operators import kernels, partition, zones
+from zonewright.operators import kernels, partition, search, zones
 
 OFFICE = (16.5, 95.5)
 
@@ -129,8 +129,9 @@ METHODS = [
     (partition.kmedoids, {"k": 5}), (partition.kmedoids, {"k": 5, "seed": 3}), (partition.constrained_kmedoids, {"k": 5}), (partition.grown, {"k": 5}),
     (partition.refined, {"k": 5, "rounds": 5}), (partition.shaved, {"k": 5}), (partition.untangled, {"k": 5}), (partition.petals, {"k": 5, "office": OFFICE}),
     (partition.petals, {"k": 5, "office": OFFICE, "cuts": "gaps"}), (partition.hierarchical, {"k": 5}), (partition.sequential_routes, {"k": 5}),
-    (partition.search, {"k": 5, "rounds": 40}), (partition.swarm, {"k": 5}), (partition.vehicles, {"k": 5}), (partition.density_limited, {}),
+    (lambda t, **o: search.climb(t, **o).labels, {"k": 5, "rounds": 200}), (partition.swarm, {"k": 5}), (partition.vehicles, {"k": 5}), (partition.density_limited, {}),
     (partition.direction_groups, {"k": 5, "office": OFFICE}), (partition.route_communities, {"office": OFFICE}), (partition.route_groups, {"office": OFFICE, "k": 3}),
+    (partition.route_spectral, {"office": OFFICE, "k": 3}),
 ]
 
 
@@ -159,9 +160,71 @@ def test_bounds_hold(seed):
         partition.constrained_kmedoids(territory(5), 3, 2, 2)
 
 
-def test_search_does_not_get_worse():
+def brute_measures(t, labels, judge):
+    own = [np.flatnonzero(labels == c) for c in np.unique(labels)]
+    inner = [t.d[i, j] for o in own for x, i in enumerate(o) for j in o[x + 1 :]]
+    return {"overlap": kernels.hull_overlap(judge.points, labels), "avg_inner": float(np.mean(inner)) if inner else 0.0}
+
+
+@pytest.mark.parametrize("kind", ["root", "weighted", "robust"])
+@pytest.mark.parametrize("start", ["density", "grown"])
+def test_climb(kind, start):
     t = territory(40, 8)
-    assert partition.loss(t, partition.search(t, 4, rounds=60)) <= partition.loss(t, partition.grown(t, 4))
+    o = search.climb(t, 4, kind, rounds=1500, patience=600, start=start, samples=20)
+    again = search.climb(t, 4, kind, rounds=1500, patience=600, start=start, samples=20)
+    assert (o.labels == again.labels).all() and o.loss == again.loss
+    judge, bounds = search.Judge(t, kind, search.calibrated(t, search.Bounds.around(40, 4), 20) if kind == "robust" else None), search.Bounds.around(40, 4)
+    assert judge.loss(o.labels) == pytest.approx(o.loss)
+    assert o.broken == bounds.broken(np.unique(o.labels, return_counts=True)[1])
+    m, brute = judge.measures(o.labels), brute_measures(t, o.labels, judge)
+    assert {x: m[x] for x in brute} == pytest.approx(brute)
+    assert o.steps <= 1500 and o.history[0] == (0, o.start_loss)
+    if start == "grown":
+        assert o.broken == 0 and o.loss <= o.start_loss
+    losses = [x for x, _ in o.pool]
+    assert losses == sorted(losses) and len(losses) <= 10
+    assert len({(round(x, 4), labels.tobytes()) for x, labels in o.pool}) == len(losses)
+    if not o.broken and o.pool:
+        assert losses[0] >= o.loss - 1e-9 and all(not bounds.broken(np.bincount(labels)) for _, labels in o.pool)
+
+
+def test_guided_routes_are_no_longer_than_settled_ones():
+    t = territory(40, 6)
+
+    def cost(routes):
+        km = [kernels.closed_km(t.d, t.office, r) for r in routes]
+        return sum(km) + 100 * max(km)
+
+    one, many = (kernels.vehicle_routes(t.d, t.office, 4, rounds=r) for r in (1, 40))
+    assert cost(many) <= cost(one) and sorted(i for r in many for i in r) == list(range(40)) and len(many) <= 4
+
+
+def test_spectral_finds_blocks():
+    w = np.kron(np.eye(3), np.ones((5, 5))) + 0.01
+    labels = kernels.spectral(w, 3)
+    assert labels.tolist() == [0] * 5 + [1] * 5 + [2] * 5
+
+
+def test_patience_ends_a_climb():
+    t = territory(30, 2)
+    assert search.climb(t, 3, rounds=50_000, patience=50, start="grown").steps < 10_000
+
+
+def test_random_labellings_keep_the_bounds():
+    t, bounds = territory(40, 1), search.Bounds.around(40, 4, 0.9)
+    found = search.random_labellings(t, bounds, 50)
+    assert len(found) == 50 and all(not bounds.broken(np.bincount(x)) for x in found)
+    scale = search.calibrated(t, bounds, 50)
+    assert set(scale) == set(search.MEASURES) and all(r > 0 for _, r in scale.values())
+    assert search.calibrated(territory(3), search.Bounds(4, 4, 1), 5) == {}
+
+
+def test_overlap_in_both_units():
+    t = territory(30, 4)
+    labels = np.arange(30) % 3
+    square = search.Judge(t, "robust").measures(labels)["overlap"]
+    km2 = search.Judge(t, "root").measures(labels)["overlap"]
+    assert km2 / square == pytest.approx(np.prod(kernels.degree_km(np.column_stack([t.lon, t.lat]))))
 
 
 def test_swaps_leave_no_more_violations():

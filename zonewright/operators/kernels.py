@@ -60,20 +60,29 @@ def clip(subject: list[tuple[float, float]], window: list[tuple[float, float]])
     return out
 
 
+def degree_km(points: np.ndarray) -> np.ndarray:
+    """Kilometres in a degree of longitude and latitude on the WGS84 ellipsoid at the points' mean latitude:
+    areas are then right within 0.5 % over a territory."""
+    middle, e2 = np.radians(points[:, 1].mean()), 0.00669437999014
+    w = 1 - e2 * np.sin(middle) ** 2
+    return np.pi / 180 * 6378.137 * np.array([np.cos(middle) / np.sqrt(w), (1 - e2) / w**1.5])
+
+
 def hull_overlap(points: np.ndarray, labels: np.ndarray, geodesic: bool = False) -> float:
-    """Summed area that clusters' hulls share pair by pair: in square degrees, or in km2 by an
-    equal-area projection around the points' mean latitude (within 0.5 % over a territory)."""
+    """Summed area that clusters' hulls share pair by pair: in square degrees, or in km2."""
     if geodesic:
-        middle = np.radians(points[:, 1].mean())
-        # km in a degree on the WGS84 ellipsoid at that latitude
-        e2 = 0.00669437999014
-        w = 1 - e2 * np.sin(middle) ** 2
-        points = points * np.array([np.pi / 180 * 6378.137 * np.cos(middle) / np.sqrt(w), np.pi / 180 * 6378.137 * (1 - e2) / w**1.5])
+        points = points * degree_km(points)
     rings = [hull(points[labels == k]) for k in np.unique(labels[labels >= 0])]
     rings = [r for r in rings if len(r) >= 3]
     return sum(area(clip(a, b)) for i, a in enumerate(rings) for b in rings[i + 1 :])
 
 
+def renumbered(labels: np.ndarray) -> np.ndarray:
+    """Labels 0, 1, ... in the order of their first members."""
+    first = {c: i for i, c in enumerate(dict.fromkeys(labels.tolist()))}
+    return np.array([first[c] for c in labels.tolist()], np.int64)
+
+
 # trees and linkage
 
 
@@ -294,57 +303,116 @@ def tour_km(d: np.ndarray, office: np.ndarray, members: np.ndarray) -> float:
     return float(total + office[at])
 
 
-def vehicle_routes(d: np.ndarray, office: np.ndarray, vehicles: int, span: float = 100.0, rounds: int = 200) -> list[list[int]]:
-    """Routes from the office and back: angular-free cheapest insertion that keeps routes alike in
-    length (span times the longest counts), then reversals within and moves between routes."""
+def closed_km(d: np.ndarray, office: np.ndarray, route: list[int]) -> float:
+    """Length of a route from the office and back."""
+    return float(office[route[0]] + sum(d[a, b] for a, b in zip(route, route[1:])) + office[route[-1]]) if route else 0.0
+
+
+def vehicle_routes(d: np.ndarray, office: np.ndarray, vehicles: int, span: float = 100.0, rounds: int = 40) -> list[list[int]]:
+    """Routes from the office and back whose total length, plus span times the longest's, is small.
+
+    Cheapest insertion, furthest clients first; then reversals within routes and moves between them until
+    none helps; then guided local search: the arcs that are longest for how often they were blamed cost
+    more for a while, which leads out of the optimum found. The best routes met are returned. Lengths are
+    in whole metres."""
     n = len(d)
-    metres, base = (d * 1000).astype(int), (office * 1000).astype(int)
-
-    def leg(a, b):
-        return base[b] if a < 0 else base[a] if b < 0 else metres[a, b]
-
-    def length(r):
-        return sum(leg(a, b) for a, b in zip([-1, *r], [*r, -1])) if r else 0
-
-    routes: list[list[int]] = [[] for _ in range(min(vehicles, max(1, n)))]
-    for i in sorted(range(n), key=lambda i: (-base[i], i)):
-        lengths = [length(r) for r in routes]
-        best = None
-        for k, r in enumerate(routes):
-            for at in range(len(r) + 1):
-                a, b = r[at - 1] if at else -1, r[at] if at < len(r) else -1
-                more = leg(a, i) + leg(i, b) - (leg(a, b) if r else 0)
-                cost = more + span * max(0, lengths[k] + more - max(lengths))
-                if best is None or cost < best[0]:
-                    best = (cost, k, at)
-        routes[best[1]].insert(best[2], i)
-    for _ in range(rounds):
-        better = False
-        for r in routes:  # reverse a part where that shortens
-            for i in range(len(r) - 1):
-                for j in range(i + 1, len(r)):
-                    a, b = r[i - 1] if i else -1, r[j + 1] if j + 1 < len(r) else -1
-                    if leg(a, r[j]) + leg(r[i], b) < leg(a, r[i]) + leg(r[j], b):
-                        r[i : j + 1] = r[i : j + 1][::-1]
-                        better = True
-        lengths = [length(r) for r in routes]
-        far, near = int(np.argmax(lengths)), int(np.argmin(lengths))
-        score = sum(lengths) + span * max(lengths)
-        moves = []
-        if far != near:
+    if not n:
+        return []
+    real = np.zeros((n + 1, n + 1))
+    real[:n, :n], real[n, :n], real[:n, n] = (d * 1000).astype(int), (office * 1000).astype(int), (office * 1000).astype(int)
+    blamed = np.zeros((n + 1, n + 1))
+    routes: list[list[int]] = [[] for _ in range(min(vehicles, n))]
+
+    def stops(r):
+        return np.array([n, *r, n])
+
+    def lengths(cost):
+        return np.array([cost[s[:-1], s[1:]].sum() if len(s) > 2 else 0.0 for s in map(stops, routes)])
+
+    def insertion(r, i, cost):
+        s = stops(r)
+        more = cost[s[:-1], i] + cost[i, s[1:]] - (cost[s[:-1], s[1:]] if r else 0)
+        at = int(np.argmin(more))
+        return at, more[at]
+
+    for i in sorted(range(n), key=lambda i: (-real[n, i], i)):
+        now = lengths(real)
+        at, more = zip(*(insertion(r, i, real) for r in routes), strict=True)
+        k = int(np.argmin(np.array(more) + span * np.maximum(0, now + more - now.max())))
+        routes[k].insert(at[k], i)
+
+    def reverse(r, cost):
+        """The best reversals of parts, until none shortens."""
+        while len(r) > 2:
+            s = stops(r)
+            gain = cost[np.ix_(s[:-1], s[:-1])] + cost[np.ix_(s[1:], s[1:])] - (now := cost[s[:-1], s[1:]])[:, None] - now
+            gain[np.tril_indices(len(s) - 1)] = 0
+            i, j = divmod(int(np.argmin(gain)), len(s) - 1)
+            if gain[i, j] >= -1e-6:
+                break
+            r[i:j] = r[i:j][::-1]
+
+    def settle(cost):
+        for _ in range(4 * n):
+            for r in routes:
+                reverse(r, cost)
+            now = lengths(cost)
+            far, score = int(np.argmax(now)), now.sum() + span * now.max()
+            best = None
+            s = stops(routes[far])
+            less = cost[s[:-2], s[1:-1]] + cost[s[1:-1], s[2:]] - (cost[s[:-2], s[2:]] if len(s) > 3 else 0)
             for p, i in enumerate(routes[far]):
-                less = routes[far][:p] + routes[far][p + 1 :]
-                for at in range(len(routes[near]) + 1):
-                    more = routes[near][:at] + [i] + routes[near][at:]
-                    new = [length(less), length(more), *(x for k, x in enumerate(lengths) if k not in (far, near))]
-                    moves.append((sum(new) + span * max(new), p, at))
-        if moves and min(moves)[0] < score:
-            _, p, at = min(moves)
-            routes[near].insert(at, routes[far].pop(p))
-            better = True
-        if not better:
+                for k, r in enumerate(routes):
+                    if k != far:
+                        at, more = insertion(r, i, cost)
+                        trial = now.copy()
+                        trial[far] -= less[p]
+                        trial[k] += more
+                        value = trial.sum() + span * trial.max()
+                        if value < score - 1e-6 and (best is None or value < best[0]):
+                            best = (value, p, k, at)
+            if best is None:
+                return
+            _, p, k, at = best
+            routes[k].insert(at, routes[far].pop(p))
+
+    kept, least = None, np.inf
+    weight = 0.1 * real[real > 0].mean() if (real > 0).any() else 0.0
+    for _ in range(rounds):
+        settle(real + weight * blamed)
+        now = lengths(real)
+        value = now.sum() + span * now.max()
+        if value < least - 1e-6:
+            kept, least = [r[:] for r in routes], value
+        arcs = np.concatenate([np.column_stack([s[:-1], s[1:]]) for s in map(stops, routes) if len(s) > 2])
+        use = real[arcs[:, 0], arcs[:, 1]] / (1 + blamed[arcs[:, 0], arcs[:, 1]])
+        for a, b in arcs[use >= use.max() - 1e-9]:
+            blamed[a, b] += 1
+            blamed[b, a] = blamed[a, b]
+    return [r for r in kept if r]
+
+
+def spectral(similar: np.ndarray, k: int, seed: int = 42, rounds: int = 100) -> np.ndarray:
+    """k groups by the leading eigenvectors of the normalised similarities: k-means on their unit rows, from
+    seeds furthest from each other."""
+    n = len(similar)
+    k = min(k, n)
+    w = similar + np.eye(n) * 1e-9
+    root = 1 / np.sqrt(w.sum(1))
+    _, vectors = np.linalg.eigh(root[:, None] * w * root)
+    rows = vectors[:, -k:] if k else vectors
+    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    seeds = [int(np.random.default_rng(seed).integers(n))] if n else []
+    while len(seeds) < k:
+        seeds.append(int(np.argmax(((rows[:, None] - rows[seeds]) ** 2).sum(2).min(1))))
+    centres, labels = rows[seeds], np.full(n, -1)
+    for _ in range(rounds):
+        following = ((rows[:, None] - centres) ** 2).sum(2).argmin(1)
+        if (following == labels).all():
             break
-    return [r for r in routes if r]
+        labels = following
+        centres = np.array([rows[labels == c].mean(0) if (labels == c).any() else centres[c] for c in range(k)])
+    return renumbered(labels)
 
 
 def louvain(weights: np.ndarray, rounds: int = 20) -> np.ndarray:

@@ -365,6 +365,41 @@ def hierarchical(t: Territory, k: int, method: str = "average") -> np.ndarray:
     return kernels.cut(kernels.linkage(t.d, method), t.n, k)
 
 
+def density_strength(clients: DataFrame, min_cluster_size: int = 5, min_samples: int | None = None) -> DataFrame:
+    """branch, client_idx, label (-1: noise) and how strongly the client belongs to its cluster, 0 to 1."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        t = Territory(group)
+        labels, strength = kernels.hdbscan(t.d, min_cluster_size, min_samples)
+        return pd.DataFrame({"branch": group["branch"].iloc[0], "client_idx": t.idx, "label": labels.astype(np.int32), "strength": strength})
+
+    kind = clients.schema["branch"].dataType.simpleString()
+    rows = clients.select("branch", "client_idx", "lat", "lon", "office_km")
+    return rows.groupBy("branch").applyInPandas(one, f"branch {kind}, client_idx long, label int, strength double")
+
+
+def density_grid(clients: DataFrame, sizes: range = range(2, 10), samples: range = range(1, 10)) -> DataFrame:
+    """A row for each branch and pair of min_cluster_size and min_samples (not above the former): clusters,
+    outliers and their percentage, density-based validity (of four decimals) and silhouette without the
+    outliers; both null where there are too few clusters. Each pair is a task of its own."""
+    pairs = clients.sparkSession.createDataFrame([(a, b) for a in sizes for b in samples if b <= a], "min_cluster_size int, min_samples int")
+    rows = clients.select("branch", "client_idx", "lat", "lon", "office_km").join(F.broadcast(pairs))  # some dozens of rows
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        t = Territory(group)
+        size, least = int(group["min_cluster_size"].iloc[0]), int(group["min_samples"].iloc[0])
+        labels = kernels.hdbscan(t.d, size, least)[0]
+        out = int((labels < 0).sum())
+        valid, apart = kernels.dbcv(t.d, labels), kernels.silhouette(t.d, labels)
+        own = {"branch": group["branch"].iloc[0], "min_cluster_size": size, "min_samples": least, "n_clusters": labels.max(initial=-1) + 1}
+        return pd.DataFrame([own | {"n_outliers": out, "outlier_pct": round(100 * out / t.n, 1), "dbcv": round(valid, 4), "silhouette": round(apart, 4)}])
+
+    kind = clients.schema["branch"].dataType.simpleString()
+    schema = f"branch {kind}, min_cluster_size int, min_samples int, n_clusters int, n_outliers int, outlier_pct double, dbcv double, silhouette double"
+    judged = rows.groupBy("branch", "min_cluster_size", "min_samples").applyInPandas(one, schema)
+    return judged.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("dbcv", "silhouette")})
+
+
 def split_large(t: Territory, labels: np.ndarray, most: int) -> np.ndarray:
     """Clusters over `most` cut by average linkage; the first part keeps the label."""
     labels, following = labels.copy(), labels.max() + 1
@@ -427,6 +462,11 @@ def route_groups(t: Territory, office: tuple[float, float], k: int) -> np.ndarra
     return kernels.cut(kernels.linkage(np.maximum(0, 1 - s)), t.n, k)
 
 
+def route_spectral(t: Territory, office: tuple[float, float], k: int) -> np.ndarray:
+    """Groups of clients whose synthetic routes share most of their way, by spectral clustering."""
+    return kernels.spectral(_similar(t, office, -1.0), k)
+
+
 def _similar(t: Territory, office: tuple[float, float], threshold: float, points: int = 21) -> np.ndarray:
     """Shared leading share of routes that go half their way north or south first."""
     half = points // 2
@@ -435,8 +475,14 @@ def _similar(t: Territory, office: tuple[float, float], threshold: float, points
     first = np.stack([office[0] + step * (turn[:, None] - office[0]), np.full((t.n, half + 1), office[1])], axis=2)
     rest = np.stack([turn[:, None] + step[1:] * (t.lat - turn)[:, None], office[1] + step[1:] * (t.lon - office[1])[:, None]], axis=2)
     routes = np.concatenate([first, rest], axis=1)
-    near = (np.abs(routes[:, None] - routes[None]) <= 0.001).all(3)
-    shared = np.cumprod(near, axis=2).sum(2) / points
+    shared = np.zeros((t.n, t.n), np.float32)
+    apart = np.zeros((t.n, t.n), bool)
+    for k in range(routes.shape[1]):  # a point of all routes at a time: memory is that of one matrix
+        for axis in (0, 1):
+            at = routes[:, k, axis]
+            apart |= np.abs(np.subtract.outer(at, at)) > 0.001
+        shared += ~apart
+    shared /= points
     np.fill_diagonal(shared, 0)
     return np.where(shared > threshold, shared, 0)
 
@@ -448,57 +494,27 @@ def vehicles(t: Territory, k: int = 14) -> np.ndarray:
     return labels
 
 
-# search
+def vehicle_stops(clients: DataFrame, k: int = 14, office: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """branch, vehicle (those in use, from 0), stop (0 is the office, and again the last), client_idx (null
+    at the office), lat, lon, leg_km to the stop and km driven up to it: closed routes."""
 
-
-def loss(t: Territory, labels: np.ndarray, weights: tuple[float, ...] = (25, 20, 20, 15, 20), scale: dict | None = None) -> float:
-    """Weighted sum of hull overlap, mean and largest inner distance, medoid distances and imbalance,
-    each less its median and over its quartile distance if a scale is given."""
-    names = np.unique(labels[labels >= 0])
-    inner, biggest, medoid, count, trips, size = 0.0, 0.0, 0.0, 0, [], []
-    for c in names:
-        own = np.flatnonzero(labels == c)
-        sub = t.d[np.ix_(own, own)]
-        upper = sub[np.triu_indices(len(own), 1)]
-        inner, count = inner + upper.sum(), count + len(upper)
-        biggest = max(biggest, upper.max(initial=0.0))
-        medoid += sub.sum(1).min()
-        trips.append(kernels.tour_km(t.d, t.office, own))
-        size.append(len(own))
-    balance = sum((max(x) - min(x)) / max(max(x), 1) / 2 for x in (size, trips))
-    parts = [kernels.hull_overlap(np.column_stack([t.lon, t.lat]), labels), inner / max(1, count), biggest, medoid, balance]
-    if scale:
-        parts = [(p - m) / r for p, (m, r) in zip(parts, scale.values())]
-    return float(sum(w * p for w, p in zip(weights, parts)))
-
-
-def search(t: Territory, k: int, seed: int = 0, rounds: int = 300, patience: int = 100, tolerance: float = 0.3) -> np.ndarray:
-    """Hill climbing from grown clusters by reassigning a client, swapping two, or following a
-    neighbour; at first all three, later the local ones. Sizes stay within bounds."""
-    rng = np.random.default_rng(seed)
-    labels = grown(t, k)
-    k = labels.max() + 1
-    least, most = max(1, int(t.n / k * (1 - tolerance))), int(t.n / k * (1 + tolerance)) + 1
-    near = np.argsort(t.d, axis=1, kind="stable")[:, 1:6]
-    best, stale = loss(t, labels), 0
-    for step in range(rounds):
-        trial, kind = labels.copy(), rng.integers(3) if step < 0.3 * rounds else 1 + rng.integers(2)
-        i = int(rng.integers(t.n))
-        if kind == 0:
-            trial[i] = rng.integers(k)
-        elif kind == 1:
-            j = int(rng.integers(t.n))
-            trial[i], trial[j] = trial[j], trial[i]
-        elif near.shape[1]:
-            trial[i] = labels[rng.choice(near[i])]
-        size = np.bincount(trial, minlength=k)
-        if size.min() >= least and size.max() <= most and (value := loss(t, trial)) < best:
-            labels, best, stale = trial, value, 0
-        else:
-            stale += 1
-            if stale >= patience:
-                break
-    return labels
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        t, rows = Territory(group), []
+        for v, route in enumerate(kernels.vehicle_routes(t.d, t.office, k)):
+            rows.append((v, 0, None, *office, 0.0))
+            for at, i in enumerate(route):
+                rows.append((v, at + 1, int(t.idx[i]), t.lat[i], t.lon[i], t.office[i] if not at else t.d[route[at - 1], i]))
+            rows.append((v, len(route) + 1, None, *office, t.office[route[-1]]))
+        out = pd.DataFrame(rows, columns=["vehicle", "stop", "client_idx", "lat", "lon", "leg_km"])
+        out["client_idx"] = out["client_idx"].astype("Int64")
+        return out.assign(branch=group["branch"].iloc[0], km=out.groupby("vehicle")["leg_km"].cumsum())
+
+    kind = clients.schema["branch"].dataType.simpleString()
+    rows = clients.select("branch", "client_idx", "lat", "lon", "office_km")
+    return rows.groupBy("branch").applyInPandas(one, f"vehicle int, stop int, client_idx long, lat double, lon double, leg_km double, branch {kind}, km double")
+
+
+# neighbours
 
 
 def swarm(t: Territory, k: int, neighbours: int = 8, rounds: int = 50, capacity: float | None = None) -> np.ndarray:
