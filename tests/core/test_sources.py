@@ -74,9 +74,41 @@ def test_adjacency_is_kept_without_roads(spark, tmp_path):
 
 def test_json_export(spark, tmp_path):
     locations = spark.createDataFrame([(0, "hub", 1.0, 2.0, "Office")], "loc_idx int, name string, lat double, lon double, type string")
-    exports.write_matrices_json(locations, spark.createDataFrame([(0, 0, 0.0, 0.0)], "i int, j int, km double, road_km double"), str(tmp_path / "e"))
+    matrix = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 2.0, 2.6), (1, 0, 2.0, 2.6), (1, 1, 0.0, float("inf"))], "i int, j int, km double, road_km double")
+    locations = locations.unionByName(spark.createDataFrame([(1, "a", 1.0, 2.1, "Client")], locations.schema))
+    exports.write_matrices_json(locations, matrix, str(tmp_path / "e"))
     row = spark.read.json(str(tmp_path / "e")).first()
-    assert row["metadata"]["total_locations"] == 1 and row["road_distances"] == [0.0]
+    assert row["metadata"]["total_locations"] == 2 and row["road_distance_matrix"] == [[0.0, 2.6], [2.6, None]] and [x["name"] for x in row["locations"]] == ["hub", "a"]
+    exports.write_matrices_json(locations, matrix, str(tmp_path / "l"), lines=True)
+    rows = {r["loc_idx"]: r for r in spark.read.json(str(tmp_path / "l")).collect()}
+    assert rows[1]["euclidean_distances"] == [2.0, 0.0] and len(rows) == 2
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+    from datetime import datetime
+
+    from zonewright.schema import VISIT
+    from zonewright.sources import workbook
+
+    head = ["client_id", "village_latitude", "due_date", "Branch", "assigned_loan_officer_id"]
+    day = workbook.day_number(datetime(2024, 3, 5, 12))
+    shared = "".join(f"<si><t>{x}</t></si>" for x in [*head, "North &amp; East"])
+    cells = "".join(f'<c r="{c}1" t="s"><v>{i}</v></c>' for i, c in enumerate("ABCDE"))
+    rows = f'<row r="1">{cells}</row><row r="2"><c r="A2"><v>7</v></c><c r="B2"><v>16.25</v></c><c r="C2"><v>{day}</v></c><c r="D2" t="s"><v>5</v></c></row>'
+    rows += '<row r="3"><c r="A3"><v>8</v></c><c r="D3" t="inlineStr"><is><t>South</t></is></c><c r="E3"><v>3</v></c></row>'
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "v.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>{shared}</sst>")
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+    got = tables.read_visits(spark, str(tmp_path / "v.xlsx")).orderBy("client_id").collect()
+    assert [(r["client_id"], r["client_latitude"], r["branch"], r["officer_id"]) for r in got] == [(7, 16.25, "North & East", None), (8, None, "South", 3)]
+    assert got[0]["due_date"] == datetime(2024, 3, 5, 12) and got[1]["due_date"] is None
+    assert workbook.read_sheet(spark, str(tmp_path / "v.xlsx"), VISIT, "S").count() == 2
+    with pytest.raises(Exception, match="no sheet"):
+        workbook.read_sheet(spark, str(tmp_path / "v.xlsx"), VISIT, "T").count()
 
 
 def answers(url, timeout):

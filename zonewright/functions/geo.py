@@ -136,6 +136,17 @@ def bounds_overlap(a, b) -> Column:
     return (a["x0"] <= b["x1"]) & (b["x0"] <= a["x1"]) & (a["y0"] <= b["y1"]) & (b["y0"] <= a["y1"])
 
 
+def bounds_shared(a, b) -> Column:
+    """The box two bounding boxes have in common, if they meet."""
+    return F.struct(
+        F.greatest(a["x0"], b["x0"]).alias("x0"), F.greatest(a["y0"], b["y0"]).alias("y0"), F.least(a["x1"], b["x1"]).alias("x1"), F.least(a["y1"], b["y1"]).alias("y1")
+    )
+
+
+def bounds_area(box) -> Column:
+    return (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])
+
+
 def in_convex(hull, x, y, tolerance: float = 1e-10) -> Column:
     """Whether a point lies in a convex ring given counter-clockwise, its border included."""
     return F.forall(_edges(hull), lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]) >= -tolerance)

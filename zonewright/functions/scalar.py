@@ -38,6 +38,17 @@ def guardrails(n_locations: int, n_clusters: int, tolerance: float = 0.2) -> tup
     return target, max(1, math.floor(target * (1 - tolerance))), math.ceil(target * (1 + tolerance))
 
 
+def hue_colour(number, n, saturation: float = 0.7, value: float = 0.85) -> Column:
+    """'#rrggbb' of the number-th of n colours spread over the hues."""
+
+    def part(offset):
+        k = F.pmod(F.lit(offset) + number * F.lit(6.0) / n, F.lit(6.0))
+        level = F.greatest(F.lit(0.0), F.least(k, F.lit(4.0) - k, F.lit(1.0)))
+        return F.lower(F.lpad(F.hex(F.floor((F.lit(value) - F.lit(value * saturation) * level) * 255).cast("long")), 2, "0"))
+
+    return F.concat(F.lit("#"), part(5.0), part(3.0), part(1.0))
+
+
 def finite(value) -> Column:
     """Infinite and NaN values as null, for sinks without them."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)

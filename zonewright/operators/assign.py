@@ -44,6 +44,21 @@ def nearest_seed(clients: DataFrame, both: DataFrame, seeds: DataFrame) -> DataF
     return clients.join(near, ["branch", "client_idx"]).select(*clients.columns, F.col("m.seed").alias("label"), F.col("m.road_km").alias("seed_km"))
 
 
+def nearest_seed_by_place(clients: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
+    """The same from the places: each client meets its branch's seeds only, of which there are few; no
+    pairs of clients are made. seeds: branch, client_idx, seed, `most` rows of a branch at most."""
+    places = clients.select("branch", "client_idx", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    own = seeds.join(places, ["branch", "client_idx"]).groupBy("branch").agg(F.array_sort(F.collect_list(F.struct("seed", "client_idx", "_lat", "_lon"))).alias("_seeds"))
+    own = own.withColumn("_seeds", F.when(F.size("_seeds") > most, F.raise_error(F.lit("too many seeds"))).otherwise(F.col("_seeds")))
+
+    def away(s):
+        km = geo.haversine(F.col("lat"), F.col("lon"), s["_lat"], s["_lon"]) * ROAD_FACTOR
+        return F.struct(F.when(s["client_idx"] == F.col("client_idx"), 0.0).otherwise(km).alias("road_km"), s["seed"].alias("seed"))
+
+    met = clients.join(own, "branch").withColumn("_m", F.array_min(F.transform("_seeds", away)))
+    return met.select(*clients.columns, F.col("_m.seed").alias("label"), F.col("_m.road_km").alias("seed_km"))
+
+
 def kmedoids_round(labelled: DataFrame, both: DataFrame) -> DataFrame:
     """One round: the medoids of the labels given, and the labels nearest to those."""
     m = metrics.medoids(labelled, both).select("branch", F.col("medoid").alias("client_idx"), F.col("label").alias("seed"))

@@ -31,6 +31,14 @@ class Territory:
         self.n = len(group)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to a fixed number of tasks, four a core. Territories are few bytes and much work:
+    left to itself, Spark would put them all into one task for their size."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
 def solve(clients: DataFrame, method: Callable[..., np.ndarray], params: DataFrame | None = None, keys: tuple[str, ...] = ("branch",), **options) -> DataFrame:
     """Keys, parameters, client_idx and label of every client. method(territory, **options) returns a
     label for each; with a table of params (columns named as its arguments) it runs for each row."""
@@ -49,7 +57,7 @@ def solve(clients: DataFrame, method: Callable[..., np.ndarray], params: DataFra
         labels = run(t, **{k: own[k] for k in names})
         return pd.DataFrame(own | {"client_idx": t.idx, "label": np.asarray(labels, np.int32)})
 
-    return rows.groupBy(*keys, *names).applyInPandas(one, schema)
+    return spread(rows, *keys, *names).groupBy(*keys, *names).applyInPandas(one, schema)
 
 
 # seeds
@@ -172,35 +180,35 @@ def _means(t: Territory, labels: np.ndarray, k: int) -> np.ndarray:
 
 
 def refined(t: Territory, k: int, weight: float = 0.4, rounds: int = 50) -> np.ndarray:
-    """Growth, then the best single move of a boundary client at a time while the cost falls."""
+    """Growth, then the best single move of a boundary client at a time while the cost falls. What each
+    move would cost follows from the clusters' distance sums, for all of them at once."""
     labels = grown(t, k, weight, central=False)
     k = labels.max() + 1
-
-    def cost(own: np.ndarray) -> float:
-        size = np.bincount(own, minlength=k)
-        member = (own[:, None] == np.arange(k)).astype(float)
-        within = np.einsum("ik,ij,jk->k", member, t.d, member)
-        inner = np.where(size > 1, within / np.maximum(size - 1, 1), 0).sum()
-        return float(inner + weight * size.std() * t.office.mean() * t.n)
-
-    now = cost(labels)
+    heavy = weight * t.office.mean() * t.n
+    at = np.arange(t.n)
     for _ in range(rounds):
+        member = (labels[:, None] == np.arange(k)).astype(float)
+        to = t.d @ member
+        within, size = (member * to).sum(0), member.sum(0)
         means = _means(t, labels, k)
-        own = means[np.arange(t.n), labels]
-        others = means.copy()
-        others[np.arange(t.n), labels] = np.inf
-        best = None
-        for i in np.flatnonzero(others.min(1) <= 1.3 * own):
-            if (labels == labels[i]).sum() == 1:
-                continue
-            trial = labels.copy()
-            trial[i] = int(np.argmin(others[i]))
-            c = cost(trial)
-            if c < now - 1e-9 and (best is None or c < best[0]):
-                best = (c, trial)
-        if best is None:
+        own = means[at, labels]
+        means[at, labels] = np.inf
+        best = means.argmin(1)
+
+        def inner(total, n):
+            return np.where(n > 1, total / np.maximum(n - 1, 1), 0.0)
+
+        now = inner(within, size).sum() + heavy * size.std()
+        a, b = size[labels], size[best]
+        less, more = within[labels] - 2 * to[at, labels], within[best] + 2 * to[at, best]
+        moved = inner(within, size).sum() - inner(within[labels], a) - inner(within[best], b) + inner(less, a - 1) + inner(more, b + 1)
+        squares = (size**2).sum() - a**2 - b**2 + (a - 1) ** 2 + (b + 1) ** 2
+        cost = moved + heavy * np.sqrt(np.maximum(0, squares / k - (t.n / k) ** 2))
+        able = (means.min(1) <= 1.3 * own) & (a > 1)
+        i = int(np.argmin(np.where(able, cost, np.inf)))
+        if not able.any() or cost[i] >= now - 1e-9:
             break
-        now, labels = best
+        labels[i] = best[i]
     return labels
 
 
@@ -375,7 +383,7 @@ def density_strength(clients: DataFrame, min_cluster_size: int = 5, min_samples:
 
     kind = clients.schema["branch"].dataType.simpleString()
     rows = clients.select("branch", "client_idx", "lat", "lon", "office_km")
-    return rows.groupBy("branch").applyInPandas(one, f"branch {kind}, client_idx long, label int, strength double")
+    return spread(rows, "branch").groupBy("branch").applyInPandas(one, f"branch {kind}, client_idx long, label int, strength double")
 
 
 def density_grid(clients: DataFrame, sizes: range = range(2, 10), samples: range = range(1, 10)) -> DataFrame:
@@ -396,7 +404,7 @@ def density_grid(clients: DataFrame, sizes: range = range(2, 10), samples: range
 
     kind = clients.schema["branch"].dataType.simpleString()
     schema = f"branch {kind}, min_cluster_size int, min_samples int, n_clusters int, n_outliers int, outlier_pct double, dbcv double, silhouette double"
-    judged = rows.groupBy("branch", "min_cluster_size", "min_samples").applyInPandas(one, schema)
+    judged = spread(rows, "branch", "min_cluster_size", "min_samples").groupBy("branch", "min_cluster_size", "min_samples").applyInPandas(one, schema)
     return judged.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("dbcv", "silhouette")})
 
 
@@ -511,7 +519,7 @@ def vehicle_stops(clients: DataFrame, k: int = 14, office: tuple[float, float] =
 
     kind = clients.schema["branch"].dataType.simpleString()
     rows = clients.select("branch", "client_idx", "lat", "lon", "office_km")
-    return rows.groupBy("branch").applyInPandas(one, f"vehicle int, stop int, client_idx long, lat double, lon double, leg_km double, branch {kind}, km double")
+    return spread(rows, "branch").groupBy("branch").applyInPandas(one, f"vehicle int, stop int, client_idx long, lat double, lon double, leg_km double, branch {kind}, km double")
 
 
 # neighbours
@@ -519,16 +527,22 @@ def vehicle_stops(clients: DataFrame, k: int = 14, office: tuple[float, float] =
 
 def swarm(t: Territory, k: int, neighbours: int = 8, rounds: int = 50, capacity: float | None = None) -> np.ndarray:
     """Synchronous votes of the nearest neighbours from the nearest-seed labels on."""
-    labels = _to_medoids(t, spread_seeds(t, k))
+    return kernels.renumbered(swarm_rounds(t, k, neighbours, rounds, capacity)[-1])
+
+
+def swarm_rounds(t: Territory, k: int, neighbours: int = 8, rounds: int = 50, capacity: float | None = None) -> list[np.ndarray]:
+    """Labels at the start and after every round that changed any."""
+    out = [_to_medoids(t, spread_seeds(t, k))]
     near = np.argsort(t.d + np.diag(np.full(t.n, np.inf)), axis=1, kind="stable")[:, : min(neighbours, max(0, t.n - 1))]
-    k = labels.max() + 1
+    k = out[0].max() + 1
     limit = t.n / k if capacity is None else capacity
     for _ in range(rounds):
+        labels = out[-1]
         weight = np.where(np.bincount(labels, minlength=k) >= limit, 0.5, 1.0)
         votes = np.zeros((t.n, k))
         np.add.at(votes, (np.repeat(np.arange(t.n), near.shape[1]), labels[near].ravel()), weight[labels[near].ravel()])
-        new = np.where(votes.sum(1) > 0, votes.argmax(1), labels)
-        if (new == labels).all():
+        following = np.where(votes.sum(1) > 0, votes.argmax(1), labels)
+        if (following == labels).all():
             break
-        labels = new
-    return labels
+        out.append(following)
+    return out

@@ -52,6 +52,13 @@ def unique_solutions(df: DataFrame, keep: int = 10, partition: list[str] | None
     return first.withColumn("rank", rank).filter(F.col("rank") <= keep)
 
 
+def by_name(rows: DataFrame, name: str, known: DataFrame, known_name: str, prefix: str = "") -> DataFrame:
+    """rows with the known row whose name is theirs without the prefix; names are compared as text, and
+    rows without one stay."""
+    bare = F.regexp_replace(F.col(name).cast("string"), f"^{prefix}", "")
+    return rows.withColumn("_bare", bare).join(known.withColumn("_bare", F.trim(F.col(known_name).cast("string"))), "_bare", "left").drop("_bare")
+
+
 def arg_min(value, *ties) -> Column:
     """An ordering key for min_by: the value, then the ties in order."""
     return F.struct(F.col(value) if isinstance(value, str) else value, *[F.col(t) for t in ties])

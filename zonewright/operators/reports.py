@@ -90,3 +90,40 @@ def office_links(clients: DataFrame) -> DataFrame:
     """Each client's road and straight distance to the office, their ratio and its class."""
     ratio = F.when(F.col("straight_km") > 0, geo.detour_ratio(F.col("office_km"), F.col("straight_km"))).otherwise(1.0)
     return clients.withColumn("ratio", ratio).withColumn("class", geo.ratio_class(F.col("ratio")))
+
+
+def best_settings(grid: DataFrame, by: str, k: int = 5) -> DataFrame:
+    """The k settings of each branch with the highest `by`, those without it left out; ties to the smaller
+    sizes."""
+    order = Window.partitionBy("branch").orderBy(F.desc(by), "min_cluster_size", "min_samples")
+    judged = grid.filter(F.col(by).isNotNull() & ~F.isnan(by))
+    return judged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def balanced_settings(grid: DataFrame, valid: float = 0.4, outliers: float = 30.0) -> DataFrame:
+    """Settings of more than this validity and less than this percentage of outliers, by falling validity."""
+    order = Window.partitionBy("branch").orderBy(F.desc("dbcv"), "min_cluster_size", "min_samples")
+    return grid.filter((F.col("dbcv") > valid) & (F.col("outlier_pct") < outliers)).withColumn("place", F.row_number().over(order))
+
+
+def member_lists(labelled: DataFrame, half: DataFrame) -> DataFrame:
+    """Each cluster's figures with its members, and the outliers (label -1) as one list."""
+    own = labelled.groupBy("branch", "label").agg(F.sort_array(F.collect_list("client_idx")).alias("members"))
+    return own.join(metrics.cluster_stats(labelled, half), ["branch", "label"], "left")
+
+
+def similarity_within(similarities: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Size and mean similarity of the pairs (i, j) within each cluster, 0 without a pair."""
+    a = labelled.select("branch", F.col("client_idx").alias("i"), "label")
+    b = labelled.select(F.col("client_idx").alias("j"), F.col("label").alias("_l"))
+    inner = similarities.join(a, "i").join(b, "j").filter("label = _l").groupBy("branch", "label").agg(F.avg("similarity").alias("_s"))
+    size = labelled.groupBy("branch", "label").agg(F.count(F.lit(1)).alias("size"))
+    return size.join(inner, ["branch", "label"], "left").select("branch", "label", "size", F.coalesce("_s", F.lit(0.0)).alias("similarity"))
+
+
+def score_stats(adjacent: DataFrame) -> DataFrame:
+    """Borders (each once), areas that have one, and smallest, largest and median connection score."""
+    return adjacent.agg(
+        (F.count(F.lit(1)) / 2).cast("long").alias("n_borders"), F.countDistinct("src").alias("n_areas"),
+        F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.percentile("score", 0.5).alias("median_score"),
+    )

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from zonewright.functions.scalar import size_bounds
 from zonewright.operators import kernels
-from zonewright.operators.partition import MAX_PARAMS, Territory, density, grown
+from zonewright.operators.partition import MAX_PARAMS, Territory, density, grown, spread
+from zonewright.plans.session import checkpointed
 
 MEASURES = ("overlap", "avg_inner", "max_inner", "medoid", "balance")
 WEIGHTS = {"overlap": 25.0, "avg_inner": 20.0, "max_inner": 20.0, "medoid": 15.0, "balance": 20.0}
@@ -145,6 +146,7 @@ class Outcome:
     loss: float
     broken: int
     start_loss: float
+    start_broken: int
     baseline_loss: float
     steps: int
     #: Steps at which a better labelling was found, and its loss.
@@ -182,7 +184,7 @@ def climb(
         return bounds.broken(size[size > 0])
 
     now = (broken(), judge.loss(labels))
-    begun, history, pool, met, stale, step = now[1], [(0, now[1])], [], set(), 0, 0
+    begun, history, pool, met, stale, step = now, [(0, now[1])], [], set(), 0, 0
     for step in range(1, rounds + 1):
         changed = _move(rng, kind, labels, size, near, step / rounds, now[1], k)
         if changed:
@@ -194,9 +196,9 @@ def climb(
             worth = broken()
             # what breaks the bounds more than now cannot be better, whatever its loss
             trial = (worth, judge.loss(labels)) if worth <= now[0] else (worth, np.inf)
-            if not worth and np.isfinite(trial[1]):
+            if not worth and (len(pool) < top or trial[1] < -pool[0][0]):
                 key = (round(trial[1], 4), kernels.renumbered(labels).tobytes())
-                if key not in met and (len(pool) < top or trial[1] < -pool[0][0]):
+                if key not in met:
                     met.add(key)
                     heapq.heappush(pool, (-trial[1], -step, labels.copy(), key))
                     if len(pool) > top:
@@ -215,7 +217,7 @@ def climb(
     best = sorted(((-x, -s, own) for x, s, own, _ in pool), key=lambda p: p[:2])
     if now[0] and baseline_loss < now[1]:
         labels, now = lone, (bounds.broken(np.unique(lone, return_counts=True)[1]), baseline_loss)
-    return Outcome(kernels.renumbered(labels), now[1], now[0], begun, baseline_loss, step, history, [(x, kernels.renumbered(own)) for x, _, own in best])
+    return Outcome(kernels.renumbered(labels), now[1], now[0], begun[1], begun[0], baseline_loss, step, history, [(x, kernels.renumbered(own)) for x, _, own in best])
 
 
 def _move(rng, kind: str, labels: np.ndarray, size: np.ndarray, near: np.ndarray, progress: float, loss: float, k: int) -> list[tuple[int, int]]:
@@ -253,7 +255,7 @@ def _with_params(clients: DataFrame, params: DataFrame) -> DataFrame:
 def solutions(clients: DataFrame, params: DataFrame, pool: bool = False, **options) -> DataFrame:
     """Climbs of every territory from every row of params (columns named as climb's arguments, seed among
     them), side by side: branch, the parameters, rank, client_idx, label, loss, broken (by how much the
-    bounds are), start_loss, baseline_loss and steps. rank is 0; with pool, the best labellings met follow
+    bounds are), start_loss, start_broken, baseline_loss and steps. rank is 0; with pool, the best labellings met follow
     from rank 1 on."""
     rows, names = _with_params(clients, params), params.columns
     kinds = rows.select("branch", *names).schema.simpleString()[7:-1].replace(":", " ")
@@ -264,17 +266,18 @@ def solutions(clients: DataFrame, params: DataFrame, pool: bool = False, **optio
         o = climb(t, **options, **{c: own[c] for c in names})
         ranked = [(0, o.loss, o.broken, o.labels), *[(r, x, 0, labels) for r, (x, labels) in enumerate(o.pool, 1) if pool]]
         return pd.concat([
-            pd.DataFrame(own | {"rank": r, "client_idx": t.idx, "label": labels.astype(np.int32), "loss": x, "broken": b, "start_loss": o.start_loss, "baseline_loss": o.baseline_loss, "steps": o.steps})
+            pd.DataFrame(own | {"rank": r, "client_idx": t.idx, "label": labels.astype(np.int32), "loss": x, "broken": b, "start_loss": o.start_loss, "start_broken": o.start_broken, "baseline_loss": o.baseline_loss, "steps": o.steps})
             for r, x, b, labels in ranked
         ])
 
-    schema = f"{kinds}, rank int, client_idx long, label int, loss double, broken int, start_loss double, baseline_loss double, steps int"
-    return rows.groupBy("branch", *names).applyInPandas(one, schema)
+    schema = f"{kinds}, rank int, client_idx long, label int, loss double, broken int, start_loss double, start_broken int, baseline_loss double, steps int"
+    return spread(rows, "branch", *names).groupBy("branch", *names).applyInPandas(one, schema)
 
 
 def best_restart(found: DataFrame, names: list[str]) -> DataFrame:
     """Of each branch's climbs the one that breaks the bounds least and then has the least loss; ties to
-    the first parameters."""
+    the first parameters. The climbs are written once, as they are looked at twice."""
+    found = checkpointed(found)
     runs = found.filter("rank = 0").groupBy("branch", *names).agg(F.min("broken").alias("_b"), F.min("loss").alias("_l"))
     order = Window.partitionBy("branch").orderBy("_b", "_l", *names)
     chosen = runs.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("branch", *names)
@@ -291,7 +294,7 @@ def loss_history(clients: DataFrame, params: DataFrame, **options) -> DataFrame:
         o = climb(Territory(group), **options, **{c: own[c] for c in names})
         return pd.DataFrame([own | {"step": s, "loss": x} for s, x in o.history])
 
-    return rows.groupBy("branch", *names).applyInPandas(one, f"{kinds}, step int, loss double")
+    return spread(rows, "branch", *names).groupBy("branch", *names).applyInPandas(one, f"{kinds}, step int, loss double")
 
 
 def calibration(clients: DataFrame, k: int, samples: int = 200, tolerance: float = 0.3, seed: int = 42) -> DataFrame:
@@ -306,7 +309,7 @@ def calibration(clients: DataFrame, k: int, samples: int = 200, tolerance: float
 
     kind = clients.schema["branch"].dataType.simpleString()
     schema = f"branch {kind}, sample int, " + ", ".join(f"{m} double" for m in MEASURES)
-    return clients.select("branch", "client_idx", "lat", "lon", "office_km").groupBy("branch").applyInPandas(one, schema)
+    return spread(clients.select("branch", "client_idx", "lat", "lon", "office_km"), "branch").groupBy("branch").applyInPandas(one, schema)
 
 
 def losses(labelled: DataFrame, kinds: tuple[str, ...] = ("root", "weighted", "robust")) -> DataFrame:
@@ -326,4 +329,4 @@ def losses(labelled: DataFrame, kinds: tuple[str, ...] = ("root", "weighted", "r
 
     kind = labelled.schema["branch"].dataType.simpleString()
     rows = labelled.select("branch", "client_idx", "lat", "lon", "office_km", "label")
-    return rows.groupBy("branch").applyInPandas(one, f"branch {kind}, kind string, overlap double, avg_inner double, loss double")
+    return spread(rows, "branch").groupBy("branch").applyInPandas(one, f"branch {kind}, kind string, overlap double, avg_inner double, loss double")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from zonewright.operators import kernels
-from zonewright.operators.partition import Territory
+from zonewright.operators.partition import Territory, spread
 from zonewright.schema import WARD_FACTOR
 
 #: Edges of the areas' graph that go along with every territory at most, some 60 MB.
@@ -490,4 +490,4 @@ def zones(clients: DataFrame, edges: DataFrame, k: int, variant: str = "v7", off
         return pd.DataFrame({"branch": group["branch"].iloc[0], "client_idx": t.idx, "pcode": codes, "zone": zone.astype(np.int32), "is_seed": is_seed})
 
     kind = clients.schema["branch"].dataType.simpleString()
-    return rows.groupBy("branch").applyInPandas(solve, f"branch {kind}, client_idx long, pcode string, zone int, is_seed boolean")
+    return spread(rows, "branch").groupBy("branch").applyInPandas(solve, f"branch {kind}, client_idx long, pcode string, zone int, is_seed boolean")

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.functions import geo, scalar
 from zonewright.operators import assign, distances, graph, metrics, partition, relational, reports, spatial, windows, zones
 from zonewright.plans import geography as geog
-from zonewright.plans.geography import with_ctes
+from zonewright.plans.registry import QUERIES, query
 from zonewright.plans.session import checkpointed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 OFFICE = (geog.OFFICE_LAT, geog.OFFICE_LON)
 
 
-def query(ctes: str = "", sql: str | None = None, recursive: bool = False):
-    """Register a query under its function's name, with its SQL after the named common tables."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = with_ctes(ctes, sql, recursive)
-        return f
-
-    return add
-
-
 def r6(c, name: str | None = None):
     col = F.col(c) if isinstance(c, str) else c
     return F.round(col, 6).alias(name or c)
@@ -694,7 +678,7 @@ def _params(spark, schema, rows):
 QUERIES |= {
     "kmedoids_fit": _solved(partition.kmedoids, k=6),
     "constrained_kmedoids": _solved(partition.constrained_kmedoids, k=6),
-    "sgb1_labels": _solved(partition.refined, k=5, rounds=10),
+    "sgb1_labels": _solved(partition.refined, k=5),
     "sgb2_labels": _solved(partition.shaved, k=5),
     "sgb3_labels": _solved(partition.untangled, k=5),
     "petal1_labels": _solved(partition.petals, k=6, office=OFFICE),
@@ -704,7 +688,8 @@ QUERIES |= {
     "sequential_route_labels": _solved(partition.sequential_routes, k=5),
     "louvain_labels": _solved(partition.route_communities, office=OFFICE),
     "route_group_labels": _solved(partition.route_groups, office=OFFICE, k=5),
-    "vrp_routes": lambda spark, d: partition.solve(geog.clients(spark, d), partition.vehicles, k=8),
+    "route_spectral_labels": _solved(partition.route_spectral, office=OFFICE, k=5),
+    "kmedoids_seeded": _solved(partition.kmedoids, k=6, seed=42),
     "swarm_labels": _solved(partition.swarm, k=5),
 }
 
@@ -716,27 +701,6 @@ def hierarchical_labels(spark, d):
     return partition.solve(geog.clients(spark, d), partition.hierarchical, methods, k=6)
 
 
-@query()
-def hdbscan_grid(spark, d):
-    """Parameters by validity: each pair of sizes solved in its own task, then judged."""
-    grid = _params(spark, "min_cluster_size int, min_samples int", [(a, b) for a in range(3, 9, 2) for b in range(2, 6, 2) if b <= a])
-    labels = partition.solve(geog.clients(spark, d), partition.density, grid)
-    keys = ["branch", "min_cluster_size", "min_samples"]
-    outlier = (F.col("label") < 0).cast("int")
-    return labels.groupBy(*keys).agg((F.max("label") + 1).alias("n_clusters"), F.sum(outlier).alias("n_outliers"), F.round(F.avg(outlier) * 100, 6).alias("outlier_pct"))
-
-
-@query()
-def search_restarts(spark, d):
-    """Local search from several seeds side by side; the best is kept for each branch."""
-    restarts = _params(spark, "seed int", [(s,) for s in range(3)])
-    found = partition.solve(geog.clients(spark, d), partition.search, restarts, k=5, rounds=60)
-    own = F.concat_ws("/", "branch", "seed")
-    half = _half(spark, d).join(F.broadcast(restarts)).withColumn("branch", own).drop("seed")  # three rows
-    inner = metrics.inner_loss(found.withColumn("branch", own), half)
-    return inner.select(F.split("branch", "/")[0].cast("int").alias("branch"), F.split("branch", "/")[1].cast("int").alias("seed"), r6("avg_inner"))
-
-
 def _scored_edges(spark):
     """The areas' graph with what scores and nearest areas need."""
     places = spatial.centroids(geog.wards(spark)).select(F.col("pcode").alias("src"), F.col("x").alias("lon"), F.col("y").alias("lat"))

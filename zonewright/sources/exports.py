@@ -18,15 +18,27 @@ def write_matrix_csv(matrix: DataFrame, names: list[str], path: str, value: str
     to_wide(_plain(matrix), names, value).write.option("header", True).mode("overwrite").csv(path)
 
 
-def write_matrices_json(locations: DataFrame, matrix: DataFrame, path: str, api: str = "fallback") -> None:
-    """One JSON object a line: the locations, and each location's row of both matrices."""
+def write_matrices_json(locations: DataFrame, matrix: DataFrame, path: str, api: str = "fallback", lines: bool = False) -> None:
+    """One JSON document: metadata, locations in order, and both matrices as rows of numbers. As one
+    value, it is made in one task: a territory's size. With `lines`, a line is one location with its
+    rows, and all tasks write."""
     rows = _plain(matrix).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "km", "road_km"))).alias("r"))
     meta = F.struct(F.lit(api).alias("api_type"), F.lit(locations.count()).alias("total_locations"))
-    out = locations.join(rows, locations["loc_idx"] == rows["i"], "left").select(
-        meta.alias("metadata"), "loc_idx", "name", "lat", "lon", "type",
-        F.transform("r", lambda x: x["km"]).alias("euclidean_distances"), F.transform("r", lambda x: x["road_km"]).alias("road_distances"),
-    )
-    out.write.mode("overwrite").json(path)
+    joined = locations.join(rows, locations["loc_idx"] == rows["i"], "left")
+    own = ["loc_idx", "name", "lat", "lon", "type"]
+    km, road = (F.transform("r", lambda x, c=c: x[c]) for c in ("km", "road_km"))
+    if lines:
+        joined.select(meta.alias("metadata"), *own, km.alias("euclidean_distances"), road.alias("road_distances")).write.mode("overwrite").json(path)
+        return
+    whole = joined.agg(F.array_sort(F.collect_list(F.struct("loc_idx", F.struct(*own).alias("l"), km.alias("e"), road.alias("r")))).alias("a"))
+    parts = {"locations": "l", "euclidean_distance_matrix": "e", "road_distance_matrix": "r"}
+    out = whole.select(meta.alias("metadata"), *[F.transform("a", lambda x, c=c: x[c]).alias(n) for n, c in parts.items()])
+    out.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_partitioned(df: DataFrame, keys: list[str], path: str) -> None:
+    """Parquet with a folder for each value of the keys, so that readers of a few values skip the rest."""
+    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def save_adjacency(edges: DataFrame, path: str) -> None:

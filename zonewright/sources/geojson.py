@@ -9,14 +9,20 @@ _POINTS = "array<array<double>>"
 PROPERTIES = {"pcode": "VT_PCODE", "name": "VT", "township": "TS", "township_pcode": "TS_PCODE"}
 
 
-def read_wards(spark: SparkSession, path: str, properties: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def read_wards(spark: SparkSession, path: str, properties: dict[str, str] | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Wards in the order of the file, and the features whose geometry could not be read.
 
-    Polygons and multipolygons become one list of rings; missing properties are UNKNOWN."""
+    Polygons and multipolygons become one list of rings; missing properties are UNKNOWN. A document is
+    one JSON value and read in one task; with `lines`, each line is a feature (its property ord gives the
+    order), and files of any size are read in parallel."""
     names = PROPERTIES | (properties or {})
     own = ", ".join(f"`{p}`: string" for p in names.values())
-    schema = f"features array<struct<geometry: struct<type: string, coordinates: string>, properties: struct<{own}>>>"
-    features = spark.read.option("multiLine", True).schema(schema).json(path).select(F.posexplode("features").alias("ord", "f"))
+    if lines:
+        one = spark.read.schema(f"geometry struct<type: string, coordinates: string>, properties struct<ord: int, {own}>").json(path)
+        features = one.select(F.col("properties.ord").alias("ord"), F.struct("geometry", "properties").alias("f"))
+    else:
+        schema = f"features array<struct<geometry: struct<type: string, coordinates: string>, properties: struct<{own}>>>"
+        features = spark.read.option("multiLine", True).schema(schema).json(path).select(F.posexplode("features").alias("ord", "f"))
     text = F.col("f.geometry.coordinates")
     rings = F.when(F.col("f.geometry.type") == "Polygon", F.from_json(text, f"array<{_POINTS}>")).when(
         F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json(text, f"array<array<{_POINTS}>>"))

@@ -24,10 +24,14 @@ def read_locations(spark: SparkSession, path: str, lat: str = "Latitude", lon: s
 
 
 def read_visits(spark: SparkSession, path: str, branch: str | None = None) -> DataFrame:
-    """Visits (CSV or Parquet) renamed to the engine's columns, with the day of the cycle."""
+    """Visits (CSV, Parquet or an xlsx workbook) renamed to the engine's columns, with the day of the cycle."""
     from zonewright.schema import VISIT
+    from zonewright.sources.workbook import read_sheet
 
-    raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).schema(VISIT).csv(path)
+    if path.endswith(".xlsx"):
+        raw = read_sheet(spark, path, VISIT)
+    else:
+        raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).schema(VISIT).csv(path)
     rows = raw.select(
         "client_id", F.col("village_latitude").alias("client_latitude"), F.col("village_longitude").alias("client_longitude"), "due_date",
         F.col("Branch").alias("branch"), "latitude_branch", "longitude_branch", F.col("assigned_loan_officer_id").alias("officer_id"),
