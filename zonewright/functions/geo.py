@@ -75,6 +75,20 @@ def route_similarity(a, b, tolerance: float = 0.001) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / ((F.size(a) + F.size(b)) / 2.0))
 
 
+def fixed_route_similarity(a, b, n: int, tolerance: float = 0.001) -> Column:
+    """The same for routes of exactly n points, without a loop: the comparisons are compiled, and the first
+    pair of points apart ends them."""
+
+    def near(k):
+        p, q = F.get(a, F.lit(k)), F.get(b, F.lit(k))
+        return (F.abs(p["lat"] - q["lat"]) <= tolerance) & (F.abs(p["lon"] - q["lon"]) <= tolerance)
+
+    shared = F.lit(0)
+    for k in reversed(range(n)):
+        shared = F.when(near(k), shared + 1).otherwise(0)
+    return shared / F.lit(float(n))
+
+
 def _edges(ring) -> Column:
     """Each point of a ring with the next, the last with the first."""
     following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))

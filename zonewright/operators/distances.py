@@ -9,13 +9,24 @@ from zonewright.functions import geo
 from zonewright.schema import ROAD_FACTOR
 
 
-def pairs(clients: DataFrame, partition: str = "branch") -> DataFrame:
-    """i < j and km of all client pairs of a branch: each branch is a block of its own, so the work
-    grows with the branches' squares, not the whole table's."""
-    a = clients.select(partition, F.col("client_idx").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = clients.select(partition, F.col("client_idx").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    joined = a.join(b, partition).filter("i < j")
-    return joined.select(partition, "i", "j", geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
+#: Clients of a block: two blocks meet in a task.
+BLOCK = 4096
+
+
+def pairs(clients: DataFrame, partition: str | list[str] = "branch", block: int = BLOCK) -> DataFrame:
+    """i < j and km of all client pairs of a branch (or of another partition, say a cluster): the work grows
+    with the partitions' squares, not the whole table's.
+
+    The clients of a partition are dealt to blocks of bounded size, by their ids, and every two blocks meet
+    under a key of their own, so no task gets a whole large partition."""
+    own = [partition] if isinstance(partition, str) else list(partition)
+    n = clients.groupBy(*own).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    dealt = clients.select(*own, "client_idx", "lat", "lon").join(n, own).withColumn("_b", F.pmod(F.xxhash64("client_idx"), F.col("_n")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_n") - 1)
+    a = dealt.select(*own, F.col("client_idx").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("_b").alias("_a"), F.explode(every).alias("_b"))
+    b = dealt.select(*own, F.col("client_idx").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(every).alias("_a"), "_b")
+    joined = a.join(b, [*own, "_a", "_b"]).filter("i < j")
+    return joined.select(*own, "i", "j", geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
 
 
 def with_road(straight: DataFrame, roads: DataFrame | None = None, fallback: bool = True, partition: str = "branch") -> DataFrame:

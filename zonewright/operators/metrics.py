@@ -1,6 +1,8 @@
 """Judging a labelling: sizes, distances, medoids, balance, silhouette.
 
-labelled: branch, client_idx, label, office_km. both: branch, i, j, road_km in both directions.
+labelled: branch, client_idx, label, office_km. both: branch, i, j, road_km in both directions, and half
+in one. What looks at pairs within clusters only takes these alone too, with a column label (as
+distances.pairs makes them by branch and label), so other pairs need not be made.
 Clusters are told apart within a branch."""
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ def sizes(labelled: DataFrame, n_labels: int) -> DataFrame:
 
 def inner_pairs(labelled: DataFrame, half: DataFrame) -> DataFrame:
     """Pairs i < j within a cluster."""
+    if "label" in half.columns:
+        return half.filter("label >= 0")
     a = labelled.filter("label >= 0").select("branch", F.col("client_idx").alias("i"), "label")
     b = labelled.filter("label >= 0").select("branch", F.col("client_idx").alias("j"), "label")
     return half.join(a, ["branch", "i"]).join(b, ["branch", "label", "j"])
@@ -44,11 +48,14 @@ def inner_loss(labelled: DataFrame, half: DataFrame) -> DataFrame:
 
 def medoids(labelled: DataFrame, both: DataFrame) -> DataFrame:
     """The member of each cluster with the smallest sum of distances to the others; ties by id."""
-    a = labelled.filter("label >= 0").select("branch", F.col("client_idx").alias("i"), "label")
-    b = labelled.filter("label >= 0").select("branch", F.col("client_idx").alias("j"), "label")
-    met = a.join(both, ["branch", "i"], "left").join(b.withColumn("_in", F.lit(True)), ["branch", "label", "j"], "left")
-    sums = met.groupBy("branch", "label", "i").agg(F.coalesce(F.sum(F.when(F.col("_in"), F.col("road_km"))), F.lit(0.0)).alias("total_km"))
-    return sums.groupBy(*KEY).agg(F.min(F.struct("total_km", "i")).alias("m")).select(*KEY, F.col("m.i").alias("medoid"), F.col("m.total_km").alias("total_km"))
+    members = labelled.filter("label >= 0").select(*KEY, F.col("client_idx").alias("i"))
+    if "label" in both.columns:
+        inner = both
+    else:
+        inner = both.join(members, ["branch", "i"]).join(members.withColumnRenamed("i", "j"), ["branch", "label", "j"])
+    sums = inner.groupBy(*KEY, "i").agg(F.sum("road_km").alias("total_km"))
+    whole = members.join(sums, [*KEY, "i"], "left").withColumn("total_km", F.coalesce("total_km", F.lit(0.0)))
+    return whole.groupBy(*KEY).agg(F.min(F.struct("total_km", "i")).alias("m")).select(*KEY, F.col("m.i").alias("medoid"), F.col("m.total_km").alias("total_km"))
 
 
 def medoid_loss(labelled: DataFrame, both: DataFrame) -> DataFrame:
@@ -144,6 +151,18 @@ def merge_near_outliers(labelled: DataFrame, both: DataFrame, max_km: float = 7.
     return joined.withColumn("label", F.when(F.col("label") < 0, F.coalesce("_o.label", "label")).otherwise(F.col("label"))).drop("_o")
 
 
+def merge_outliers_by_place(labelled: DataFrame, max_km: float = 7.2) -> DataFrame:
+    """The same from the places: each outlier looks for its nearest member of a cluster on cells near by.
+    Of members equally near, the one of the lower id decides."""
+    from zonewright.operators.spatial import nearest_clients
+
+    near = nearest_clients(labelled.filter("label < 0"), 1, among=labelled.filter("label >= 0")).filter(F.col("road_km") <= max_km)
+    members = labelled.select("branch", F.col("client_idx").alias("j"), F.col("label").alias("_to"))
+    to = near.join(members, ["branch", "j"]).select("branch", F.col("i").alias("client_idx"), "_to")
+    joined = labelled.join(to, ["branch", "client_idx"], "left")
+    return joined.withColumn("label", F.when(F.col("label") < 0, F.coalesce("_to", "label")).otherwise(F.col("label"))).drop("_to")
+
+
 def enforce_max_clusters(labelled: DataFrame, both: DataFrame, most: int) -> DataFrame:
     """With more than `most` clusters, outliers counted as such, the closest outliers join clusters."""
     total = labelled.groupBy("branch").agg((F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))) + F.count(F.when(F.col("label") < 0, 1))).alias("_total"))

@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from zonewright.functions import geo
 from zonewright.operators import metrics
+from zonewright.schema import ROAD_FACTOR
 
 
 def medoid_distances(labelled: DataFrame, both: DataFrame) -> DataFrame:
     """Every client's distance to every medoid (2 places), whether its own is the nearest, and the
     second nearest; in the order of the cluster's name as text, then distance."""
     m = metrics.medoids(labelled, both).select("branch", F.col("label").alias("cluster"), "medoid")
-    to = labelled.select("branch", "client_idx", "label").join(m, "branch")
-    km = both.select("branch", F.col("i").alias("client_idx"), F.col("j").alias("medoid"), "road_km")
-    rows = to.join(km, ["branch", "client_idx", "medoid"], "left").withColumn("km", F.round(F.coalesce("road_km", F.lit(0.0)), 2))
+    if "label" in both.columns:  # pairs within clusters only: the way to other medoids is measured from the places
+        place = labelled.select("branch", F.col("client_idx").alias("medoid"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+        to = labelled.select("branch", "client_idx", "label", "lat", "lon").join(m.join(place, ["branch", "medoid"]), "branch")
+        rows = to.withColumn("road_km", ROAD_FACTOR * geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
+        rows = rows.withColumn("road_km", F.when(F.col("client_idx") != F.col("medoid"), F.col("road_km")))
+    else:
+        to = labelled.select("branch", "client_idx", "label").join(m, "branch")
+        km = both.select("branch", F.col("i").alias("client_idx"), F.col("j").alias("medoid"), "road_km")
+        rows = to.join(km, ["branch", "client_idx", "medoid"], "left")
+    rows = rows.withColumn("km", F.round(F.coalesce("road_km", F.lit(0.0)), 2))
     order = Window.partitionBy("branch", "client_idx").orderBy("km", "cluster")
     ranked = rows.withColumn("rank", F.row_number().over(order))
     own = F.max(F.when(F.col("rank") == 1, F.col("cluster"))).over(Window.partitionBy("branch", "client_idx"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonewright.functions import geo
 from zonewright.plans.session import checkpointed
-from zonewright.schema import DEGREE_KM, WARD_FACTOR
+from zonewright.schema import DEGREE_KM, ROAD_FACTOR, WARD_FACTOR
 
 
 def _cells(lo, hi, cell: float):
@@ -149,6 +151,48 @@ def foreign_hulls(labelled: DataFrame, hulls: DataFrame, partition: str = "branc
     return met.groupBy(partition, "client_idx", "label").agg(F.min("other").alias("inside"))
 
 
+def nearest_clients(points: DataFrame, k: int, partition: str = "branch", among: DataFrame | None = None) -> DataFrame:
+    """partition, i, j, road_km and rank of the k nearest others of each client, by straight distance times
+    ROAD_FACTOR; ties by id. among: the clients that count as others, else all.
+
+    Clients meet on cells. A client whose k-th found is no further than its cell's width has its k nearest;
+    the others go on with cells twice as wide, at last as wide as all places, so that all are seen. Pairs
+    are made near by only, whatever the size of a branch."""
+    others = (points if among is None else among).select(partition, F.col("client_idx").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    rest = points.select(partition, F.col("client_idx").alias("i"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).filter(F.abs("lat1") + F.abs("lon1") < 1e6)
+    ends = others.agg(F.min("lat2"), F.max("lat2"), F.min("lon2"), F.max("lon2"), F.count(F.lit(1)), F.countDistinct(partition), F.max(F.abs("lat2"))).first()
+    schema = [partition, "i", "j", "road_km", "rank"]
+    if ends[0] is None:
+        return rest.select(partition, "i", F.lit(None).cast("long").alias("j"), F.lit(0.0).alias("road_km"), F.lit(0).alias("rank")).filter(F.lit(False))
+    reach = rest.agg(F.min("lat1"), F.max("lat1"), F.min("lon1"), F.max("lon1")).first()
+    high, wide = max(ends[1], reach[1] or ends[1]) - min(ends[0], reach[0] or ends[0]), max(ends[3], reach[3] or ends[3]) - min(ends[2], reach[2] or ends[2])
+    extent = max(high, wide, 1e-6)
+    # so wide that nine cells hold about twice k others of a branch
+    width = extent * min(1.0, (2 * k * ends[5] / ends[4] / 9) ** 0.5)
+    # kilometres that a degree has at least, east or north, where the places are
+    degree = 111.0 * max(0.01, math.cos(math.radians(min(89.0, ends[6] + extent))))
+    order, found = Window.partitionBy(partition, "i").orderBy("road_km", "j"), None
+    while True:
+        cell = [F.floor(F.col(c) / width) for c in ("lat2", "lon2")]
+        table = others.withColumns({"_y": cell[0], "_x": cell[1]})
+        steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        looks = rest.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
+        looks = looks.withColumns({"_y": F.floor(F.col("lat1") / width) + F.col("_dy"), "_x": F.floor(F.col("lon1") / width) + F.col("_dx")})
+        met = looks.join(table, [partition, "_y", "_x"]).filter("i <> j")
+        km = geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) * ROAD_FACTOR
+        near = met.select(partition, "i", "j", km.alias("road_km")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        last = width >= extent
+        sure = near if last else near.withColumn("_far", F.max(F.when(F.col("rank") == k, F.col("road_km"))).over(Window.partitionBy(partition, "i"))).filter(F.col("_far") <= ROAD_FACTOR * degree * width)
+        done = checkpointed(sure.select(*schema))
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        rest = checkpointed(rest.join(done.select(partition, "i").distinct(), [partition, "i"], "left_anti"))
+        if rest.isEmpty():
+            return found
+        width *= 2
+
+
 def knn(pairs: DataFrame, k: int, partition: str = "branch") -> DataFrame:
     """The k nearest others of each client (pairs in both directions: i, j, road_km); ties by id."""
     order = Window.partitionBy(partition, "i").orderBy("road_km", "j")

@@ -31,6 +31,11 @@ def _both(spark, d):
     return distances.mirrored(_half(spark, d))
 
 
+def _inner(spark, d):
+    """Pairs within clusters only."""
+    return distances.with_road(distances.pairs(_labelled(spark, d), ["branch", "label"]), partition="branch")
+
+
 def _labelled(spark, d):
     return geog.clients(spark, d).withColumn("label", (F.col("client_idx") % 5).cast("int"))
 
@@ -270,7 +275,7 @@ def ward_pair_min_mean(spark, d):
 
 @query("both_pairs", """SELECT branch, i, j, rank FROM (SELECT *, row_number() OVER (PARTITION BY branch, i ORDER BY road_km, j) AS rank FROM both_pairs) WHERE rank <= 5""")
 def knn_5(spark, d):
-    return spatial.knn(_both(spark, d), 5).select("branch", "i", "j", F.col("rank").cast("long").alias("rank"))
+    return spatial.nearest_clients(geog.clients(spark, d), 5).select("branch", "i", "j", F.col("rank").cast("long").alias("rank"))
 
 
 # areas as a graph
@@ -401,7 +406,7 @@ _INNER = "inner_pairs AS (SELECT p.branch, a.label, p.i, p.j, p.road_km FROM pai
 SELECT l.branch, l.label, count(*) AS size, round(avg(office_km), 6) AS avg_office, round(max(office_km), 6) AS max_office, round(coalesce(any_value(a), 0), 6) AS avg_inner, round(coalesce(any_value(m), 0), 6) AS max_inner
 FROM labels5 l LEFT JOIN inn USING (branch, label) GROUP BY 1, 2""")
 def cluster_stats(spark, d):
-    s = metrics.cluster_stats(_labelled(spark, d), _half(spark, d))
+    s = metrics.cluster_stats(_labelled(spark, d), _inner(spark, d))
     return s.select("branch", "label", "size", r6("avg_office"), r6("max_office"), r6("avg_inner"), r6("max_inner"))
 
 
@@ -414,7 +419,7 @@ def cluster_spread(spark, d):
 
 @query("labels5 pairs", f"WITH {_INNER} SELECT branch, round(avg(road_km), 6) AS avg_inner, round(max(road_km), 6) AS max_inner FROM inner_pairs GROUP BY 1")
 def inner_loss(spark, d):
-    return metrics.inner_loss(_labelled(spark, d), _half(spark, d)).select("branch", r6("avg_inner"), r6("max_inner"))
+    return metrics.inner_loss(_labelled(spark, d), _inner(spark, d)).select("branch", r6("avg_inner"), r6("max_inner"))
 
 
 _SUMS = """sums AS (SELECT a.branch, a.label, a.client_idx AS i, coalesce(sum(p.road_km), 0) AS total FROM labels5 a
@@ -424,18 +429,18 @@ _SUMS = """sums AS (SELECT a.branch, a.label, a.client_idx AS i, coalesce(sum(p.
 @query("labels5 both_pairs", f"""WITH {_SUMS} SELECT branch, label, i AS medoid, round(total, 4) AS total_km FROM (
   SELECT *, row_number() OVER (PARTITION BY branch, label ORDER BY total, i) AS r FROM sums) WHERE r = 1""")
 def medoid_per_cluster(spark, d):
-    return metrics.medoids(_labelled(spark, d), _both(spark, d)).select("branch", "label", "medoid", F.round("total_km", 4).alias("total_km"))
+    return metrics.medoids(_labelled(spark, d), distances.mirrored(_inner(spark, d))).select("branch", "label", "medoid", F.round("total_km", 4).alias("total_km"))
 
 
 @query("labels5 both_pairs", f"WITH {_SUMS} SELECT branch, round(sum(total), 4) AS medoid_loss FROM (SELECT branch, label, min(total) AS total FROM sums GROUP BY 1, 2) GROUP BY 1")
 def medoid_loss(spark, d):
-    return metrics.medoid_loss(_labelled(spark, d), _both(spark, d)).select("branch", F.round("medoid_loss", 4).alias("medoid_loss"))
+    return metrics.medoid_loss(_labelled(spark, d), distances.mirrored(_inner(spark, d))).select("branch", F.round("medoid_loss", 4).alias("medoid_loss"))
 
 
 @query("labels5 pairs", f"""WITH {_INNER}, s AS (SELECT branch, label, count(*) AS size FROM labels5 GROUP BY 1, 2), inn AS (SELECT branch, label, avg(road_km) AS a FROM inner_pairs GROUP BY 1, 2)
 SELECT s.branch, round(10 * stddev_pop(size) + coalesce(avg(CASE WHEN size >= 2 THEN a END), 0), 6) AS score FROM s LEFT JOIN inn USING (branch, label) GROUP BY 1""")
 def balance_score(spark, d):
-    return metrics.balance_score(_labelled(spark, d), _half(spark, d)).select("branch", r6("score"))
+    return metrics.balance_score(_labelled(spark, d), _inner(spark, d)).select("branch", r6("score"))
 
 
 @query("labels5", """SELECT branch, round((max(size) - min(size)) / greatest(max(size), 1), 6) AS balance, count(*) <= 5 AND min(size) >= 8 AND max(size) <= 15 AS feasible FROM (
@@ -512,7 +517,7 @@ def _seeds5(spark, d):
   SELECT p.branch, p.i AS client_idx, s.seed, p.road_km FROM both_pairs p JOIN seeds s ON s.client_idx = p.j UNION ALL SELECT branch, client_idx, seed, 0 FROM seeds)
 SELECT client_idx, branch, seed AS label, round(road_km, 6) AS seed_km FROM (SELECT *, row_number() OVER (PARTITION BY client_idx ORDER BY road_km, seed) AS r FROM near) WHERE r = 1""")
 def nearest_seed_labels(spark, d):
-    return assign.nearest_seed(geog.clients(spark, d), _both(spark, d), _seeds5(spark, d)).select("client_idx", "branch", "label", r6("seed_km"))
+    return assign.nearest_seed_by_place(geog.clients(spark, d), _seeds5(spark, d)).select("client_idx", "branch", "label", r6("seed_km"))
 
 
 _NEW = f"nd AS (SELECT n.branch, n.client_idx, l.label, l.office_km, l.client_idx AS other, {geog.hav_sql('n.lat', 'n.lon', 'l.lat', 'l.lon')} * 1.3::DOUBLE AS km FROM new_clients n JOIN labels5 l ON l.branch = n.branch)"
@@ -548,7 +553,7 @@ s AS (SELECT branch, label, count(*) AS size FROM labels5 GROUP BY 1, 2),
 v AS (SELECT k.branch, k.i, l.label, sum(CASE WHEN s.size >= 12 THEN 0.5 ELSE 1.0 END) AS w FROM k JOIN labels5 l ON l.client_idx = k.j JOIN s ON s.branch = k.branch AND s.label = l.label GROUP BY 1, 2, 3)
 SELECT branch, i AS client_idx, label FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, label) AS r FROM v) WHERE r = 1""")
 def swarm_round(spark, d):
-    return assign.swarm_round(_labelled(spark, d), spatial.knn(_both(spark, d), 5), 12).select("branch", "client_idx", "label")
+    return assign.swarm_round(_labelled(spark, d), spatial.nearest_clients(geog.clients(spark, d), 5), 12).select("branch", "client_idx", "label")
 
 
 @query("labels5 both_pairs", """WITH n AS (SELECT a.branch, a.client_idx, b.label, p.road_km FROM both_pairs p JOIN labels5 a ON a.client_idx = p.i AND a.label = 0 JOIN labels5 b ON b.client_idx = p.j AND b.label > 0),
@@ -556,7 +561,7 @@ best AS (SELECT client_idx, label FROM (SELECT *, row_number() OVER (PARTITION B
 SELECT l.branch, l.client_idx, CASE WHEN l.label > 0 THEN l.label ELSE coalesce(b.label, -1) END AS label FROM labels5 l LEFT JOIN best b USING (client_idx)""")
 def merged_outliers(spark, d):
     rows = _labelled(spark, d).withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
-    return metrics.merge_near_outliers(rows, _both(spark, d)).select("branch", "client_idx", "label")
+    return metrics.merge_outliers_by_place(rows).select("branch", "client_idx", "label")
 
 
 # routes
@@ -588,7 +593,7 @@ SELECT i, j, round(coalesce(first_miss, 21) / 21.0::DOUBLE, 6) AS similarity FRO
 def route_prefix_similarity(spark, d):
     rows = _routes(spark, d)
     a, b = rows.select("branch", F.col("client_idx").alias("i"), F.col("route").alias("ra")), rows.select("branch", F.col("client_idx").alias("j"), F.col("route").alias("rb"))
-    return a.join(b, "branch").filter("i < j").select("i", "j", r6(geo.route_similarity(F.col("ra"), F.col("rb")), "similarity"))
+    return a.join(b, "branch").filter("i < j").select("i", "j", r6(geo.fixed_route_similarity(F.col("ra"), F.col("rb"), 21), "similarity"))
 
 
 # reports
@@ -599,7 +604,7 @@ k AS (SELECT l.branch, l.client_idx, l.label, m.cluster, m.medoid, round(coalesc
 r AS (SELECT *, row_number() OVER (PARTITION BY client_idx ORDER BY km, cluster) AS rank FROM k)
 SELECT branch, client_idx, label, cluster, medoid, km, rank, max(CASE WHEN rank = 1 THEN cluster END) OVER (PARTITION BY client_idx) = label AS correct FROM r""")
 def medoid_distance_table(spark, d):
-    rows = reports.medoid_distances(_labelled(spark, d), _both(spark, d))
+    rows = reports.medoid_distances(_labelled(spark, d), distances.mirrored(_inner(spark, d)))
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -13,7 +13,7 @@ from zonewright.functions import geo, scalar
 from zonewright.operators import distances, graph, kernels, metrics, partition, relational, reports, search, spatial, windows
 from zonewright.plans import geography as geog
 from zonewright.plans.catalogue import (
-    _INNER, _MEANS, _ROUTE, _SEED5, _STRAIGHT, OFFICE, _both, _half, _labelled, _mapped, _offices, _routes, _scored_edges, _seeds5, _solved, r6,
+    _INNER, _MEANS, _ROUTE, _SEED5, _STRAIGHT, OFFICE, _both, _half, _inner, _labelled, _mapped, _offices, _routes, _scored_edges, _seeds5, _solved, r6,
 )
 from zonewright.plans.registry import QUERIES, query
 from zonewright.plans.session import checkpointed
@@ -88,7 +88,7 @@ def enforced_max_clusters(spark, d):
 SELECT l.branch, CASE WHEN l.label = 0 THEN -1 ELSE l.label END AS label, array_to_string(list_sort(list(l.client_idx)), ',') AS members,
   round(CASE WHEN l.label > 0 THEN coalesce(any_value(inn.a), 0) END, 6) AS avg_inner, round(CASE WHEN l.label > 0 THEN coalesce(any_value(inn.m), 0) END, 6) AS max_inner FROM labels5 l LEFT JOIN inn USING (branch, label) GROUP BY l.branch, l.label""")
 def cluster_member_lists(spark, d):
-    rows = reports.member_lists(_outliers(spark, d), _half(spark, d))
+    rows = reports.member_lists(_outliers(spark, d), distances.with_road(distances.pairs(_outliers(spark, d), ["branch", "label"])))
     return rows.select("branch", "label", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), r6("avg_inner"), r6("max_inner"))
 
 
@@ -245,7 +245,7 @@ o AS (SELECT branch, avg(office_km) AS office, count(*) AS n FROM labels5 GROUP
 SELECT s.branch, round(sum(CASE WHEN size > 1 THEN a * size ELSE 0 END) + 0.4::DOUBLE * stddev_pop(size) * any_value(office) * any_value(n), 4) AS cost
 FROM s LEFT JOIN inn USING (branch, label) JOIN o USING (branch) GROUP BY 1""")
 def sgb_cost(spark, d):
-    return metrics.sgb_cost(_labelled(spark, d), _half(spark, d)).select("branch", F.round("cost", 4).alias("cost"))
+    return metrics.sgb_cost(_labelled(spark, d), _inner(spark, d)).select("branch", F.round("cost", 4).alias("cost"))
 
 
 @query()
@@ -422,7 +422,7 @@ def similarity_by_cluster(spark, d):
 def _similarities(spark, d):
     rows = _routes(spark, d)
     a, b = rows.select("branch", F.col("client_idx").alias("i"), F.col("route").alias("ra")), rows.select("branch", F.col("client_idx").alias("j"), F.col("route").alias("rb"))
-    return a.join(b, "branch").filter("i < j").select("i", "j", geo.route_similarity(F.col("ra"), F.col("rb")).alias("similarity"))
+    return a.join(b, "branch").filter("i < j").select("i", "j", geo.fixed_route_similarity(F.col("ra"), F.col("rb"), 21).alias("similarity"))
 
 
 @query("labels5", f"""WITH {_ROUTE}, miss AS (SELECT a.client_idx AS i, b.client_idx AS j, min(CASE WHEN abs(a.lat - b.lat) > 0.001 OR abs(a.lon - b.lon) > 0.001 THEN a.s END) AS first_miss
