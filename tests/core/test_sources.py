@@ -164,6 +164,8 @@ def test_route_similarity(spark):
         return [{"lat": 16.0 + (0 if i < k else 1), "lon": 95.0 + i} for i in range(10)]
     rows = [(k, route(10), route(k)) for k in (0, 4, 10)] + [(0, route(10), [])]
     df = spark.createDataFrame(rows, "k int, a array<struct<lat:double,lon:double>>, b array<struct<lat:double,lon:double>>")
+    same = spark.createDataFrame([([(float(i), 1.0) for i in range(5)], [(float(i + (i > m)), 1.0) for i in range(5)], m + 1) for m in range(-1, 5)], "a array<struct<lat:double,lon:double>>, b array<struct<lat:double,lon:double>>, n int")
+    assert all(r[0] == r[1] == min(5, r[2]) / 5 for r in same.select(geo.route_similarity(F.col("a"), F.col("b")), geo.fixed_route_similarity(F.col("a"), F.col("b"), 5), "n").collect())
     assert [(r[0], r[1]) for r in df.select("k", geo.route_similarity(F.col("a"), F.col("b"))).collect()] == [(0, 0.0), (4, 0.4), (10, 1.0), (0, 0.0)]
 
 
@@ -234,3 +236,25 @@ def test_ancestors_of_a_deep_tree(spark):
     tree = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(300)], "node string, parent string")
     rows = graph.ancestors(tree)
     assert rows.count() == 300 * 301 // 2 and rows.filter("node = '299' and ancestor = '0'").first()["distance"] == 299
+
+
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_nearest_clients_agree_with_all_pairs(spark, k):
+    """Crowds, lone points and a branch of two clients; k above a branch's size gives all others."""
+    points = [(0, i, 16 + (i * 7919 % 97) / 900, 95 + (i * 104729 % 89) / 900) for i in range(60)] + [(0, 100, 19.5, 98.0), (0, 101, 16.0, 60.0)]
+    points += [(1, 200, 16.0, 95.0), (1, 201, 16.0, 95.0), (2, 300, 16.0, 95.0), (0, 400, None, None)]
+    df = spark.createDataFrame(points, "branch int, client_idx long, lat double, lon double")
+    got = {(r["branch"], r["i"], r["rank"]): (r["j"], r["road_km"]) for r in spatial.nearest_clients(df, k).collect()}
+    both = distances.mirrored(distances.with_road(distances.pairs(df.filter("lat is not null"))))
+    expected = {(r["branch"], r["i"], r["rank"]): (r["j"], r["road_km"]) for r in spatial.knn(both, k).collect()}
+    assert got.keys() == expected.keys() and all(got[x][0] == expected[x][0] for x in got)
+    among = spatial.nearest_clients(df, 1, among=df.filter("client_idx in (3, 100)")).collect()
+    assert {r["j"] for r in among} == {3, 100} and len(among) == 62
+    assert spatial.nearest_clients(df, 1, among=df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_pairs_in_blocks(spark, block):
+    df = spark.createDataFrame([(b, 100 * b + i, 16.0 + i, 95.0) for b, n in ((0, 30), (1, 1), (2, 9)) for i in range(n)], "branch int, client_idx long, lat double, lon double")
+    rows = [(r["branch"], r["i"], r["j"]) for r in distances.pairs(df, block=block).collect()]
+    assert len(rows) == len(set(rows)) == 30 * 29 // 2 + 36 and all(i < j for _, i, j in rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewright.functions.scalar import finite
@@ -13,6 +13,10 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select([finite(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
 
 
+def _each(array: str, field: str) -> Column:
+    return F.transform(array, lambda x: x[field])
+
+
 def write_matrix_csv(matrix: DataFrame, names: list[str], path: str, value: str = "km") -> None:
     """A wide matrix with a row and a column for each name."""
     to_wide(_plain(matrix), names, value).write.option("header", True).mode("overwrite").csv(path)
@@ -26,13 +30,13 @@ def write_matrices_json(locations: DataFrame, matrix: DataFrame, path: str, api:
     meta = F.struct(F.lit(api).alias("api_type"), F.lit(locations.count()).alias("total_locations"))
     joined = locations.join(rows, locations["loc_idx"] == rows["i"], "left")
     own = ["loc_idx", "name", "lat", "lon", "type"]
-    km, road = (F.transform("r", lambda x, c=c: x[c]) for c in ("km", "road_km"))
+    km, road = (_each("r", c) for c in ("km", "road_km"))
     if lines:
         joined.select(meta.alias("metadata"), *own, km.alias("euclidean_distances"), road.alias("road_distances")).write.mode("overwrite").json(path)
         return
     whole = joined.agg(F.array_sort(F.collect_list(F.struct("loc_idx", F.struct(*own).alias("l"), km.alias("e"), road.alias("r")))).alias("a"))
     parts = {"locations": "l", "euclidean_distance_matrix": "e", "road_distance_matrix": "r"}
-    out = whole.select(meta.alias("metadata"), *[F.transform("a", lambda x, c=c: x[c]).alias(n) for n, c in parts.items()])
+    out = whole.select(meta.alias("metadata"), *[_each("a", c).alias(n) for n, c in parts.items()])
     out.coalesce(1).write.mode("overwrite").json(path)
 
 
