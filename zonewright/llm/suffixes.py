@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from zonewright.llm.common import RollingHash, discard, flat, keyed, materialize, shield, slices, table, unshield
 
 LENGTH, GRAM = 100, 32
-#: Snippets of an anchor that one shard gets about, bytes of a shard's text, and strings that one task of
-#: the merge gets about.
-HOT, SHARD_BYTES, MERGE = 1024, 1 << 18, 1 << 18
+#: Snippets of an anchor that one shard gets about, bytes of a shard's text, and snippets that one task, and
+#: strings that one task of the merge gets about.
+HOT, SHARD_BYTES, SNIPPETS, MERGE = 1024, 1 << 18, 1 << 16, 1 << 18
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -390,7 +390,8 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("_key", "_from"), F.col("_shards")).cast("int")
     dealt = snippets(docs, marked).withColumn("_part", part)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(4 * n, "_hash", "_part").sortWithinPartitions("_hash", "_part")
+    n_dealt = max(4 * n, marked.count() // SNIPPETS)
+    dealt = dealt.repartition(n_dealt, "_hash", "_part").sortWithinPartitions("_hash", "_part")
     first = materialize(repeated(dealt), "repeats")
     discard(marked)
     release(spark)
