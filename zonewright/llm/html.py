@@ -321,8 +321,8 @@ def votes(pages: DataFrame) -> DataFrame:
 def winners(cast: DataFrame, share: float = SHARE) -> DataFrame:
     """_host and _paths: the host's paths with at least two votes and its share of them, by votes, then by
     text, then by name. Counts are combined before they are shuffled, so a host with very many pages is
-    a few rows to each task."""
-    counted = cast.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_votes"), F.sum("_size").alias("_text"))
+    a few rows to each task, and written once, as they are looked at twice."""
+    counted = materialize(cast.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_votes"), F.sum("_size").alias("_text")), "host-votes")
     total = counted.groupBy("_host").agg(F.sum("_votes").alias("_all"))
     won = counted.join(total, "_host").filter((F.col("_votes") >= 2) & (F.col("_votes") >= share * F.col("_all")))
     order = F.struct((-F.col("_votes")).alias("v"), (-F.col("_text")).alias("t"), F.col("_path").alias("p"))
