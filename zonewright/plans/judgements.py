@@ -69,7 +69,7 @@ def hdbscan_grid_checks(spark, d):
     out, k = F.col("n_outliers"), F.col("n_clusters")
     valid = F.col("dbcv").between(-1, 1) | F.col("dbcv").isNull()
     apart = F.col("silhouette").between(-1, 1) | F.col("silhouette").isNull()
-    possible = (out >= 0) & (k * F.col("min_cluster_size") + out <= F.col("n_clients")) & (F.col("outlier_pct") == F.round(100 * out / F.col("n_clients"), 1)) & valid & apart
+    possible = (out >= 0) & (k * F.col("min_cluster_size") + out <= F.col("n_clients")) & (F.abs(F.col("outlier_pct") - 100 * out / F.col("n_clients")) <= 0.050001) & valid & apart
     grid = partition.density_grid(geog.clients(spark, d)).join(n, "branch")
     return grid.select("branch", "min_cluster_size", "min_samples", "n_clients", possible.alias("in_range"))
 
