@@ -43,3 +43,8 @@ def zoned(variant):
 def test_refined(monkeypatch, n):
     dense, found = both(monkeypatch, lambda t: partition.refined(t, 5), n)
     assert (dense == found).all()
+
+
+def test_zones_v1(monkeypatch):
+    dense, found = both(monkeypatch, zoned("v1"))
+    assert dense == found
