@@ -48,3 +48,8 @@ def test_refined(monkeypatch, n):
 def test_zones_v1(monkeypatch):
     dense, found = both(monkeypatch, zoned("v1"))
     assert dense == found
+
+
+def test_zones_v2(monkeypatch):
+    dense, found = both(monkeypatch, zoned("v2"))
+    assert dense == found
