@@ -53,3 +53,8 @@ def test_zones_v1(monkeypatch):
 def test_zones_v2(monkeypatch):
     dense, found = both(monkeypatch, zoned("v2"))
     assert dense == found
+
+
+def test_zones_v4(monkeypatch):
+    dense, found = both(monkeypatch, zoned("v4"))
+    assert dense == found
