@@ -58,3 +58,11 @@ def test_zones_v2(monkeypatch):
 def test_zones_v4(monkeypatch):
     dense, found = both(monkeypatch, zoned("v4"))
     assert dense == found
+
+
+def test_round_trips_bounds(monkeypatch):
+    t = partition.Territory(clients(300, 5))
+    monkeypatch.setattr(partition, "DENSE", 8)
+    km = partition.round_trip(t, np.arange(300))
+    assert 2 * t.office.max() - 1e-9 <= km <= 2 * t.office.sum() and "d" not in t.__dict__
+    assert partition.round_trip(t, np.arange(0)) == 0 and partition.round_trip(t, np.array([7])) == pytest.approx(2 * t.office[7])
