@@ -66,3 +66,8 @@ def test_round_trips_bounds(monkeypatch):
     km = partition.round_trip(t, np.arange(300))
     assert 2 * t.office.max() - 1e-9 <= km <= 2 * t.office.sum() and "d" not in t.__dict__
     assert partition.round_trip(t, np.arange(0)) == 0 and partition.round_trip(t, np.array([7])) == pytest.approx(2 * t.office[7])
+
+
+def test_round_trips(monkeypatch):
+    dense, found = both(monkeypatch, lambda t: [partition.round_trip(t, np.arange(c, t.n, 3)) for c in range(3)])
+    assert dense == pytest.approx(found)
