@@ -71,3 +71,8 @@ def test_round_trips_bounds(monkeypatch):
 def test_round_trips(monkeypatch):
     dense, found = both(monkeypatch, lambda t: [partition.round_trip(t, np.arange(c, t.n, 3)) for c in range(3)])
     assert dense == pytest.approx(found)
+
+
+def test_swarm_rounds(monkeypatch):
+    dense, found = both(monkeypatch, lambda t: partition.swarm_rounds(t, 5))
+    assert len(dense) == len(found) > 1 and all((a == b).all() for a, b in zip(dense, found))
