@@ -76,3 +76,12 @@ def test_round_trips(monkeypatch):
 def test_swarm_rounds(monkeypatch):
     dense, found = both(monkeypatch, lambda t: partition.swarm_rounds(t, 5))
     assert len(dense) == len(found) > 1 and all((a == b).all() for a, b in zip(dense, found))
+
+
+@pytest.mark.parametrize("k", [1, 8, 60])
+def test_swarm_and_neighbours(monkeypatch, k):
+    dense, found = both(monkeypatch, lambda t: partition.nearest(t, k), 300, k)
+    assert (dense == found).all()
+    monkeypatch.undo()
+    dense, found = both(monkeypatch, lambda t: partition.swarm(t, 5))
+    assert (dense == found).all()
