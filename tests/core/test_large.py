@@ -85,3 +85,8 @@ def test_swarm_and_neighbours(monkeypatch, k):
     monkeypatch.undo()
     dense, found = both(monkeypatch, lambda t: partition.swarm(t, 5))
     assert (dense == found).all()
+
+
+def test_kmedoids(monkeypatch):
+    dense, found = both(monkeypatch, lambda t: partition.kmedoids(t, 6))
+    assert (dense == found).all()
