@@ -90,3 +90,9 @@ def test_swarm_and_neighbours(monkeypatch, k):
 def test_kmedoids(monkeypatch):
     dense, found = both(monkeypatch, lambda t: partition.kmedoids(t, 6))
     assert (dense == found).all()
+
+
+@pytest.mark.parametrize("seed", [1, 42])
+def test_kmedoids_seeded(monkeypatch, seed):
+    dense, found = both(monkeypatch, lambda t: partition.kmedoids(t, 6, seed), seed=seed)
+    assert (dense == found).all()
