@@ -57,3 +57,9 @@ def test_stats_within_labels(spark, clients, half, monkeypatch):
     other = clients.withColumn("label", (F.col("client_idx") % 3).cast("int"))
     same(reports.compared(clients, other), reports.compared(clients, other, half), "branch", "label")
     makes_no_pairs(spark, monkeypatch, "labellings_compared")
+
+
+def test_sums_to_all(spark, clients, half, monkeypatch):
+    whole = distances.mirrored(half, clients.select("branch", "client_idx")).groupBy("branch", F.col("i").alias("client_idx")).agg((F.count("road_km") - 1).alias("n"), F.sum("road_km").alias("sum_km"))
+    same(distances.label_sums(clients.withColumn("label", F.lit(0)), side=SIDE).drop("label"), whole, "branch", "client_idx")
+    assert makes_no_pairs(spark, monkeypatch, "road_pairs_mirrored") == 150
