@@ -63,3 +63,11 @@ def test_sums_to_all(spark, clients, half, monkeypatch):
     whole = distances.mirrored(half, clients.select("branch", "client_idx")).groupBy("branch", F.col("i").alias("client_idx")).agg((F.count("road_km") - 1).alias("n"), F.sum("road_km").alias("sum_km"))
     same(distances.label_sums(clients.withColumn("label", F.lit(0)), side=SIDE).drop("label"), whole, "branch", "client_idx")
     assert makes_no_pairs(spark, monkeypatch, "road_pairs_mirrored") == 150
+
+
+def test_means_to_labels(spark, clients, half, monkeypatch):
+    both = distances.mirrored(half)
+    monkeypatch.setattr(distances.label_sums, "__defaults__", ("branch", SIDE))
+    same(metrics.mean_distances(clients), metrics.to_clusters(clients, both), "branch", "client_idx", "own", "label")
+    same(metrics.boundary_gaps(clients), metrics.boundary_gaps(clients, both), "branch", "client_idx")
+    makes_no_pairs(spark, monkeypatch, "sgb2_gaps")
