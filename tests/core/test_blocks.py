@@ -71,3 +71,25 @@ def test_means_to_labels(spark, clients, half, monkeypatch):
     same(metrics.mean_distances(clients), metrics.to_clusters(clients, both), "branch", "client_idx", "own", "label")
     same(metrics.boundary_gaps(clients), metrics.boundary_gaps(clients, both), "branch", "client_idx")
     makes_no_pairs(spark, monkeypatch, "sgb2_gaps")
+
+
+def test_plane(spark, clients, half, monkeypatch):
+    t = partition.Territory(clients.filter("branch = 0").toPandas())
+    dense = partition.embedded(t)
+    monkeypatch.setattr(partition, "DENSE", 8)
+    t = partition.Territory(t.group)
+    found = partition.embedded(t)
+    assert found == pytest.approx(dense, abs=1e-6) and "d" not in t.__dict__
+    placed = clients.withColumns({"x": F.col("lat") * 100, "y": F.col("lon") * 90})
+    a, b = (placed.select("branch", F.col("client_idx").alias(i), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i in ("i", "j"))
+    off = F.abs(F.sqrt((F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2) - F.col("road_km"))
+    brute = half.join(a, ["branch", "i"]).join(b, ["branch", "j"]).groupBy("branch").agg(F.count("i").alias("n"), F.max("road_km").alias("max_km"), F.max(off).alias("off_km"))
+    same(distances.plane_errors(placed, side=SIDE), brute, "branch")
+    makes_no_pairs(spark, monkeypatch, "territory_embedding_checks")
+
+
+def test_wide_territories_fall_back_on_the_matrix():
+    rng = np.random.default_rng(1)
+    lat, lon = rng.uniform(-80, 80, 60), rng.uniform(-180, 180, 60)
+    dense = np.abs(kernels.embedding(kernels.road_matrix(lat, lon)))
+    assert np.abs(kernels.embedding_by_place(lat, lon)) == pytest.approx(dense, rel=1e-6, abs=1e-3)
