@@ -93,3 +93,7 @@ def test_wide_territories_fall_back_on_the_matrix():
     lat, lon = rng.uniform(-80, 80, 60), rng.uniform(-180, 180, 60)
     dense = np.abs(kernels.embedding(kernels.road_matrix(lat, lon)))
     assert np.abs(kernels.embedding_by_place(lat, lon)) == pytest.approx(dense, rel=1e-6, abs=1e-3)
+
+
+def test_scores_of_areas(spark, monkeypatch):
+    assert makes_no_pairs(spark, monkeypatch, "ward_adjacency_score") == 360
