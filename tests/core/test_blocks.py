@@ -97,3 +97,9 @@ def test_wide_territories_fall_back_on_the_matrix():
 
 def test_scores_of_areas(spark, monkeypatch):
     assert makes_no_pairs(spark, monkeypatch, "ward_adjacency_score") == 360
+
+
+def test_pairs_of_areas(spark, clients, half, monkeypatch):
+    members = clients.filter("pcode IS NOT NULL")
+    same(distances.ward_pairs_by_place(clients, side=SIDE), distances.ward_pairs(distances.mirrored(half), members), "branch", "src", "dst")
+    assert makes_no_pairs(spark, monkeypatch, "ward_pair_min_mean") > 0
