@@ -10,6 +10,7 @@ import pytest
 
 from tests.llm.helpers import awkward, awkward_rows, docs_of, empty, prose
 from zonewright.llm import bpe, html, language, quality, toxicity
+from zonewright.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
 
@@ -444,3 +445,16 @@ def test_long_words_are_read_to_their_end():
     model = language.train([("the cat sat on the mat " * 5, "en"), ("der hund lief durch das haus " * 5, "de")])
     assert model.predict("thecat" * 11 + "durchlief" * 200)[0] == "de"
     assert model.predict("durchlief" * 8 + "thecat" * 200)[0] == "en"
+
+
+def test_quality_learns_from_all_good_texts(spark):
+    texts = [prose(i, 20 + i % 30) for i in range(5300)]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(r["doc_id"], 1) for r in docs.select("doc_id").collect()], "doc_id long, quality int")
+    own = [r["text"] for r in docs.filter(~held_out("doc_id")).collect()]
+    found, whole = quality.fit(docs, labels), quality.learn(own)
+    assert found.lengths == whole.lengths and len(own) > 4000
+    assert np.allclose(found.least, whole.least) and np.allclose(found.most, whole.most)
+    # one text's many chunks all count: none is left out as there are more than four
+    long = [" ".join(prose(i, 2000) for i in range(3))]
+    assert quality.learn(long).lengths

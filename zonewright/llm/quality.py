@@ -11,6 +11,7 @@ ends where the text ends.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import hash60, held_out, slices, table
+from zonewright.llm.common import held_out, slices, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -40,10 +41,8 @@ DEFAULTS = (
 CHUNKS = (128, 512, 4096)
 #: Rejected if more than this share of the chunks of one size is outside its limits.
 CHUNK_SHARE = 0.34
-#: Limits are learned from at most so many rows labelled as good, and bytes of their texts at most (whole
-#: texts, in hash order); from at most SPREAD chunks of a length in a text, spread over it; and for
-#: lengths of which there are LEAST chunks.
-MAX_ROWS, MAX_BYTES, SPREAD, LEAST = 4000, 16 << 20, 4, 200
+#: Limits are learned for lengths of which there are so many chunks.
+LEAST = 200
 #: The share of good chunks beyond the inner limits on either side, and what the limits add to their width.
 TAIL, MARGIN = 0.001, 0.1
 #: How much more an octave above the longest learned length may be compressed, in ratio.
@@ -118,52 +117,68 @@ class Limits:
         return float(np.interp(at, grid, self.least)), float(np.interp(at, grid, self.most)) + beyond * self.rise
 
 
-def learn(texts: Iterable[str], lengths: tuple[int, ...] = LENGTHS, level: int = LEVEL) -> Limits:
-    """Limits from good texts: between the TAIL quantiles of their chunks' ratios, and a MARGIN. Lengths
-    of too few chunks have none; without any length, the defaults."""
-    zstd, found = compressor(level), {n: [] for n in lengths}
+def _starts(n_bytes: int, size: int) -> list[int]:
+    """Where chunks of a size begin; the last is moved back to be full, so that all bytes are in one."""
+    return [*range(0, n_bytes - size, size), n_bytes - size] if n_bytes >= size else []
+
+
+def _chunk_sizes(texts: Iterable[str], lengths: tuple[int, ...], level: int) -> Counter[tuple[int, int]]:
+    """How many chunks of each length of the texts have each compressed size."""
+    zstd, found = compressor(level), Counter()
     for text in texts:
         data = text.encode()
         for n in lengths:
             if n > len(data):
                 break
-            spread = max(n, -(-(len(data) - n + 1) // SPREAD))
-            found[n] += [n / len(zstd.compress(data[i : i + n])) for i in range(0, len(data) - n + 1, spread)]
-    known = [n for n in lengths if len(found[n]) >= LEAST]
-    if not known:
+            found.update((n, len(zstd.compress(data[i : i + n]))) for i in _starts(len(data), n))
+    return found
+
+
+def _between(inner: dict[int, tuple[float, float]]) -> Limits:
+    """Limits from the TAIL quantiles of each length, and a MARGIN; without any length, the defaults."""
+    if not inner:
         return Limits()
-    inner = [np.quantile(found[n], (TAIL, 1 - TAIL)) for n in known]
-    least = tuple(float(low - MARGIN * (high - low)) for low, high in inner)
-    most = tuple(float(high + MARGIN * (high - low)) for low, high in inner)
+    known = sorted(inner)
+    least = tuple(float(low - MARGIN * (high - low)) for low, high in map(inner.get, known))
+    most = tuple(float(high + MARGIN * (high - low)) for low, high in map(inner.get, known))
     return Limits(tuple(known), least, most, RISE)
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
-) -> Limits:
-    """Limits from the documents labelled as good (1) that are not held out: in the order of a hash of the
-    id, at most max_rows of them, each text that still fits into max_bytes; a longer one is passed over.
-    Null labels and texts, and an id labelled both ways, are no labels."""
+def learn(texts: Iterable[str], lengths: tuple[int, ...] = LENGTHS, level: int = LEVEL) -> Limits:
+    """Limits from good texts: between the TAIL quantiles of all their chunks' ratios, and a MARGIN. Lengths
+    of too few chunks have none; without any length, the defaults."""
+    ratios: dict[int, list[float]] = {}
+    for (n, size), count in _chunk_sizes(texts, lengths, level).items():
+        ratios.setdefault(n, []).extend([n / size] * count)
+    return _between({n: tuple(np.quantile(own, (TAIL, 1 - TAIL))) for n, own in ratios.items() if len(own) >= LEAST})
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Limits:
+    """Limits from all documents labelled as good (1) that are not held out, and all chunks of their texts.
+    Null labels and texts, and an id labelled both ways, are no labels.
+
+    Texts meet their labels in a shuffle, however many labels there are; what is brought together is how many chunks of each length have
+    each compressed size, and what reaches the driver is two quantiles a length."""
     good = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
         .filter(F.col("_label").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
-        .groupBy("_id").agg(F.min("_label").alias("_label")).filter("_label = 1")
+        .groupBy("_id").agg(F.min("_label").alias("_label")).filter("_label = 1").select("_id")
     )
-    order = hash60(F.lit("quality"), F.col("_id"))
-    sample = good.orderBy(order, "_id").limit(max_rows).select("_id")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    sized = texts.join(F.broadcast(sample), "_id").withColumn("_n", F.octet_length("_text"))  # max_rows ids at most
-    total = 0
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = texts.filter(F.col("_text").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id")).join(good.hint("merge"), "_id", "left_semi").select("_text")
 
-    def within() -> Iterator[str]:
-        nonlocal total
-        for row in sized.filter(F.col("_n") <= max_bytes).sort(order, "_id", "_text").toLocalIterator():
-            if total + row["_n"] <= max_bytes:
-                total += row["_n"]
-                yield row["_text"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                found = _chunk_sizes((t.as_py() for t in part.column("_text")), LENGTHS, LEVEL)
+                rows = [(n, size, count) for (n, size), count in found.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["n", "size", "count"])
 
-    return learn(within())
+    sizes = texts.mapInArrow(run, "n long, size long, count long").groupBy("n", "size").agg(F.sum("count").alias("count"))
+    tails = F.percentile(F.col("n") / F.col("size"), F.array(F.lit(TAIL), F.lit(1 - TAIL)), F.col("count"))
+    rows = sizes.groupBy("n").agg(F.sum("count").alias("count"), tails.alias("tails")).collect()
+    return _between({r["n"]: tuple(r["tails"]) for r in rows if r["count"] >= LEAST})
 
 
 class Compression:
@@ -178,8 +193,7 @@ class Compression:
 
     def chunks(self, data: bytes, size: int) -> list[float]:
         """Ratios of the chunks; the last is moved back to be full, so that all bytes are in one."""
-        starts = [*range(0, len(data) - size, size), len(data) - size] if len(data) >= size else []
-        return [self.ratio(data[i : i + size]) for i in starts]
+        return [self.ratio(data[i : i + size]) for i in _starts(len(data), size)]
 
     def judge(self, data: bytes) -> tuple[float, int, int, bool]:
         """Ratio, chunks of all sizes, those outside their limits, and whether the text is kept."""
