@@ -103,3 +103,19 @@ def test_pairs_of_areas(spark, clients, half, monkeypatch):
     members = clients.filter("pcode IS NOT NULL")
     same(distances.ward_pairs_by_place(clients, side=SIDE), distances.ward_pairs(distances.mirrored(half), members), "branch", "src", "dst")
     assert makes_no_pairs(spark, monkeypatch, "ward_pair_min_mean") > 0
+
+
+@pytest.mark.parametrize("wide", [1.0, 0.1, 0.02])
+def test_groups_of_routes(monkeypatch, wide):
+    rng = np.random.default_rng(5)
+    lat, lon = (np.round(v + wide * (rng.random(240) - 0.5), 4) for v in (16.5, 95.6))
+    lat[:9] = 16.5
+    t = partition.Territory(pd.DataFrame({"client_idx": np.arange(240), "lat": lat, "lon": lon, "office_km": 1.0}))
+    office = (16.5, 95.5)
+    merges, dense = kernels.linkage(np.maximum(0, 1 - partition._similar(t, office, -1.0))), [partition.route_groups(t, office, k) for k in (1, 2, 5, 60)]
+    if wide > 0.05:
+        assert (partition._sparse_route_merges(t, office) == merges).all()
+    monkeypatch.setattr(partition, "DENSE", 8)
+    if wide > 0.05:
+        monkeypatch.setattr(partition, "_similar", None)
+    assert all((partition.route_groups(t, office, k) == d).all() for k, d in zip((1, 2, 5, 60), dense))
