@@ -129,3 +129,29 @@ def test_pipeline_agrees_with_brute_force(spark):
         expected += [(i, len(ids), ids, hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest())] * copies[i]
     got = [(r["doc_id"], r["n_tokens"], r["ids"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()]
     assert sorted(got) == sorted(expected)
+
+
+def test_workers_let_go_of_what_other_stages_kept(monkeypatch):
+    import pyarrow as pa
+
+    from zonewright.llm import common, simhash
+
+    monkeypatch.setattr(bpe.Tokenizer, "load", lambda path: object())
+    texts = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], names=["doc_id", "_text"])
+
+    class Docs:
+        """Stands for the table and runs what a stage would run on it in a worker."""
+
+        columns, sparkSession = ["doc_id"], type("", (), {"sparkContext": type("", (), {"broadcast": staticmethod(lambda m: type("", (), {"value": m}))})})
+        schema = type("", (), {"fields": [], "__getitem__": lambda self, c: type("", (), {"dataType": type("", (), {"simpleString": lambda self: "long"})()})})()
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: list(run(iter([texts])))
+
+    monkeypatch.setattr("pyspark.sql.functions.col", lambda c: type("", (), {"alias": lambda self, _: self})())
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS), 0.0)
+    for stage in (lambda: toxicity.score(Docs(), model), lambda: simhash.fingerprints(Docs(), keep=("doc_id",))):
+        bpe._loaded("a file")
+        common.lean("bpe")
+        assert bpe._loaded.cache_info().currsize == 1
+        stage()
+        assert bpe._loaded.cache_info().currsize == 0

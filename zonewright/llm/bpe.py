@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import slices, table
+from zonewright.llm.common import KEPT, lean, slices, table
 
 #: Strings whose tokens are kept at hand (of each of two generations), and the longest such string.
 MEMORY, MEMORY_CHARS = 500_000, 64
@@ -354,6 +354,15 @@ def _loaded(path: str) -> Tokenizer:
     return Tokenizer.load(path)
 
 
+def _let_go() -> bool:
+    held = _loaded.cache_info().currsize > 0
+    _loaded.cache_clear()
+    return held
+
+
+KEPT["bpe"] = _let_go
+
+
 def tokenize(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), outputs: tuple[str, ...] = ("ids", "decoded")
 ) -> DataFrame:
@@ -384,6 +393,7 @@ def tokenize(
         return n, *[made[x] for x in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean("bpe")
         tokenizer = _loaded(path)
         for batch in batches:
             for part in slices(batch, "_text", 2 << 20):

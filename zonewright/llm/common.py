@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +124,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         start = stop
 
 
+#: By operator, what lets go of what its tasks keep in a worker for the next ones; true if there was any.
+KEPT: dict[str, Callable[[], bool]] = {}
+
+
+def lean(own: str = "") -> None:
+    """Let go of what operators other than `own` have kept in this worker, and give free memory back to the
+    system. Tasks begin with it: Spark's workers serve one operator after another."""
+    if any([let_go() for name, let_go in KEPT.items() if name != own]):
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' bytes (UTF-8) in a row, and the len + 1 offsets between them; null is empty."""
     array = pc.fill_null(array.cast(pa.large_binary()), b"")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import materialize, slices, table
+from zonewright.llm.common import lean, materialize, slices, table
 
 # Names from the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -303,6 +303,7 @@ def votes(pages: DataFrame) -> DataFrame:
     """_host, _path and _size for each page that has text: its container and the text's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_html"):
                 hosts, paths, sizes = [], [], []
@@ -341,6 +342,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     best = materialize(winners(votes(rows)), "host-paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_html"):
                 found = [

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import hash60, held_out, slices, table
+from zonewright.llm.common import hash60, held_out, lean, slices, table
 
 #: Words are runs of letters and marks, lower-cased; a text without a letter has none.
 WORD, LETTER = regex.compile(r"[\p{L}\p{M}]+"), regex.compile(r"\p{L}")
@@ -214,6 +214,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text", 2 << 20):
                 lang, score = zip(*shared.value.predictions(part.column("_text").to_pylist()), strict=True)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import RollingHash, flat, keyed, materialize, mix64, own_keys, slices, table, word_spans
+from zonewright.llm.common import RollingHash, flat, keyed, lean, materialize, mix64, own_keys, slices, table, word_spans
 from zonewright.llm.components import components
 
 SHINGLE, PERMUTATIONS, SEED = 5, 128, 20240
@@ -78,6 +78,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """_id and fingerprint (hex) for each row of docs. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text", BLOCK):
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(to_hex(signatures(part.column("_text"))))], names=["_id", "fingerprint"])
@@ -91,6 +92,7 @@ def shingle_sets(docs: DataFrame, text_col: str = "_text", keep: tuple[str, ...]
     hash of the set, for each row of docs. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text", BLOCK):
                 texts = part.column("_text")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import held_out, slices, table
+from zonewright.llm.common import held_out, lean, slices, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = texts.filter(F.col("_text").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id")).join(good.hint("merge"), "_id", "left_semi").select("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text"):
                 found = _chunk_sizes((t.as_py() for t in part.column("_text")), LENGTHS, LEVEL)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import keyed, materialize, own_keys, shield, slices, table, unshield
+from zonewright.llm.common import keyed, lean, materialize, own_keys, shield, slices, table, unshield
 from zonewright.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, text_col: str = "_text", keep: tuple[str, ...]
     """The columns in keep and _fp for each row of docs; a text without words, or null, has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text"):
                 found = [fingerprint(t.as_py()) for t in part.column("_text")]

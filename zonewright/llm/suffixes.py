@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import RollingHash, discard, flat, keyed, materialize, shield, slices, table, unshield
+from zonewright.llm.common import RollingHash, discard, flat, keyed, lean, materialize, shield, slices, table, unshield
 
 LENGTH, GRAM = 100, 32
 #: Snippets of an anchor that one shard gets about, bytes of a shard's text, and snippets that one task, and
@@ -213,6 +213,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """_key, _hash, _from and _to (starts) of every run of strings with one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
                 keys = part.column("_key").to_numpy(zero_copy_only=False)
@@ -245,6 +246,7 @@ def snippets(docs: DataFrame, marked: DataFrame) -> DataFrame:
     lists = marked.groupBy("_key").agg(F.collect_list(F.struct("_hash", "_shards", "_from", "_to")).alias("_runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text", 1 << 20):
                 own = part.column("_runs")
@@ -429,6 +431,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text"):
                 rows = []
@@ -475,6 +478,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     picked = rows.select("_id", "_text", *[F.col(f"`{c}`") for c in keep], "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text"):
                 texts, stay = [], []

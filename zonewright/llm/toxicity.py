@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewright.llm.common import WHITE, flat, hash60, held_out, shield, slices, table, unshield
+from zonewright.llm.common import WHITE, flat, hash60, held_out, lean, shield, slices, table, unshield
 
 #: Lengths of the n-grams in characters, and bits of their hash.
 SIZES = (4, 5, 6)
@@ -213,6 +213,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in slices(batch, "_text", BLOCK):
                 scores = shared.value.scores(part.column("_text"))
