@@ -96,3 +96,33 @@ def test_kmedoids(monkeypatch):
 def test_kmedoids_seeded(monkeypatch, seed):
     dense, found = both(monkeypatch, lambda t: partition.kmedoids(t, 6, seed), seed=seed)
     assert (dense == found).all()
+
+
+@pytest.mark.parametrize("n", [40, 250])
+def test_vehicles(monkeypatch, n):
+    def cost(routes):
+        km = [kernels.closed_km(d, office, r) for r in routes]
+        return sum(km) + 100 * max(km)
+
+    t = partition.Territory(clients(n))
+    d, office = t.d, t.office
+    dense, found = both(monkeypatch, lambda t: partition._routes(t, 4), n)
+    assert sorted(i for r in found for i in r) == list(range(n)) and len(found) <= 4
+    assert cost(found) <= 1.03 * cost(dense)
+
+
+def test_vehicles_at_one_place(monkeypatch):
+    monkeypatch.setattr(partition, "DENSE", 8)
+    group = clients(30).assign(lat=16.5, lon=95.5, office_km=0.0)
+    assert sorted(i for r in partition._routes(partition.Territory(group), 4) for i in r) == list(range(30))
+
+
+def test_stops_of_vehicles(spark):
+    n = partition.DENSE + 50
+    rows = clients(n).assign(branch=1)
+    t = partition.Territory(rows)
+    stops = partition.vehicle_stops(spark.createDataFrame(rows), 4, OFFICE).toPandas()
+    assert sorted(stops["client_idx"].dropna().astype(int)) == list(range(n))
+    for _, own in stops.sort_values("stop").groupby("vehicle"):
+        route = own["client_idx"].dropna().astype(int).tolist()
+        assert own["km"].iloc[-1] == pytest.approx(kernels.closed_km(t.d, t.office, route))
