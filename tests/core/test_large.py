@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from zonewright.operators import kernels, partition, zones
+from zonewright.operators import densities, kernels, partition, zones
 
 OFFICE = (16.5, 95.5)
 
@@ -126,3 +126,48 @@ def test_stops_of_vehicles(spark):
     for _, own in stops.sort_values("stop").groupby("vehicle"):
         route = own["client_idx"].dropna().astype(int).tolist()
         assert own["km"].iloc[-1] == pytest.approx(kernels.closed_km(t.d, t.office, route))
+
+
+@pytest.mark.parametrize("least", [1, 4, 9])
+def test_density(monkeypatch, least):
+    dense, found = both(monkeypatch, lambda t: partition.density(t, 9, least))
+    assert dense.max() > 1 and (dense == found).all()
+
+
+def test_density_grid(spark, monkeypatch):
+    rows = spark.createDataFrame(clients(600).assign(branch=1))
+    dense = partition.density_grid(rows).orderBy("min_cluster_size", "min_samples").toPandas()
+    monkeypatch.setattr(partition, "DENSE", 8)
+    monkeypatch.setattr(partition.kernels, "road_matrix", None)  # no matrix can be made
+    found = partition.density_grid(rows).orderBy("min_cluster_size", "min_samples").toPandas()
+    pd.testing.assert_frame_equal(dense, found, rtol=0, atol=2e-4)
+
+
+PLACES = [
+    lambda rng, n: (16 + rng.random(n), 95 + rng.random(n)),
+    lambda rng, n: (rng.uniform(-90, 90, n), rng.uniform(-180, 180, n)),
+    lambda rng, n: (16 + rng.integers(0, 12, n) / 10, 95 + rng.integers(0, 12, n) / 10),
+    lambda rng, n: (16 + rng.integers(0, 3, n) + rng.normal(0, 0.01, n), 95 + rng.normal(0, 0.01, n)),
+]
+
+
+@pytest.mark.parametrize("place", range(len(PLACES)))
+@pytest.mark.parametrize("dense", [8, partition.DENSE])
+def test_judged(place, dense):
+    """Validity and silhouette, also over the poles, of copies, and of clusters far from each other."""
+    rng = np.random.default_rng(place)
+    lat, lon = PLACES[place](rng, 400)
+    d, units = kernels.road_matrix(lat, lon), kernels.unit_vectors(lat, lon)
+    for labels in (kernels.hdbscan(d, 5, 3)[0], rng.integers(-1, 4, 400)):
+        expected = kernels.dbcv(d, labels), kernels.silhouette(d, labels)
+        assert densities.judged(units, labels, 5.0, dense) == pytest.approx(expected, abs=1e-6, nan_ok=True)
+
+
+@pytest.mark.parametrize("place", range(len(PLACES)))
+@pytest.mark.parametrize("pairs", [0, densities.PAIRS])
+def test_trees_of_density(monkeypatch, place, pairs):
+    monkeypatch.setattr(densities, "PAIRS", pairs)
+    lat, lon = PLACES[place](np.random.default_rng(place), 300)
+    core, reach = kernels.mutual_reachability(kernels.road_matrix(lat, lon), 4)
+    found = densities.spanning_tree(kernels.unit_vectors(lat, lon), core, 3.0)
+    assert np.sort(found[:, 2]) == pytest.approx(np.sort(kernels.spanning_tree(reach)[:, 2]), abs=1e-6)
