@@ -131,6 +131,37 @@ def test_routing_in_blocks(spark):
     assert filled[(0, 1)]["road_km"] == 1.5 and len(filled) == 10
 
 
+def test_locations_are_dealt_in_parts(spark):
+    """A location goes to the tasks 2 * PARTS times at most, not once for every request it is in."""
+    rows = spark.createDataFrame([(b, i + 3, 16.0 + i / 100, 95.0) for b, n in ((1, 57), (2, 3)) for i in range(n)], "branch long, loc_idx long, lat double, lon double")
+    sent = routing.dealt(rows, 2).collect()
+    assert sum(len(r["sources"]) + len(r["targets"]) for r in sent if r["branch"] == 1) <= 57 * 2 * routing.PARTS
+    assert sorted(len(r["sources"]) for r in sent if r["branch"] == 2) == [1, 1, 2, 2]
+
+    def by_number(url, timeout):
+        where, _, rest = url.rpartition("/")[2].partition("?")
+        lat = [float(p.split(",")[1]) for p in where.split(";")]
+        own, other = ([lat[int(k)] for k in part.split("=")[1].split(";")] for part in rest.split("&")[:2])
+        assert len(own) <= 2 and len(other) <= 2
+        return {"code": "Ok", "distances": [[None if a == b else 1000 * (100 * a + b) for b in other] for a in own]}
+
+    got = {(r["branch"], r["i"], r["j"]): r["road_km"] for r in routing.road_matrix(rows, "http://none", block=2, get=by_number).collect()}
+    lat = [16.0 + i / 100 for i in range(57)]
+    assert got == {(b, i + 3, j + 3): None if i == j else pytest.approx(100 * lat[i] + lat[j]) for b, n in ((1, 57), (2, 3)) for i in range(n) for j in range(n)}
+
+
+def test_short_answers_and_missing_numbers(spark):
+    rows = spark.createDataFrame([(1, i, 16.0, 95.0) for i in (-1, 0, 1, None)], "branch long, loc_idx long, lat double, lon double")
+
+    def short(url, timeout):
+        n = url.split("sources=")[1].split("&")[0].count(";") + 1
+        return {"code": "Ok", "distances": [[1000.0]] * n}
+
+    got = sorted([(r["i"], r["j"], r["road_km"]) for r in routing.road_matrix(rows, "http://none", block=2, get=short).collect()], key=str)
+    whole = [(i, j, 1.0) for i in (-1, 0, 1, None) for j in (-1, 0, None)]
+    assert got == sorted(whole, key=str)
+
+
 def test_requests_are_tried_again():
     calls = []
 
