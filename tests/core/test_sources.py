@@ -1,6 +1,7 @@
 """Readers, writers, the routing server and streams."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,42 @@ def test_locations_are_dealt_in_parts(spark):
     assert got == {(b, i + 3, j + 3): None if i == j else pytest.approx(100 * lat[i] + lat[j]) for b, n in ((1, 57), (2, 3)) for i in range(n) for j in range(n)}
 
 
+def _shuffled(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(x.totalShuffleWrite() for x in _scala(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+
+def _scala(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def test_parts_are_sent_once_for_both_ways(spark):
+    """Many branches have few parts each, so what is shuffled is a few times the locations (20 times before)."""
+    rows = spark.range(50_000).select((F.col("id") % 25).alias("branch"), F.floor(F.col("id") / 25).alias("loc_idx"), F.rand(1).alias("lat"), F.rand(2).alias("lon"))
+    before = _shuffled(spark)
+    pairs = routing.dealt(rows, 20).select(F.size("sources").cast("long").alias("a"), F.size("targets").alias("b")).agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    assert pairs == 25 * 2_000**2
+    assert _shuffled(spark) - before < 8 * 50_000 * 24
+
+
+def test_a_large_branch_has_more_parts(spark):
+    """One branch with nearly all pairs is dealt to as many tasks as if it were alone."""
+    rows = spark.createDataFrame([(b, i) for b in range(200) for i in range(2_000 if b == 7 else 3)], "branch long, loc_idx long").withColumns({"lat": F.lit(16.0), "lon": F.lit(95.0)})
+    sent = routing.dealt(rows, 1).select("branch", F.size("sources").alias("a"), F.size("targets").alias("b")).collect()
+    assert sum(r["a"] * r["b"] for r in sent) == 2_000**2 + 199 * 9
+    assert max(r["a"] * r["b"] for r in sent) <= 2_000**2 / routing.PARTS**2
+    assert sum(r["branch"] != 7 for r in sent) == 199
+
+
+def test_numbers_with_gaps(spark):
+    """Any two locations of a branch meet once each way, in order, whatever parts are empty; none without a branch."""
+    numbers = [-1_000, -7, 0, 1, 2, 500, 501, 9_999, None]
+    rows = spark.createDataFrame([(b, i, 16.0, 95.0) for b in (1, None) for i in numbers] + [(2, None, 16.0, 95.0)], "branch long, loc_idx long, lat double, lon double")
+    sent = [(r["branch"], [p["loc_idx"] for p in r["sources"]], [p["loc_idx"] for p in r["targets"]]) for r in routing.dealt(rows, 3).collect()]
+    assert sorted(((b, i, j) for b, x, y in sent for i in x for j in y), key=str) == sorted([(1, i, j) for i in numbers for j in numbers] + [(2, None, None)], key=str)
+    assert all(x == sorted(x, key=lambda i: -math.inf if i is None else i) for _, *both in sent for x in both)
+
+
 def test_short_answers_and_missing_numbers(spark):
     rows = spark.createDataFrame([(1, i, 16.0, 95.0) for i in (-1, 0, 1, None)], "branch long, loc_idx long, lat double, lon double")
 
